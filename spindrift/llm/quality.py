@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,9 +164,7 @@ def scorer(spark: SparkSession, model: np.ndarray) -> Callable[[Column], Column]
     held = spark.sparkContext.broadcast(model.astype("<f4"))
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator["pandas.Series"]) -> Iterator["pandas.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(score(texts.tolist(), held.value))
 
