@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -290,24 +291,25 @@ def _send_runs(buckets: int):
     return run
 
 
-def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[int], list[int]]:
-    """The runs (rows, prefixes shared with the row before) in one order: run, place in it, prefix shared with the row before.
+def merged(raw: bytes, ends: list[int], shares: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of sorted rows, one after another in ``raw``, in one order: numbers of the rows, prefix that each shares with the row before.
 
-    A loser tree: inner node i holds the run that lost there and, in ``known``, how many bytes it shares with
-    the winner that went on. Of two runs the one that shares more with the last output is smaller; if both share
-    the same, bytes are compared from there on.
+    ``ends``: where the runs end, in rows; ``shares``: prefix that a row shares with the one before in its run. A
+    loser tree: inner node i holds the run that lost there, and ``known`` how many bytes it shares with the
+    winner that went on. Of two runs the one that shares more with the last output is smaller; if both share
+    the same, bytes are compared from there on. Only the heads of the runs are held as rows.
     """
-    k = 1
-    while k < len(runs):
+    n_runs, k = len(ends), 1
+    while k < n_runs:
         k *= 2
-    texts = [r[0] for r in runs] + [[]] * (k - len(runs))
-    shares = [r[1] for r in runs] + [[]] * (k - len(runs))
-    place, known = [0] * k, [0 if x else -1 for x in texts]
-    head: list[bytes] = [x[0] if x else b"" for x in texts]
+    place = [0, *ends[:-1]] + [0] * (k - n_runs)
+    until = ends + [0] * (k - n_runs)
+    known = [0 if a < b else -1 for a, b in zip(place, until, strict=True)]
+    head = [raw[a * ROW : a * ROW + ROW] if a < b else b"" for a, b in zip(place, until, strict=True)]
     loser = [0] * k
 
     def beats(a: int, b: int) -> bool:
-        """Whether a goes on; the other one's share becomes that with a (or b)."""
+        """Whether a goes on; the other one's share becomes that with the one that does."""
         x, y = known[a], known[b]
         if x != y:
             return x > y
@@ -335,23 +337,18 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[i
         half, n = [], len(winner) // 2
         for i in range(n):
             a, b = winner[2 * i], winner[2 * i + 1]
-            if beats(a, b):
-                half.append(a)
-                loser[n + i] = b
-            else:
-                half.append(b)
-                loser[n + i] = a
+            won, loser[n + i] = (a, b) if beats(a, b) else (b, a)
+            half.append(won)
         winner = half
     top = winner[0]
-    out_run, out_place, out_share = [], [], []
+    order, out = array("q"), array("B")
     while known[top] >= 0:
-        out_run.append(top)
         i = place[top]
-        out_place.append(i)
-        out_share.append(known[top])
+        order.append(i)
+        out.append(known[top])
         i += 1
-        if i < len(texts[top]):
-            place[top], head[top], known[top] = i, texts[top][i], shares[top][i]
+        if i < until[top]:
+            place[top], head[top], known[top] = i, raw[i * ROW : i * ROW + ROW], shares[i]
         else:
             known[top] = -1
         node, x = (k + top) // 2, known[top]
@@ -364,7 +361,7 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[i
                 loser[node], top = top, other
                 x = known[top]
             node //= 2
-    return out_run, out_place, out_share
+    return np.array(order, np.int64), np.array(out, np.int64)
 
 
 def window_masks(rows: np.ndarray, shared: np.ndarray, rank: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -390,23 +387,25 @@ def window_masks(rows: np.ndarray, shared: np.ndarray, rank: np.ndarray, least:
 
 def _merge(key: tuple, t: pa.Table) -> pa.Table:
     t = t.sort_by("chunk")
-    runs = [decoded(x) for x in t.column("data").to_pylist()]
-    texts = []
-    for rows, shared, *_ in runs:
-        raw = rows.tobytes()
-        texts.append(([raw[i : i + ROW] for i in range(0, len(raw), ROW)], shared.tolist()))
-    run, place, share = (np.array(x, np.int64) for x in merged(texts))
-    del texts
-    base = np.cumsum([0] + [len(r[0]) for r in runs])
-    order = base[run] + place
-    rows, ids, pos, least, most = (np.concatenate([r[i] for r in runs])[order] for i in (0, 2, 3, 4, 5))
+    parts, raw = [], bytearray()
+    for x in t.column("data").to_pylist():
+        rows, *rest = decoded(x)
+        raw += rows.tobytes()
+        parts.append(rest)
+    ends = np.cumsum([len(p[0]) for p in parts])
+    raw = bytes(raw)
+    order, share = merged(raw, ends.tolist(), np.concatenate([p[0] for p in parts]).astype(np.uint8).tobytes())
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, ROW)[order]
+    del raw
+    run = np.searchsorted(ends, order, "right")
+    ids, pos, least, most = (np.concatenate([p[i] for p in parts])[order] for i in (1, 2, 3, 4))
     by = np.lexsort((pos, run, ids))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     masks = window_masks(rows, share, rank, least, most)
     some = np.flatnonzero(masks)
     some = some[np.argsort(run[some], kind="stable")]
-    cut = np.searchsorted(run[some], np.arange(len(runs) + 1))
+    cut = np.searchsorted(run[some], np.arange(len(parts) + 1))
     data = [pack([pos[some[a:b]].astype("<u4"), masks[some[a:b]]]) for a, b in zip(cut, cut[1:])]
     return pa.table({"chunk": t.column("chunk"), "masks": pa.array(data, pa.binary()), "mine": t.column("mine")})
 
