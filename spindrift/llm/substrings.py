@@ -464,7 +464,7 @@ def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     sent = spread.mapInArrow(_send_hashes(buckets), "bucket int, chunk string, data binary")
     flags = sent.groupBy("bucket").applyInArrow(_repeated, "chunk string, bucket int, bits binary")
     flagged = flags.join(chunks, "chunk")
-    runs = stored(flagged.groupBy("chunk").applyInArrow(_send_runs(buckets), "chunk string, bucket int, data binary, mine binary"), "suffix-runs")
+    runs = flagged.groupBy("chunk").applyInArrow(_send_runs(buckets), "chunk string, bucket int, data binary, mine binary")
     masks = stored(runs.groupBy("bucket").applyInArrow(_merge, "chunk string, masks binary, mine binary"), "window-masks")
     out = chunks.join(masks, "chunk", "left").groupBy("chunk").applyInArrow(_remove(with_text), RESULT)
     return out.withColumnRenamed("doc_id", id_col)
