@@ -457,16 +457,16 @@ def _remove(with_text: bool):
 def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: id_col, n_bytes, removed spans (bytes), what is kept (if ``with_text``) and its digest."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets = partitions(spark)  # stated at each repartition: rows name chunks by their place, so their bytes say little of the work
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     chunks = stored(rows.mapInArrow(_chunks(scratch(spark, "chunks"), chunk_bytes), "chunk string, path string, at long, bytes long"), "chunk-manifest")
     spread = chunks.repartition(buckets, "chunk")
     sent = spread.mapInArrow(_send_hashes(buckets), "bucket int, chunk string, data binary")
-    flags = sent.groupBy("bucket").applyInArrow(_repeated, "chunk string, bucket int, bits binary")
+    flags = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk string, bucket int, bits binary")
     flagged = flags.join(chunks, "chunk")
-    runs = flagged.groupBy("chunk").applyInArrow(_send_runs(buckets), "chunk string, bucket int, data binary, mine binary")
-    masks = stored(runs.groupBy("bucket").applyInArrow(_merge, "chunk string, masks binary, mine binary"), "window-masks")
-    out = chunks.join(masks, "chunk", "left").groupBy("chunk").applyInArrow(_remove(with_text), RESULT)
+    runs = flagged.repartition(buckets, "chunk").groupBy("chunk").applyInArrow(_send_runs(buckets), "chunk string, bucket int, data binary, mine binary")
+    masks = stored(runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merge, "chunk string, masks binary, mine binary"), "window-masks")
+    out = chunks.join(masks, "chunk", "left").repartition(buckets, "chunk").groupBy("chunk").applyInArrow(_remove(with_text), RESULT)
     return out.withColumnRenamed("doc_id", id_col)
 
 
