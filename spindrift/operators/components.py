@@ -1,4 +1,4 @@
-"""Connected components by minimum labels with pointer jumping, as joins and aggregations."""
+"""Connected components by contraction to smallest neighbours, as joins and aggregations."""
 
 from __future__ import annotations
 
@@ -11,19 +11,22 @@ from ..plans.storage import stored
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node of an edge; the component is its smallest node.
 
-    Edges count in both directions; loops and repeated edges are allowed, edges with a null end are
-    ignored. Each round takes the smallest label among a node and its neighbours, then the label
-    of that label, so the number of rounds is about the logarithm of the longest shortest path. Labels are
-    written to the shared folder each round; only the number of changes reaches the driver.
+    Edges count in both directions; loops and repeated edges are allowed, edges with a null end are ignored.
+    Each round hooks every node to its smallest neighbour (if smaller), follows that pointer once more, and
+    contracts the edges to what still differs, so the graph shrinks from round to round. Edges and pointers are written to the
+    shared folder each round; only whether an edge is left reaches the driver.
     """
     one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    both = stored(one.union(one.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = stored(lower.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if not after.where("label <> old").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+    ends = lambda e: e.select("a", "b").union(e.select("b", "a"))
+    left = stored(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    mapping = ends(left).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    left = left.where("a <> b")
+    while left.limit(1).count():
+        hooked = ends(left).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+        further = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        pointer = stored(hooked.join(further, "label").select(F.col("node").alias("component"), F.col("next").alias("label")), "pointers")
+        mapping = stored(mapping.join(pointer, "component", "left").select("node", F.coalesce("label", "component").alias("component")), "components")
+        to = lambda c: pointer.select(F.col("component").alias(c), F.col("label").alias(f"to_{c}"))
+        moved = left.join(to("a"), "a").join(to("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        left = stored(moved.where("a <> b").distinct(), "edges")
+    return mapping
