@@ -305,7 +305,7 @@ def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     # a set whose ids are all null can't be named, so it can't be linked
     leaf = sets.where("rep is not null").select(F.explode("leaves").alias("leaf"), "rep", "n", "sketch")
-    met = leaf.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf")
+    met = leaf.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "rep")
     near = stored(met.mapInArrow(_buckets(threshold), "src long, dst long"), "candidates").distinct()
     component = connected_components(near)
 
