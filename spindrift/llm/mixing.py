@@ -37,7 +37,13 @@ def uniform(id_col: str, seed: int) -> Column:
 
 
 def poisson_cdf(rate: float) -> list[float]:
-    """P(N <= n) for n = 0, 1, ... until the rest is below 2**-60."""
+    """P(N <= n) for n = 0, 1, ... until the rest is below 2**-60. Rates whose first term underflows are summed from logarithms."""
+    if rate > 500:
+        total, out = 0.0, []
+        for n in range(int(rate + 12 * math.sqrt(rate)) + 1):
+            total += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+            out.append(min(total, 1.0))
+        return out
     n, p = 0, math.exp(-rate)
     total, out = p, [p]
     while n < rate or p > 2.0**-60:
@@ -62,15 +68,16 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTH
     by_source = rates(docs, weights, other, epochs, source_col)
     named = F.when(F.col(source_col).isin(list(weights)), F.col(source_col))
     rate, count = F.lit(None).cast("double"), F.lit(0)
-    u = F.col("_u")
+    u_name, n_name = free_name(docs, "_u"), free_name(docs, "_n")
+    u = F.col(u_name)
     for s, r in by_source.items():
         here = named.isNull() if s is None else F.coalesce(named == s, F.lit(False))
         reached = F.size(F.filter(F.array(*map(F.lit, poisson_cdf(r))), lambda c: c <= u))
         rate, count = F.when(here, F.lit(r)).otherwise(rate), F.when(here, reached).otherwise(count)
-    drawn = docs.withColumn("_u", uniform(id_col, seed)).withColumn(rate_name, rate).withColumn("_n", count).where("_n > 0")
-    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    drawn = docs.withColumn(u_name, uniform(id_col, seed)).withColumn(rate_name, rate).withColumn(n_name, count).where(F.col(n_name) > 0)
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_name))))
     order = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("/"), F.col(copy).cast("string")))
-    return copies.withColumn(key, order).drop("_u", "_n").orderBy(key)
+    return copies.withColumn(key, order).drop(u_name, n_name).orderBy(key)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
