@@ -83,7 +83,7 @@ def _writer(folder: str, archive_bytes: int, min_bytes: int):
         store, base = _open_fs(folder)
         out = path = None
         n = size = 0
-        last, occurrence, written = object(), 0, {}
+        last, occurrence, written, earlier = object(), -1, {}, {}
 
         def closed() -> pa.RecordBatch:
             out.close()
@@ -91,16 +91,17 @@ def _writer(folder: str, archive_bytes: int, min_bytes: int):
 
         for b in batches:
             for page_id, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                payload = html.encode("utf-8", "surrogatepass")
                 if page_id != last:
-                    last, occurrence, written = page_id, 0, {}
-                else:
-                    occurrence += 1
-                seen = written.setdefault(hashlib.sha1(payload).digest(), occurrence)  # rows that repeat the page id
-                target = None
-                if refers is not None:
-                    target = record_id(refers["page_id"], 0, "response")
-                elif seen != occurrence and len(payload) >= min_bytes:
+                    last, occurrence, written, earlier = page_id, -1, {}, {}
+                if refers is not None:  # such rows come first: digests of this page that another one has
+                    earlier[html] = record_id(refers["page_id"], 0, "response")
+                    continue
+                payload = html.encode("utf-8", "surrogatepass")
+                occurrence += 1
+                digest = hashlib.sha1(payload).hexdigest()
+                seen = written.setdefault(digest, occurrence)  # rows that repeat the page id
+                target = earlier.get(digest)
+                if target is None and seen != occurrence and len(payload) >= min_bytes:
                     target = record_id(page_id, seen, "response")
                 if out is None:
                     store.create_dir(base, recursive=True)
@@ -127,9 +128,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     order = F.struct(F.coalesce("page_id", F.lit(NULL_ID)).alias("k"), F.col("page_id"))
     first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_id"))
     again = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
-    refers = again.select(F.col("page_id").alias("pid"), F.col("digest").alias("pdigest"), F.struct(F.col("first_id").alias("page_id")).alias("refers_to")).distinct()
-    joined = rows.withColumn("digest", F.sha1("html")).join(refers, F.col("page_id").eqNullSafe(F.col("pid")) & (F.col("digest") == F.col("pdigest")), "left")
-    ready = joined.select("page_id", "url", "html", "refers_to").repartition("page_id").sortWithinPartitions("page_id", "url", "html")
+    refers = again.select("page_id", F.lit("").alias("url"), F.col("digest").alias("html"), F.struct(F.col("first_id").alias("page_id")).alias("refers_to")).distinct()
+    # pages and what is known of their digests travel in one shuffle, so the payloads move once
+    both = rows.withColumn("refers_to", F.lit(None).cast("struct<page_id:bigint>")).unionByName(refers)
+    ready = both.repartition("page_id").sortWithinPartitions("page_id", F.col("refers_to").isNull(), "url", "html")
     write = _writer(folder, archive_bytes, min_bytes)
     return stored(ready.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-manifest")
 
