@@ -26,10 +26,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import partitions, scratch, stored, table, text_or_empty
 
@@ -74,6 +76,25 @@ def transaction(page_id: int | None, occurrence: int, url: str, payload: bytes,
     yield record("metadata", record_id(page_id, occurrence, "metadata"), uri, "application/warc-fields", f"payloadLength: {len(payload)}\r\n".encode(), *shared)
 
 
+def packed(data: bytes) -> bytes:
+    """Compressed for the way between tasks; the length comes first."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+@F.pandas_udf(BinaryType())
+def pack_text(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: packed(t.encode("utf-8", "surrogatepass")))
+
+
+@F.pandas_udf(BinaryType())
+def unpack_block(blocks: pd.Series) -> pd.Series:
+    return blocks.map(lambda b: None if b is None else unpacked(b))
+
+
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")
 
@@ -94,9 +115,9 @@ def _writer(folder: str, archive_bytes: int, min_bytes: int):
                 if page_id != last:
                     last, occurrence, written, earlier = page_id, -1, {}, {}
                 if refers is not None:  # such rows come first: digests of this page that another one has
-                    earlier[html] = record_id(refers["page_id"], 0, "response")
+                    earlier[html.decode()] = record_id(refers["page_id"], 0, "response")
                     continue
-                payload = html.encode("utf-8", "surrogatepass")
+                payload = unpacked(html)
                 occurrence += 1
                 digest = hashlib.sha1(payload).hexdigest()
                 seen = written.setdefault(digest, occurrence)  # rows that repeat the page id
@@ -128,9 +149,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     order = F.struct(F.coalesce("page_id", F.lit(NULL_ID)).alias("k"), F.col("page_id"))
     first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_id"))
     again = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
-    refers = again.select("page_id", F.lit("").alias("url"), F.col("digest").alias("html"), F.struct(F.col("first_id").alias("page_id")).alias("refers_to")).distinct()
+    refers = again.select("page_id", F.lit("").alias("url"), F.encode("digest", "utf-8").alias("html"), F.struct(F.col("first_id").alias("page_id")).alias("refers_to")).distinct()
     # pages and what is known of their digests travel in one shuffle, so the payloads move once
-    both = rows.withColumn("refers_to", F.lit(None).cast("struct<page_id:bigint>")).unionByName(refers)
+    both = rows.withColumn("html", pack_text("html")).withColumn("refers_to", F.lit(None).cast("struct<page_id:bigint>")).unionByName(refers)
     ready = both.repartition("page_id").sortWithinPartitions("page_id", F.col("refers_to").isNull(), "url", "html")
     write = _writer(folder, archive_bytes, min_bytes)
     return stored(ready.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-manifest")
@@ -177,7 +198,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with store.open_input_stream(at, compression=None) as stream:
                 for offset, data in _members(stream):
                     f, block = parse_record(data)
-                    held.append((path, offset, f["warc-record-id"], f["warc-type"], f.get("warc-concurrent-to"), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"), block))
+                    held.append((path, offset, f["warc-record-id"], f["warc-type"], f.get("warc-concurrent-to"), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest"), packed(block)))
                     size += len(block)
                     if size > 4_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
@@ -187,7 +208,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """One row per record of the archives whose path the manifest lists."""
+    """One row per record of the archives whose path the manifest lists; blocks are packed until ``assemble``."""
     paths = manifest.select("path").repartition(partitions(manifest.sparkSession))
     return paths.mapInArrow(_read, RECORDS)
 
@@ -203,7 +224,11 @@ def assemble(records: DataFrame) -> DataFrame:
     one = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(
         *(F.min(F.when(of(*kinds), part)).alias(kinds[0]) for kinds in (("response", "revisit"), ("request",), ("metadata",)))
     )
-    return one.select("capture_id", *(F.col(f"response.{c}").alias(c) for c in ("uri", "type", "refers_to", "digest")), "response", "request", "metadata")
+    return one.select("capture_id", *(F.col(f"response.{c}").alias(c) for c in ("uri", "type", "refers_to", "digest")), *(_with_block(c) for c in ("response", "request", "metadata")))
+
+
+def _with_block(record: str):
+    return F.when(F.col(record).isNotNull(), F.struct(F.col(f"{record}.record_id").alias("record_id"), unpack_block(F.col(f"{record}.block")).alias("block"))).alias(record)
 
 
 def captures_of(records: DataFrame) -> DataFrame:
