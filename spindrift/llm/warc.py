@@ -37,6 +37,8 @@ from .common import partitions, scratch, stored, table, text_or_empty
 
 #: Bytes of records after which a writer starts another archive.
 ARCHIVE_BYTES = 256_000_000
+#: Level of zstd between tasks.
+PACK_LEVEL = 6
 #: Kinds of records in the last byte of a record id.
 KINDS = {"response": 1, "revisit": 2, "request": 3, "metadata": 4}
 DATE = "2024-01-01T00:00:00Z"
@@ -78,7 +80,7 @@ def transaction(page_id: int | None, occurrence: int, url: str, payload: bytes,
 
 def packed(data: bytes) -> bytes:
     """Compressed for the way between tasks; the length comes first."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=PACK_LEVEL).compress(data, asbytes=True)
 
 
 def unpacked(data: bytes) -> bytes:
