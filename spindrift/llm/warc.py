@@ -37,6 +37,8 @@ from .common import partitions, scratch, stored, table, text_or_empty
 
 #: Bytes of records after which a writer starts another archive.
 ARCHIVE_BYTES = 256_000_000
+#: Bytes of an archive that are decompressed at a time.
+SLICE = 1 << 13
 #: Kinds of records in the last byte of a record id.
 KINDS = {"response": 1, "revisit": 2, "request": 3, "metadata": 4}
 DATE = "2024-01-01T00:00:00Z"
@@ -162,21 +164,22 @@ RECORDS = "path string, offset long, record_id string, type string, concurrent_t
 
 def _members(stream) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of each gzip member of a stream, read in blocks."""
-    offset, rest = 0, b""
+    offset, block, at = 0, memoryview(b""), 0
     while True:
         z, parts, used = zlib.decompressobj(31), [], 0
         while not z.eof:
-            data = rest or stream.read(1 << 20)
-            rest = b""
-            if not data:
-                if used:
-                    raise ValueError("the archive ends inside a record")
-                return
+            if at == len(block):
+                block, at = memoryview(stream.read(1 << 20)), 0
+                if not len(block):
+                    if used:
+                        raise ValueError("the archive ends inside a record")
+                    return
+            data = block[at : at + SLICE]  # what zlib leaves unused is copied, so slices are short
             parts.append(z.decompress(data))
-            used += len(data)
-        rest = z.unused_data
+            taken = len(data) - len(z.unused_data)
+            at, used = at + taken, used + taken
         yield offset, b"".join(parts)
-        offset += used - len(rest)
+        offset += used
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
