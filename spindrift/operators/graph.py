@@ -7,12 +7,14 @@ description). An edge is an unordered pair of normalised names (lo <= hi) that c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_name
+from ..plans.storage import stored
 from .components import connected_components
 
 DESCRIPTIONS, DESCRIPTION_CHARS, SEPARATOR = 5, 500, " | "
@@ -72,18 +74,37 @@ def merged_descriptions(mentions: DataFrame) -> DataFrame:
     return joined.select("name", F.when(F.length("d") > DESCRIPTION_CHARS, cut).otherwise(F.col("d")).alias("description"))
 
 
-def cooccurrence(relations: DataFrame, names: DataFrame, limit: int = PAIRS_PER_DOC) -> DataFrame:
+def cooccurrence(relations: DataFrame, names: DataFrame, limit: int = PAIRS_PER_DOC, window: int = 4 * PAIRS_PER_DOC) -> DataFrame:
     """doc_id, lo, hi: pairs of names (doc_id, name) of one document without an edge yet; ten a document, the lowest document owns a pair.
 
-    Only names that open one of a document's first pairs are joined: the pair of ranks (i, j) is among the first ``limit``
-    new ones only if fewer pairs come before it, so each name meets the ones after it up to the limit plus its edges.
+    The pairs of a document's sorted names are numbered in their order, and looked at ``window`` first, then in windows twice as
+    large, until ``limit`` new ones are found or none is left. A document so makes fewer than ``window`` plus four times as many
+    pairs as the last one that it needs, never all of them; only pairs that have edges already call for another round.
     """
-    once = names.select("doc_id", entity_name(F.col("name")).alias("name")).where("name <> ''").distinct()
-    a, b = once.withColumnRenamed("name", "lo"), once.withColumnRenamed("name", "hi")
-    new = a.join(b, "doc_id").where("lo < hi").join(relations.select("lo", "hi").distinct(), ["lo", "hi"], "left_anti")
-    w = Window.partitionBy("doc_id").orderBy("lo", "hi")
-    top = new.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit)
-    return top.groupBy("lo", "hi").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lo", "hi")
+    once = names.select("doc_id", entity_name(F.col("name")).alias("name")).where("name <> '' and doc_id is not null")
+    todo = stored(once.groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("names")).withColumn("found", F.lit(0).cast("long")), "names")
+    linked = stored(relations.select("lo", "hi").distinct(), "linked")
+    k = F.size("names").cast("long")
+    start = lambda i: (i * (2 * k - i - 1) / 2).cast("long")  # noqa: E731  (number of the first pair of the i-th name)
+    rounds, begin = [], 0
+    while True:
+        end = begin + window
+        some = todo.where(k * (k - 1) / 2 > begin)
+        if rounds and not some.limit(1).count():
+            break
+        numbered = some.select("doc_id", "names", "found", F.explode(F.sequence(F.lit(begin).cast("long"), F.least(F.lit(end).cast("long"), (k * (k - 1) / 2).cast("long")) - 1)).alias("at"))
+        guess = F.floor((2 * k - 1 - F.sqrt(F.greatest(F.lit(0.0), (2 * k - 1) * (2 * k - 1) - 8.0 * F.col("at")))) / 2)
+        placed = numbered.withColumn("i", guess).withColumn("i", F.when(start(F.col("i")) > F.col("at"), F.col("i") - 1).when(start(F.col("i") + 1) <= F.col("at"), F.col("i") + 1).otherwise(F.col("i")))
+        j = F.col("at") - start(F.col("i")) + F.col("i") + 1
+        pairs = placed.select("doc_id", "found", "at", F.get("names", F.col("i").cast("int")).alias("lo"), F.get("names", j.cast("int")).alias("hi"))
+        w = Window.partitionBy("doc_id").orderBy("at")
+        new = pairs.join(linked, ["lo", "hi"], "left_anti").withColumn("n", F.col("found") + F.row_number().over(w))
+        rounds.append(stored(new.where(F.col("n") <= limit).select("doc_id", "lo", "hi", "n"), "cooccurring"))
+        more = rounds[-1].groupBy("doc_id").agg(F.max("n").alias("n"))
+        left = some.where(k * (k - 1) / 2 > end).join(more, "doc_id", "left").withColumn("found", F.greatest("found", F.coalesce("n", F.lit(0)))).drop("n")
+        todo = stored(left.where(F.col("found") < limit), "names")
+        begin, window = end, 2 * window
+    return reduce(DataFrame.unionAll, rounds).groupBy("lo", "hi").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lo", "hi")
 
 
 def components(edge_table: DataFrame) -> DataFrame:
@@ -143,5 +164,7 @@ def capped(triplets: DataFrame, most: int) -> DataFrame:
 
 def stats(relations: DataFrame, names: DataFrame) -> DataFrame:
     """n_entities, n_edges, n_docs, entities_per_doc of the graph."""
-    e = names.agg(F.count_distinct("name").alias("n_entities"), F.count_distinct("doc_id").alias("n_docs"), (F.count_distinct("doc_id", "name") / F.count_distinct("doc_id")).alias("entities_per_doc"))
-    return e.crossJoin(edges(relations).agg(F.count(F.lit(1)).alias("n_edges")))  # one row each
+    held = names.agg(F.count_distinct("name").alias("n_entities"), F.count_distinct("doc_id").alias("n_docs"), (F.count_distinct("doc_id", "name") / F.count_distinct("doc_id")).alias("entities_per_doc"))
+    linked = edges(relations).agg(F.count(F.lit(1)).alias("n_edges"))
+    both = held.unionByName(linked, allowMissingColumns=True)  # one row each
+    return both.agg(*(F.max(c).alias(c) for c in ("n_entities", "n_docs", "entities_per_doc", "n_edges")))

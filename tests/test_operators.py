@@ -102,3 +102,30 @@ def test_subset_error(spark):
     with pytest.raises(ValueError):
         ranking.subset(q, rel, docs, 1, 3, 0)
     assert ranking.subset(q, rel.limit(2), docs, 1, 3, 0)[1].count() == 3
+
+
+@pytest.mark.parametrize("window", [1, 3, 40])
+def test_cooccurrence_equals_brute_force(spark, window):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    docs = {0: [f"n{i}" for i in range(60)], 1: ["only"], 2: ["n1", "n2"], 3: [f"n{i}" for i in range(0, 60, 2)], 4: [f"m{i}" for i in range(5)]}
+    pairs = [p for ns in docs.values() for p in itertools.combinations(sorted(set(ns)), 2)]
+    early = set(itertools.islice(itertools.combinations(sorted(docs[0]), 2), 300))  # edges before the first new pair
+    linked = early | set(rng.sample(pairs, 200)) | set(itertools.combinations(sorted(docs[4]), 2))
+    want = {}
+    for d, ns in sorted(docs.items()):
+        for p in [p for p in itertools.combinations(sorted(set(ns)), 2) if p not in linked][:10]:
+            want.setdefault(p, d)
+    rows = [(d, n) for d, ns in docs.items() for n in ns] + [(0, "n3"), (2, ""), (2, None), (None, "n9"), (None, "n8")]
+    names = spark.createDataFrame(rows, "doc_id long, name string")
+    edges = spark.createDataFrame(sorted(linked), "lo string, hi string")
+    got = graph.cooccurrence(edges, names, window=window)
+    assert sorted(values(got)) == sorted((d, *p) for p, d in want.items())
+    assert values(graph.cooccurrence(edges, names.limit(0), window=window)) == []
+
+
+def test_stats_of_empty_tables(spark):
+    none = spark.createDataFrame([], "lo string, hi string, doc_id long")
+    assert values(graph.stats(none, spark.createDataFrame([], "doc_id long, name string")).select("n_entities", "n_docs", "n_edges")) == [(0, 0, 0)]
