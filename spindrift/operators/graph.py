@@ -78,8 +78,8 @@ def cooccurrence(relations: DataFrame, names: DataFrame, limit: int = PAIRS_PER_
     """doc_id, lo, hi: pairs of names (doc_id, name) of one document without an edge yet; ten a document, the lowest document owns a pair.
 
     The pairs of a document's sorted names are numbered in their order, and looked at ``window`` first, then in windows twice as
-    large, until ``limit`` new ones are found or none is left. A document so makes fewer than ``window`` plus four times as many
-    pairs as the last one that it needs, never all of them; only pairs that have edges already call for another round.
+    large, until ``limit`` new ones are found or none is left. A document so makes at most ``window`` plus twice as many pairs as
+    the last one that it needs. One with fewer than ``limit`` new pairs looks at all its pairs, nearly all of which are edges already.
     """
     once = names.select("doc_id", entity_name(F.col("name")).alias("name")).where("name <> '' and doc_id is not null")
     todo = stored(once.groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("names")).withColumn("found", F.lit(0).cast("long")), "names")
