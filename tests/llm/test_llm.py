@@ -286,3 +286,22 @@ def test_pipeline(spark, corpus):
     ids = {i for i in ids if not any(len(g & grams(corpus[i])) >= 0.8 * len(g) for g in items)}
     want = mixing.mix(docs.where(F.col("doc_id").isin(list(ids))))
     assert sorted(map(str, p.run(spark, DATA).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 7, 1 << 13])
+def test_warc_members_equal_gzip(monkeypatch, slice_bytes):
+    import gzip
+    import io
+    import random
+
+    monkeypatch.setattr(warc, "SLICE", slice_bytes)
+    rng = random.Random(3)
+    contents = [b"", b"a", rng.randbytes(20_000), b"x" * 300_000, *[rng.randbytes(rng.randrange(50)) for _ in range(40)], rng.randbytes(1 << 20)]
+    contents = contents[:-1] if slice_bytes == 1 else contents
+    members = [gzip.compress(c) for c in contents]
+    offsets = [sum(map(len, members[:i])) for i in range(len(members))]
+    data = b"".join(members)
+    assert list(warc._members(io.BytesIO(data))) == list(zip(offsets, contents, strict=True))
+    assert list(warc._members(io.BytesIO(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc._members(io.BytesIO(data[:-1])))
