@@ -6,6 +6,7 @@ description). An edge is an unordered pair of normalised names (lo <= hi) that c
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
 
@@ -115,48 +116,80 @@ def components(edge_table: DataFrame) -> DataFrame:
     return found.join(found.groupBy("component").agg(F.min("name").alias("root")), "component").select(F.col("name").alias("node"), "root")
 
 
-def capped(triplets: DataFrame, most: int) -> DataFrame:
+def capped(triplets: DataFrame, most: int, mentions: DataFrame | None = None) -> DataFrame:
     """The names that stay when the graph may hold ``most``: name. A no-op below the cap.
 
-    Beyond it names are admitted in order of statement and the least of those with one document is evicted for each new one:
-    n_docs * (degree + 1). This rule depends on the order of all triplets, so it is one sequential fold, over names and pairs only.
+    Beyond it names are admitted in order of statement, and for each new one the least of those with one document is evicted:
+    n_docs * (degree + 1) * (1 + characters of its description / 100), the first admitted of equal ones. A document's
+    descriptions (``mentions``) count once its triplets are in. This rule depends on the order of all triplets, so it is one
+    sequential fold; it holds the names and pairs of a graph within the cap, and a heap of the evictable names.
     """
-    ends = triplets.select("doc_id", "seq", entity_name(F.col("source")).alias("s"), entity_name(F.col("target")).alias("t")).where("s <> '' and t <> ''")
+    ends = triplets.select("doc_id", "seq", entity_name(F.col("source")).alias("s"), entity_name(F.col("target")).alias("t"), F.lit(0).alias("chars")).where("s <> '' and t <> ''")
     names = ends.select(F.explode(F.array("s", "t")).alias("name")).distinct()
     if names.limit(most + 1).count() <= most:
         return names
+    if mentions is not None:
+        told = mentions.select("doc_id", F.col("seq") + (1 << 40), entity_name(F.col("name")), F.lit(None).cast("string"), F.length("description"))
+        ends = ends.unionAll(told.where(F.coalesce(F.length("description"), F.lit(0)) > 0))
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs: dict[str, set] = {}
-        degree: dict[str, int] = {}
-        linked: set = set()
+        told: dict[str, int] = {}
+        links: dict[str, set] = {}
+        since: dict[str, int] = {}
+        heap: list = []
+
+        def score(x: str) -> float:
+            return (len(links[x]) + (x in links[x]) + 1) * (1 + told[x] / 100)  # a loop counts twice
+
+        def touch(x: str) -> None:
+            if x in docs and len(docs[x]) == 1:
+                heapq.heappush(heap, (score(x), since[x], x))
+
+        def evictable(pair: set) -> str | None:
+            aside, out = [], None
+            while heap:
+                top = heapq.heappop(heap)
+                if top[2] not in docs or len(docs[top[2]]) > 1 or top[:2] != (score(top[2]), since[top[2]]):
+                    continue  # an older state of the name
+                if top[2] not in pair:
+                    out = top[2]
+                    break
+                aside.append(top)
+            for x in aside:
+                heapq.heappush(heap, x)
+            return out
+
+        n = 0
         for p in parts:
             for r in p.itertuples():
-                pair = tuple(sorted((r.s, r.t)))
+                if r.t is None:
+                    if r.s in docs:
+                        told[r.s] = min(DESCRIPTION_CHARS, told[r.s] + r.chars + (len(SEPARATOR) if told[r.s] else 0))
+                        touch(r.s)
+                    continue
                 ok = True
-                for name in (r.s, r.t):
-                    if name in docs:
-                        docs[name].add(r.doc_id)
+                for x in (r.s, r.t):
+                    if x in docs:
+                        docs[x].add(r.doc_id)
                         continue
                     if len(docs) >= most:
-                        single = [x for x, d in docs.items() if len(d) == 1 and x not in pair]
-                        if not single:
+                        out = evictable({r.s, r.t})
+                        if out is None:
                             ok = False
                             break
-                        out = min(single, key=lambda x: degree.get(x, 0) + 1)
-                        del docs[out]
-                        degree.pop(out, None)
-                        gone = {e for e in linked if out in e}
-                        for e in gone:
-                            other = e[0] if e[1] == out else e[1]
-                            if other in degree:
-                                degree[other] -= 1
-                        linked -= gone
-                    docs[name] = {r.doc_id}
-                if ok and pair not in linked:
-                    linked.add(pair)
-                    for x in pair:
-                        degree[x] = degree.get(x, 0) + 1
+                        for other in links.pop(out) - {out}:
+                            links[other].discard(out)
+                            touch(other)
+                        del docs[out], told[out], since[out]
+                    n += 1
+                    docs[x], told[x], links[x], since[x] = {r.doc_id}, 0, set(), n
+                    touch(x)
+                if ok and r.t not in links[r.s]:
+                    links[r.s].add(r.t)
+                    links[r.t].add(r.s)
+                    touch(r.s)
+                    touch(r.t)
         yield pd.DataFrame({"name": list(docs)})
 
     return ends.repartition(1).sortWithinPartitions("doc_id", "seq").mapInPandas(fold, "name string")

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 TOP = {"entity": 10, "relation": 20, "keyword": 20}
 RELATION_CAP = 30
+#: Fixed value: what stands for a context without documents.
+NOTHING = "[No se encontraron documentos]"
+
+
+def json_line(**values: Column) -> Column:
+    """A JSON object on one line with ``", "`` and ``": "`` between its parts; a null member is left out."""
+    bare = lambda v: F.regexp_replace(F.to_json(F.struct(v.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
+    members = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}": '), bare(v))) for k, v in values.items()]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
 
 
 def percentile(values: Column, p: float) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -42,6 +44,31 @@ class HashEmbedder:
         return (out / np.where(norms == 0, 1, norms)).tolist()
 
 
+class WordModel:
+    """Finds every capitalised word as an entity and relates neighbours: no model, but graphs of it can be checked by hand."""
+
+    def complete(self, prompt: str, phase: str) -> str:
+        body = prompt.split("\n\n")[2 if phase == "extraction" else 2 if phase == "query_keywords" else -1 :]
+        if phase == "query_keywords":
+            words = " ".join(body).split()
+            return json.dumps({"low_level": [w for w in words if w[0].isupper()], "high_level": [w for w in words if not w[0].isupper()]})
+        if phase != "extraction":
+            return "NOTHING" if phase == "gleaning" else json.dumps({"score": 1.0, "justification": phase})
+        blocks = re.findall(r'\[DOC \d+ id="(.*?)"\]\n(.*?)\n\[/DOC', "\n\n".join(body), re.S)
+        found = [{"doc_id": i} | self._found(t) for i, t in blocks]
+        return json.dumps({"documents": found} if blocks else self._found(" ".join(body)))
+
+    @staticmethod
+    def _found(text: str) -> dict:
+        words = text.split()
+        names = [w for w in words if w[0].isupper()]
+        return {
+            "entities": [{"name": n, "type": "concept", "description": f"about {n}"} for n in names],
+            "relations": [{"source": a, "target": b, "relation": "next to", "description": ""} for a, b in zip(names, names[1:], strict=False)],
+            "high_level_keywords": [w for w in words if not w[0].isupper()],
+        }
+
+
 class EchoModel:
     """Answers with the digest of its prompt as a judge's score."""
 
@@ -68,9 +95,11 @@ def embed_column(rows: DataFrame, text: str, embedder: Embedder, out: str = "vec
 
 
 def complete_column(rows: DataFrame, prompt: str, model: Model, phase: str, parallel: int = 4, attempts: int = 4, backoff: float = 1.0) -> DataFrame:
-    """``rows`` with answer, error and llm_ms: ``parallel`` calls a task, each tried again with growing pauses."""
+    """``rows`` with answer, error and llm_ms: ``parallel`` calls a task, each tried again with growing pauses. A null prompt is not sent."""
 
-    def one(text: str) -> tuple:
+    def one(text: str | None) -> tuple:
+        if text is None:
+            return None, None, 0.0
         began = time.monotonic()
         for i in range(attempts):
             try:
@@ -84,7 +113,7 @@ def complete_column(rows: DataFrame, prompt: str, model: Model, phase: str, para
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(parallel) as pool:
             for p in parts:
-                found = list(pool.map(one, p[prompt]))
+                found = list(pool.map(one, p[prompt].astype(object).where(p[prompt].notna(), None)))
                 yield p.assign(answer=[x[0] for x in found], error=[x[1] for x in found], llm_ms=[x[2] for x in found])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string, error string, llm_ms double"
