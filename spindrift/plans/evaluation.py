@@ -1,89 +1,254 @@
-"""An evaluation run: retrieve, answer, score, aggregate, as one chain of DataFrame plans."""
+"""An evaluation run: retrieve, answer, score, aggregate, as one chain of DataFrame plans.
+
+Answers of models are stored, so that no action and no lost executor asks a model twice.
+"""
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import judge_result
-from ..functions.text import full_text, strip_think
+from ..functions.parse import citations, judge_result
+from ..functions.text import strip_think
 from ..operators import metrics, ranking
-from ..operators.vectors import nearest
+from ..operators.vectors import semantic_similarity
 from ..sources.datasets import Dataset, redacted
-from . import providers
+from . import prompts, providers
+from .retrieval import STRATEGIES, GraphSettings, retriever, structured_context
+from .storage import stored
+
+#: Characters per token, and tokens kept for the rest of a prompt, when the context is sized by the model's window.
+CHARS_PER_TOKEN, OVERHEAD_TOKENS, FALLBACK_CHARS = 4, 1024, 4000
 
 
 @dataclass
 class RunConfig:
     dataset: str = "dataset"
     dataset_type: str = "HYBRID"
+    strategy: str = "SIMPLE_VECTOR"
+    graph: GraphSettings = field(default_factory=GraphSettings)
     retrieval_k: int = 20
+    generation: bool = True
     generation_top_n: int = 0
     rerank_top_n: int = 0
     rerank_fetch_k: int = 0
-    max_context_chars: int = 4000
+    max_context_chars: int = FALLBACK_CHARS
+    synthesis: bool = True
+    synthesis_max_chars: int = 0
+    synthesis_timeout: float = 30.0
     judge_threshold: float = 0.02
     max_queries: int = 50
     max_corpus: int = 1000
     seed: int = 42
+    dev_mode: bool = False
+    dev_queries: int = 200
+    dev_corpus_size: int = 4000
     extra: dict = field(default_factory=dict)
 
     def faults(self) -> list[str]:
         """What is wrong with the settings, all of it."""
-        out = [f"{k} must be positive" for k in ("retrieval_k", "max_context_chars") if getattr(self, k) <= 0]
-        out += [f"{k} must not be negative" for k in ("generation_top_n", "rerank_top_n", "rerank_fetch_k", "max_queries", "max_corpus") if getattr(self, k) < 0]
+        out = [f"{k} must be positive" for k in ("retrieval_k", "max_context_chars", "synthesis_timeout") if getattr(self, k) <= 0]
+        out += [f"{k} must not be negative" for k in ("generation_top_n", "rerank_top_n", "rerank_fetch_k", "max_queries", "max_corpus", "synthesis_max_chars") if getattr(self, k) < 0]
+        out += [f"{k} must be positive in dev mode" for k in ("dev_queries", "dev_corpus_size") if self.dev_mode and getattr(self, k) <= 0]
+        if not 0 <= self.judge_threshold <= 1:
+            out.append("judge_threshold must be from 0 to 1")
         if self.dataset_type not in ("HYBRID", "RETRIEVAL_ONLY", "ADAPTED"):
             out.append(f"unknown dataset type {self.dataset_type}")
-        return out
+        if self.strategy not in STRATEGIES:
+            out.append(f"unknown strategy {self.strategy}")
+        return out + self.graph.faults()
 
 
 class JudgeGuard(RuntimeError):
-    """Too many judge answers had no score."""
+    """Too many judge answers had no score. ``report`` is the report of the run."""
 
+    def __init__(self, message: str, report: dict | None = None):
+        super().__init__(message)
+        self.report = report
 
-def evaluate(data: Dataset, config: RunConfig, embedder: providers.Embedder, model: providers.Model, reranker: providers.Reranker | None = None) -> tuple[DataFrame, dict]:
-    """Per-query results and the report of the run. Ids of queries and documents are numbered for the vector search."""
-    if config.faults():
-        raise ValueError("; ".join(config.faults()))
+
+def context_chars(override: int, window_tokens: int | None) -> int:
+    """Characters of context: the override, else what the model's window leaves, else the fallback."""
+    if override > 0:
+        return override
+    left = (window_tokens or 0) - OVERHEAD_TOKENS
+    return left * CHARS_PER_TOKEN if left > 0 else FALLBACK_CHARS
+
+
+def selected(data: Dataset, config: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """The queries and documents of a run: the development subset, or the first queries and documents in seeded order (0: all)."""
     queries, corpus = data.queries, data.corpus
+    if config.dev_mode:
+        return ranking.subset(queries, data.qrels, corpus, config.dev_queries, config.dev_corpus_size, config.seed)
     if config.max_queries:
         queries = queries.orderBy("query_id").limit(config.max_queries)
     if config.max_corpus:
         corpus = corpus.withColumn("_o", ranking.seeded_order(config.seed, "doc_id")).orderBy("_o").limit(config.max_corpus).drop("_o")
-    docs = providers.embed_column(corpus.select("doc_id", full_text(F.col("title"), F.col("content")).alias("content")), "content", embedder).withColumn("id", F.xxhash64("doc_id"))
-    asked = providers.embed_column(queries, "query_text", embedder).withColumn("id", F.xxhash64("query_id"))
-    fetch = max(config.rerank_fetch_k or 3 * config.rerank_top_n, config.retrieval_k) if reranker and config.rerank_top_n else config.retrieval_k
-    hits = nearest(asked.select("id", "vector"), docs.select("id", "vector"), fetch, "l2").withColumnRenamed("query_id", "qid")
-    ranked = hits.join(asked.select(F.col("id").alias("qid"), "query_id", "query_text"), "qid").join(docs.select("id", "doc_id", "content"), "id").where("content <> ''").drop("id", "qid").withColumnRenamed("doc_id", "id").cache()
-
-    listed = ranked.where(F.col("rank") <= config.retrieval_k).select("query_id", "rank", "id", "distance")
-    relevant = (data.qrels if data.qrels is not None else queries.sparkSession.createDataFrame([], "query_id string, doc_id string")).withColumnRenamed("doc_id", "id")
+    return queries, corpus
+
+
+def synthesized(contexts: DataFrame, model: providers.Model, max_chars: int, timeout: float, where: str = "true") -> DataFrame:
+    """``contexts`` (query_id, query_text, context, ...) with narrative, synthesis_error, truncated and synthesis_ms.
+
+    A call that fails, is late or answers nothing leaves the context as it is and names the reason: error, timeout or empty.
+    """
+    asked = contexts.withColumn("_p", F.when(F.expr(where), prompts.synthesis(F.col("query_text"), F.col("context"), max_chars)))
+    told = stored(providers.complete_column(asked, "_p", model, "kg_synthesis", attempts=1, timeout=timeout), "synthesis")
+    text = F.trim(F.coalesce("answer", F.lit("")))
+    failed = F.when(F.col("error") == "timeout", "timeout").when(F.col("error").isNotNull(), "error").when(text == "", "empty")
+    sent = F.col("_p").isNotNull()
+    return told.select(
+        *contexts.columns,
+        F.when(sent & failed.isNull(), F.substring(text, 1, max_chars)).otherwise(F.col("context")).alias("narrative"),
+        F.when(sent, failed).alias("synthesis_error"),
+        (sent & failed.isNull() & (F.length(text) > max_chars)).alias("truncated"),
+        F.when(sent, F.col("llm_ms")).alias("synthesis_ms"),
+    )
+
+
+def synthesis_stats(told: DataFrame) -> DataFrame:
+    """One row: how often a narrative was asked for, and how that ended."""
+    sent = told.where("synthesis_ms IS NOT NULL")
+    n = F.count(F.lit(1))
+    one = lambda reason: F.count_if(F.col("synthesis_error") == reason)
+    return sent.agg(
+        n.alias("invocations"),
+        F.count_if(F.col("synthesis_error").isNull()).alias("successes"),
+        one("error").alias("errors"),
+        one("empty").alias("empty_returns"),
+        F.count_if("truncated").alias("truncations"),
+        one("timeout").alias("timeouts"),
+        F.when(n > 0, F.count_if(F.col("synthesis_error").isNotNull()) / n).otherwise(0.0).alias("fallback_rate"),
+        *(ranking.percentile(F.col("synthesis_ms"), p).alias(f"p{int(100 * p)}_ms") for p in (0.5, 0.95)),
+        F.coalesce(F.max("synthesis_ms"), F.lit(0.0)).alias("max_ms"),
+    )
+
+
+def _contexts(queries, found, shown, entities, relations, config: RunConfig) -> DataFrame:
+    """query_id, query_text, context, n_chunks, has_graph: structured where the graph has something to show, else plain."""
+    asked = queries.select("query_id", "query_text")
+    plain = ranking.pack_context(shown, "query_id", ["rank"], "content", config.max_context_chars)
+    plain = asked.join(plain, "query_id", "left").select("query_id", "query_text", F.coalesce("context", F.lit(ranking.NOTHING)).alias("context"), F.coalesce("n_docs", F.lit(0)).alias("n_chunks"))
+    lines = [x.select("query_id") for x in (entities, relations) if x is not None]
+    if not lines:
+        return plain.withColumn("has_graph", F.lit(False))
+    served = found.where("fallback IS NULL").select("query_id").distinct()  # a query that fell back shows no graph
+    graphs = reduce(DataFrame.unionAll, lines).distinct().join(served, "query_id", "left_semi")
+    rich = structured_context(graphs, shown, entities, relations, config.max_context_chars, config.graph.mode).withColumnRenamed("context", "_c").withColumnRenamed("n_chunks", "_n")
+    both = plain.join(rich, "query_id", "left")
+    return both.select("query_id", "query_text", F.coalesce("_c", "context").alias("context"), F.coalesce("_n", "n_chunks").alias("n_chunks"), F.col("_c").isNotNull().alias("has_graph"))
+
+
+def evaluate(data: Dataset, config: RunConfig, embedder: providers.Embedder, model: providers.Model | None, reranker: providers.Reranker | None = None) -> tuple[DataFrame, dict]:
+    """Per-query results and the report of the run."""
+    began = time.monotonic()
+    if config.faults():
+        raise ValueError("; ".join(config.faults()))
+    if data.status == "error":
+        raise ValueError(f"the dataset is not loaded: {data.error}")
+    if model is None and (config.generation or config.strategy == "LIGHT_RAG"):
+        raise ValueError("answers and the graph need a model")
+    queries, corpus = (stored(x, "selected") for x in selected(data, config))
+    spark, graphed = queries.sparkSession, config.strategy == "LIGHT_RAG"
+    reranks = bool(reranker and config.rerank_top_n and not graphed)
+
+    engine = retriever(config.strategy, embedder, model, config.graph, config.retrieval_k)
+    engine.index_documents(corpus)
+    fetch = max(config.rerank_fetch_k or 3 * config.rerank_top_n, config.retrieval_k) if reranks else config.retrieval_k
+    found, entities, relations = engine.search(queries, fetch) if graphed else (engine.retrieve(queries, fetch), None, None)
+    found = stored(found.withColumnRenamed("doc_id", "id"), "retrieved")
+
+    listed = found.where(F.col("rank") <= config.retrieval_k).select("query_id", "rank", "id", F.lit(0.0).alias("distance"))
+    relevant = (data.qrels if data.qrels is not None else spark.createDataFrame([], "query_id string, doc_id string")).withColumnRenamed("doc_id", "id")
+    relevant = relevant.join(queries.select("query_id"), "query_id", "left_semi")
     scores = metrics.retrieval_metrics(listed, relevant)
 
-    shown = ranked
-    if reranker and config.rerank_top_n:
-        shown = ranking.rerank(ranked, providers.rerank_scores(ranked, reranker), config.rerank_top_n).drop("rank").withColumnRenamed("new_rank", "rank")
-    elif config.generation_top_n:
-        shown = ranked.where(F.col("rank") <= config.generation_top_n)
-    context = ranking.pack_context(shown.where(F.col("rank") <= max(config.retrieval_k, config.rerank_top_n)), "query_id", ["rank"], "content", config.max_context_chars)
-
-    prompts = queries.join(context, "query_id", "left").withColumn("prompt", F.concat_ws("\n\n", F.coalesce("context", F.lit("")), F.concat(F.lit("Question: "), "query_text"), F.lit("Answer:")))
-    answered = providers.complete_column(prompts, "prompt", model, "generation")
-    answered = answered.withColumn("response", F.when(F.col("error").isNotNull(), F.concat(F.lit("[ERROR: "), "error", F.lit("]"))).otherwise(strip_think(F.col("answer")))).drop("answer", "error", "llm_ms")
-    judged = providers.complete_column(answered.withColumn("judge_prompt", F.concat(F.lit("Score from 0 to 1 how well the answer fits the context.\n"), F.substring("context", 1, 2000), F.lit("\n"), F.substring("response", 1, 2000))), "judge_prompt", model, "judge")
-    judged = judged.withColumn("judge", judge_result(F.col("answer")))
-    kind = metrics.primary_metric(F.lit(config.dataset_type), F.col("answer_type"), F.col("expected_answer"), F.lit(True))
-    value = F.when(F.col("metric") == "f1", metrics.token_f1(F.col("response"), F.col("expected_answer"))).when(F.col("metric") == "accuracy", metrics.accuracy(F.col("response"), F.col("expected_answer"))).when(F.col("metric") == "error", 0.0).otherwise(F.col("judge.score"))
-    graded = judged.withColumn("metric", kind).withColumn("generation_score", value)
-    result = graded.select("query_id", "response", "metric", "generation_score", F.col("judge.was_default").alias("judge_default"), F.when(F.col("error").isNull(), "completed").otherwise("failed").alias("status")).join(scores, "query_id", "left")
-    report = summary(result) | {"dataset": config.dataset, "config": redacted(asdict(config))}
+    shown, other = found, False
+    if reranks:
+        texts = found.join(queries.select("query_id", "query_text"), "query_id")
+        shown = stored(ranking.rerank(texts, providers.rerank_scores(texts, reranker), config.rerank_top_n).drop("rank").withColumnRenamed("new_rank", "rank"), "reranked")
+        other = True
+    elif config.generation_top_n and graphed:
+        shown, other = found.where(F.col("rank") <= config.generation_top_n), True
+    sizes = listed.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_retrieved"))
+    wanted = relevant.groupBy("query_id").agg(F.count_distinct("id").alias("n_expected"))
+    hits = shown.select("query_id", "id").distinct().join(relevant.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("_hits"))
+    fell = found.where("fallback IS NOT NULL").groupBy("query_id").agg(F.first("fallback").alias("fallback"))
+    per = queries.select("query_id").join(sizes, "query_id", "left").join(wanted, "query_id", "left").join(hits, "query_id", "left").join(fell, "query_id", "left").join(scores, "query_id", "left")
+    hit = F.coalesce("_hits", F.lit(0))
+    on = F.lit(other) & (F.col("n_expected") > 0)
+    per = per.withColumn("generation_recall", F.when(on, hit / F.col("n_expected"))).withColumn("generation_hit", F.when(on, (hit > 0).cast("double"))).drop("_hits").fillna(0, ["n_retrieved", "n_expected"])
+
+    extra: dict = {}
+    if config.generation:
+        answers, extra = _answers(queries, _contexts(queries, found, shown, entities, relations, config), config, embedder, model)
+        per = per.join(answers, "query_id", "left")
+    else:
+        per = per.withColumn("generation_score", F.lit(None).cast("double")).withColumn("judge_default", F.lit(None).cast("boolean"))
+    result = stored(per.withColumn("status", F.lit("completed")), "results")
+    mismatch = graphed and (engine.degraded is not None or config.graph.mode == "naive")
+    report = summary(result, config.retrieval_k) | extra | {
+        "dataset": config.dataset,
+        "retrieval_strategy": "FALLBACK_SIMPLE_VECTOR" if mismatch else config.strategy,
+        "total_documents": corpus.count(),
+        "config": redacted(asdict(config)),
+        "execution_time_seconds": round(time.monotonic() - began, 2),
+    }
+    if graphed and engine.degraded:
+        report["degraded"] = engine.degraded
     if config.judge_threshold > 0 and report["judge_default_rate"] > config.judge_threshold:
-        raise JudgeGuard(f"{report['judge_default_rate']:.1%} of judge answers had no score")
+        raise JudgeGuard(f"{report['judge_default_rate']:.1%} of judge answers had no score", report)
     return result, report
 
 
+def _answers(queries: DataFrame, contexts: DataFrame, config: RunConfig, embedder, model) -> tuple[DataFrame, dict]:
+    """The answer of each query with its scores, and what the report says of the model's calls."""
+    told = contexts.withColumn("narrative", F.col("context"))
+    extra: dict = {}
+    narrated = config.strategy == "LIGHT_RAG" and config.synthesis
+    if narrated:
+        told = synthesized(contexts, model, config.synthesis_max_chars or config.max_context_chars, config.synthesis_timeout, "has_graph")
+        extra["kg_synthesis"] = {k: round(v, 4) if isinstance(v, float) else v for k, v in synthesis_stats(told).first().asDict().items()}
+    known = told.join(queries.select("query_id", "expected_answer", "answer_type"), "query_id")
+    asked = known.withColumn("prompt", prompts.generation(F.col("query_text"), F.col("narrative"), config.dataset_type == "HYBRID"))
+    said = stored(providers.complete_column(asked, "prompt", model, "generation"), "answers")
+    calls = [said.select(F.lit("generation").alias("phase"), "llm_ms")]
+    said = said.withColumn("response", F.when(F.col("error").isNotNull(), F.concat(F.lit("[ERROR: "), "error", F.lit("]"))).otherwise(strip_think(F.col("answer")))).drop("answer", "error", "llm_ms", "prompt")
+    said = said.withColumn("metric", metrics.primary_metric(F.lit(config.dataset_type), F.col("answer_type"), F.col("expected_answer"), F.lit(True)))
+    judge = F.when(F.col("metric") == "answer_relevance", prompts.answer_relevance(F.col("response"), F.col("query_text"))).otherwise(prompts.faithfulness(F.col("response"), F.col("context")))
+    judged = stored(providers.complete_column(said.withColumn("prompt", judge), "prompt", model, "judge"), "judged")
+    calls.append(judged.where("prompt IS NOT NULL").select(F.lit("judge").alias("phase"), "llm_ms"))
+    if config.dataset_type == "ADAPTED":
+        judged = providers.embed_column(providers.embed_column(judged, "response", embedder, "_a"), "expected_answer", embedder, "_b")
+        near = semantic_similarity(F.col("_a"), F.col("_b"))
+    else:
+        near = F.lit(None).cast("double")
+    j = judge_result(F.col("answer"))
+    sent = F.col("prompt").isNotNull() & F.col("error").isNull()
+    opinion = F.when(sent, j["score"]).otherwise(0.0)
+    answer, expected = F.col("response"), F.col("expected_answer")
+    scored = {"f1": metrics.token_f1(answer, expected), "accuracy": metrics.accuracy(answer, expected), "exact_match": metrics.exact_match(answer, expected), "semantic_similarity": near}
+    value = opinion
+    for name in ("f1", "accuracy", "semantic_similarity"):
+        value = F.when(F.col("metric") == name, scored[name]).otherwise(value)
+    value = F.when(F.col("metric") == "error", 0.0).otherwise(value)
+    has = expected.isNotNull()
+    columns = [
+        "query_id", "response", "metric", value.alias("generation_score"), F.when(sent, j["was_default"]).alias("judge_default"), F.when(F.col("metric") == "error", "no expected answer").otherwise(F.col("error")).alias("metric_error"),
+        F.when(F.col("metric") != "answer_relevance", opinion).alias("faithfulness"), *(F.when(has, scored[n]).alias(n) for n in ("f1", "exact_match")), "n_chunks", "has_graph",
+    ]
+    if narrated:
+        columns += ["synthesis_error", (F.col("has_graph") & F.col("synthesis_error").isNull()).alias("synthesis_used")]
+        columns += [F.when(F.col("has_graph"), citations(F.col(c), F.col("n_chunks"))).alias(f"citation_refs_{n}") for n, c in (("synth", "narrative"), ("gen", "response"))]
+    times = reduce(DataFrame.unionAll, calls).groupBy("phase").agg(F.count(F.lit(1)).alias("n"), *(F.round(x, 1).alias(a) for a, x in (("p50", ranking.percentile(F.col("llm_ms"), 0.5)), ("p95", ranking.percentile(F.col("llm_ms"), 0.95)), ("max", F.max("llm_ms")))))
+    extra["calls"] = {r["phase"]: {k: r[k] for k in ("n", "p50", "p95", "max")} for r in times.collect()}  # one row a phase
+    return judged.select(*columns), extra
+
+
 def run_totals(results: DataFrame) -> DataFrame:
     """One row: averages over the completed queries; what is missing counts 0."""
     done = results.where("status = 'completed'")
@@ -97,7 +262,23 @@ def run_totals(results: DataFrame) -> DataFrame:
     )
 
 
-def summary(results: DataFrame) -> dict:
-    row = run_totals(results).first().asDict()
+def generation_totals(results: DataFrame, retrieval_k: int) -> DataFrame:
+    """One row: averages over the completed queries whose answer saw a list of its own (null without any), and how many that
+    list rescued: its recall is above that at ``retrieval_k``, which counts 0 where it is not among the measured depths."""
+    own = results.where("status = 'completed' AND generation_recall IS NOT NULL")
+    at = f"recall_at_{retrieval_k}"
+    recall = F.coalesce(F.col(at), F.lit(0.0)) if at in results.columns else F.lit(0.0)
+    return own.agg(F.avg("generation_recall").alias("avg_generation_recall"), F.avg("generation_hit").alias("avg_generation_hit"), F.count_if(F.col("generation_recall") > recall).alias("reranker_rescue_count"))
+
+
+def summary(results: DataFrame, retrieval_k: int = 20) -> dict:
+    """The figures of a report: averages to 4 places, sizes of lists to 1."""
+    row = run_totals(results).first().asDict() | generation_totals(results, retrieval_k).first().asDict()
+    mean = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0.0))) / F.count(F.lit(1)), F.lit(0.0))
+    curves = [f"{m}_at_{k}" for m in ("recall", "ndcg") for k in metrics.KS]
+    more = results.where("status = 'completed'").agg(*(mean(c).alias(c) for c in curves), mean("n_retrieved").alias("retrieved"), mean("n_expected").alias("expected"), F.count_if(F.col("fallback").isNotNull()).alias("fallbacks")).first()
     rate = results.agg(F.coalesce(F.avg(F.col("judge_default").cast("double")), F.lit(0.0))).first()[0]
-    return {k: round(v, 4) if isinstance(v, float) else v for k, v in row.items()} | {"judge_default_rate": rate}
+    out = {k: round(v, 4) if isinstance(v, float) else v for k, v in row.items()} | {"judge_default_rate": rate}
+    out |= {f"avg_{m}_at_k": {k: round(more[f"{m}_at_{k}"], 4) for k in metrics.KS} for m in ("recall", "ndcg")}
+    out["complement_recall_at_k"] = {k: round(1 - more[f"recall_at_{k}"], 4) for k in metrics.KS}
+    return out | {"avg_retrieved_count": round(more["retrieved"], 1), "avg_expected_count": round(more["expected"], 1), "n_fallbacks": more["fallbacks"]}

@@ -6,8 +6,10 @@ import hashlib
 import json
 import re
 import time
+import urllib.request
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -83,6 +85,76 @@ class OverlapReranker:
         return [len(q & set(t.lower().split())) / max(1, len(q)) for t in texts]
 
 
+def _post(url: str, body: dict, timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.loads(answer.read())
+
+
+@dataclass
+class HttpEmbedder:
+    """The embeddings endpoint that most model servers share; texts go in batches, rows come back by their index."""
+
+    url: str
+    model: str
+    batch: int = 50
+    timeout: float = 120.0
+    attempts: int = 3
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out: list = []
+        for i in range(0, len(texts), self.batch):
+            some = texts[i : i + self.batch]
+            for n in range(self.attempts):
+                try:
+                    rows = _post(f"{self.url}/embeddings", {"model": self.model, "input": some}, self.timeout)["data"]
+                    break
+                except (OSError, ValueError, KeyError):
+                    if n + 1 == self.attempts:
+                        raise
+                    time.sleep(2**n)
+            if len(rows) != len(some):
+                raise ValueError(f"{len(rows)} embeddings for {len(some)} texts")
+            out += [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]
+        return out
+
+
+@dataclass
+class HttpModel:
+    """The chat endpoint; an answer that is all reasoning is asked for again with twice the tokens, up to ``most_tokens``."""
+
+    url: str
+    model: str
+    temperature: float = 0.1
+    tokens: int = 4096
+    most_tokens: int = 32_768
+    timeout: float = 120.0
+
+    def complete(self, prompt: str, phase: str) -> str:
+        tokens = self.tokens
+        while True:
+            body = {"model": self.model, "temperature": self.temperature, "max_tokens": tokens, "messages": [{"role": "user", "content": prompt}]}
+            text = _post(f"{self.url}/chat/completions", body, self.timeout)["choices"][0]["message"].get("content") or ""
+            kept = re.sub(r"(?s)<think>.*?(</think>|$)", "", text).strip()
+            if kept:
+                return kept
+            if tokens >= self.most_tokens:
+                raise ValueError("the answer holds no text but reasoning")
+            tokens = min(2 * tokens, self.most_tokens)
+
+
+@dataclass
+class HttpReranker:
+    url: str
+    model: str
+    timeout: float = 120.0
+
+    def scores(self, query: str, texts: list[str]) -> list[float]:
+        body = {"model": self.model, "query": {"text": query}, "passages": [{"text": t} for t in texts]}
+        found = {r["index"]: r["logit"] for r in _post(f"{self.url}/ranking", body, self.timeout)["rankings"]}
+        return [found.get(i, 0.0) for i in range(len(texts))]
+
+
 def embed_column(rows: DataFrame, text: str, embedder: Embedder, out: str = "vector") -> DataFrame:
     """``rows`` with the embedding of a text column, a batch at a time."""
 
@@ -94,8 +166,11 @@ def embed_column(rows: DataFrame, text: str, embedder: Embedder, out: str = "vec
     return rows.withColumn(out, run(F.col(text)))
 
 
-def complete_column(rows: DataFrame, prompt: str, model: Model, phase: str, parallel: int = 4, attempts: int = 4, backoff: float = 1.0) -> DataFrame:
-    """``rows`` with answer, error and llm_ms: ``parallel`` calls a task, each tried again with growing pauses. A null prompt is not sent."""
+def complete_column(rows: DataFrame, prompt: str, model: Model, phase: str, parallel: int = 4, attempts: int = 4, backoff: float = 1.0, timeout: float | None = None) -> DataFrame:
+    """``rows`` with answer, error and llm_ms: ``parallel`` calls a task, each tried again with growing pauses. A null prompt is not sent.
+
+    With ``timeout`` (seconds from submission, waiting included) a call that is not back by then has the error ``timeout``.
+    """
 
     def one(text: str | None) -> tuple:
         if text is None:
@@ -111,10 +186,21 @@ def complete_column(rows: DataFrame, prompt: str, model: Model, phase: str, para
         return None, error, (time.monotonic() - began) * 1e3
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(parallel) as pool:
+        pool = ThreadPoolExecutor(parallel)
+        try:
             for p in parts:
-                found = list(pool.map(one, p[prompt].astype(object).where(p[prompt].notna(), None)))
+                calls = [pool.submit(one, t) for t in p[prompt].astype(object).where(p[prompt].notna(), None)]
+                end = None if timeout is None else time.monotonic() + timeout
+                found = []
+                for c in calls:
+                    try:
+                        found.append(c.result(None if end is None else max(0.0, end - time.monotonic())))
+                    except TimeoutError:
+                        c.cancel()
+                        found.append((None, "timeout", timeout * 1e3))
                 yield p.assign(answer=[x[0] for x in found], error=[x[1] for x in found], llm_ms=[x[2] for x in found])
+        finally:
+            pool.shutdown(wait=timeout is None, cancel_futures=True)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string, error string, llm_ms double"
     return rows.mapInPandas(run, schema)

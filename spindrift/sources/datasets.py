@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import tarfile
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -183,3 +187,52 @@ def redacted(config: dict) -> dict:
 
 def write_report(spark: SparkSession, path: str, report: dict) -> None:
     write_text(spark, path, json.dumps(report | {"config": redacted(report.get("config", {}))}, default=str))
+
+
+def export_collection(spark: SparkSession, root: str, collection_id: str, archive: str) -> int:
+    """A collection as a gzip tar at the local path ``archive``: the manifest and the parts that it lists. Returns the parts.
+
+    Files pass the driver one at a time, in slices; the archive itself is the one local file.
+    """
+    manifest = check_manifest(read_json(spark, f"{root}/{collection_id}/collection.json"), collection_id)
+    names = ["collection.json", *(p["path"] for p in manifest["parts"])]
+    with tarfile.open(archive, "w:gz") as tar, tempfile.TemporaryDirectory() as held:
+        for n in names:
+            fs, p = _fs(spark, f"{root}/{collection_id}/{n}")
+            local = f"{held}/part"
+            fs.copyToLocalFile(False, p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), True)
+            tar.add(local, f"{collection_id}/{n}")
+            os.remove(local)
+    return len(names) - 1
+
+
+def import_collection(spark: SparkSession, archive: str, root: str, collection_id: str) -> dict:
+    """The collection of an archive below ``root``, its manifest last; names that leave the collection's folder are an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    with tarfile.open(archive, "r:gz") as tar, tempfile.TemporaryDirectory() as held:
+        members = {m.name.removeprefix(f"{collection_id}/"): m for m in tar.getmembers() if m.isfile() and m.name.startswith(f"{collection_id}/")}
+        if any(n.startswith("/") or ".." in n.split("/") for n in members) or "collection.json" not in members:
+            raise ContractError("the archive does not hold this collection")
+        manifest = check_manifest(json.load(tar.extractfile(members["collection.json"])), collection_id)
+        lacking = [p["path"] for p in manifest["parts"] if p["path"] not in members]
+        if lacking:
+            raise ContractError(f"parts are missing: {lacking[:3]}")
+        for n in [*(p["path"] for p in manifest["parts"]), "collection.json"]:
+            local = f"{held}/part"
+            with open(local, "wb") as f:
+                shutil.copyfileobj(tar.extractfile(members[n]), f)
+            fs, p = _fs(spark, f"{root}/{collection_id}/{n}")
+            fs.copyFromLocalFile(True, True, path(f"file://{local}"), p)
+    return manifest
+
+
+def index_ready(manifest: dict, max_text_chars: int) -> None:
+    """Chunks longer than what the graph reads of a text would be cut without notice."""
+    if manifest["max_chunk_chars"] > max_text_chars:
+        raise ContractError(f"chunks of up to {manifest['max_chunk_chars']} characters exceed the {max_text_chars} that the graph reads")
+
+
+def export_graph(tables: dict[str, DataFrame], path: str) -> None:
+    """kg_nodes and kg_edges, an edge per relation and document, for other programs."""
+    tables["nodes"].select("name", "type", "description").write.mode("overwrite").parquet(f"{path}/kg_nodes")
+    tables["relations"].select("source", "target", "relation", "description", "doc_id", "weight").write.mode("overwrite").parquet(f"{path}/kg_edges")

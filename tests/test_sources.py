@@ -84,3 +84,72 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("calls").collect())) == sorted(map(tuple, windowed_calls(calls).collect()))
+
+
+def test_graph_run(spark, tmp_path):
+    from spindrift.plans.providers import WordModel
+    from spindrift.plans.retrieval import GraphSettings
+
+    queries = spark.createDataFrame([("q1", "Byron poetry", "Shelley", "text", "", ""), ("q2", "Turing machines", "Turing", "text", "", "")], "query_id string, query_text string, expected_answer string, answer_type string, question_type string, level string")
+    corpus = spark.createDataFrame([("d1", "", "Ada Byron wrote engines"), ("d2", "", "Byron met Shelley poetry"), ("d3", "", "Turing Church machines")], "doc_id string, title string, content string")
+    qrels = spark.createDataFrame([("q1", "d2"), ("q2", "d3")], "query_id string, doc_id string")
+
+    class Teller(WordModel):
+        def complete(self, prompt, phase):
+            if phase == "kg_synthesis":
+                return "" if "machines" in prompt.split("QUESTION: ")[1].split("\n")[0] else "Byron met Shelley [ref:1] [ref:9]"
+            return "Shelley [ref:1]" if phase == "generation" else super().complete(prompt, phase)
+
+    config = RunConfig(strategy="LIGHT_RAG", graph=GraphSettings(mode="hybrid"), retrieval_k=3, generation_top_n=1, max_context_chars=120_000)
+    result, report = evaluate(ds.Dataset(queries, corpus, qrels), config, HashEmbedder(512), Teller())
+    rows = {r["query_id"]: r for r in result.collect()}
+    assert rows["q1"]["mrr"] == 1.0 and rows["q1"]["synthesis_used"] and rows["q1"]["synthesis_error"] is None
+    assert (rows["q1"]["citation_refs_synth"]["in_range"], rows["q1"]["citation_refs_synth"]["out_of_range"]) == (1, 1)
+    assert rows["q2"]["synthesis_error"] == "empty" and rows["q2"]["generation_hit"] == 1.0
+    assert report["retrieval_strategy"] == "LIGHT_RAG" and report["kg_synthesis"]["invocations"] == 2 and report["kg_synthesis"]["fallback_rate"] == 0.5
+    assert report["avg_generation_recall"] == 1.0 and report["calls"]["generation"]["n"] == 2
+
+
+def test_archive_round_trip(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = spark.createDataFrame([(f"c{i}", "col", f"text {i}") for i in range(5)], "chunk_id string, collection_id string, text string")
+    manifest = ds.write_collection(rows, f"{root}/a", "col", 10)
+    assert ds.export_collection(spark, f"{root}/a", "col", str(tmp_path / "col.tgz")) == len(manifest["parts"])
+    assert ds.import_collection(spark, str(tmp_path / "col.tgz"), f"{root}/b", "col") == manifest
+    assert sorted(r["text"] for r in ds.load_collection(spark, f"{root}/b", "col").collect()) == [f"text {i}" for i in range(5)]
+    with pytest.raises(ds.ContractError):
+        ds.import_collection(spark, str(tmp_path / "col.tgz"), f"{root}/b", "other")
+    with pytest.raises(ds.ContractError):
+        ds.index_ready(manifest, 5)
+    ds.index_ready(manifest, 10)
+
+
+def test_settings(tmp_path, monkeypatch):
+    from spindrift.plans import run
+
+    file = tmp_path / "env"
+    file.write_text("# comment\nRETRIEVAL_STRATEGY=LIGHT_RAG\nRETRIEVAL_K='7'\nEVAL_MAX_QUERIES=many\nDEV_MODE=true\nLIGHTRAG_MODE=odd\n")
+    env = {k: v for k, v in run.read_env(str(file)).items()}
+    c = run.config_from(env)
+    assert (c.strategy, c.retrieval_k, c.max_queries, c.dev_mode, c.graph.mode, c.max_context_chars) == ("LIGHT_RAG", 7, 50, True, "hybrid", 4000)
+    assert "LLM_BASE_URL is not set" in run.faults(env, c) and run.main(["--env", str(file), "--dry-run"]) == 1
+    file.write_text(file.read_text() + "".join(f"{n}=x\n" for n in ("LLM_BASE_URL", "LLM_MODEL_NAME", "EMBEDDING_BASE_URL", "EMBEDDING_MODEL_NAME", "DATASETS_ROOT")))
+    assert run.main(["--env", str(file), "--dry-run"]) == 0
+    from spindrift.plans.evaluation import context_chars
+
+    assert (context_chars(9, 5000), context_chars(0, 5000), context_chars(0, 100), context_chars(0, None)) == (9, 15904, 4000, 4000)
+
+
+def test_calls_time_out_and_nulls_are_not_sent(spark):
+    import time
+
+    from spindrift.plans.providers import complete_column
+
+    class Slow:
+        def complete(self, prompt, phase):
+            time.sleep(3 if prompt == "slow" else 0)
+            return prompt
+
+    rows = spark.createDataFrame([(1, "slow"), (2, "fast"), (3, None)], "i int, p string").coalesce(1)
+    got = {r["i"]: (r["answer"], r["error"]) for r in complete_column(rows, "p", Slow(), "x", timeout=1.0).collect()}
+    assert got == {1: (None, "timeout"), 2: ("fast", None), 3: (None, None)}
