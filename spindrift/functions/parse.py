@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +18,35 @@ def unfenced(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(x), r"(?m)^```.*$", ""))
 
 
+def _first_object(x: Column) -> Column:
+    """The first JSON object that starts at some brace and is whole; null without any."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+
+        def one(s: str | None) -> str | None:
+            at = -1 if s is None else s.find("{")
+            while at >= 0:
+                try:
+                    return s[at : decoder.raw_decode(s, at)[1]]
+                except (ValueError, RecursionError):
+                    at = s.find("{", at + 1)
+            return None
+
+        return texts.astype(object).where(texts.notna(), None).map(one).astype(object)
+
+    return run(x)
+
+
 def embedded_json(x: Column) -> Column:
-    """The text of the JSON object in a model's answer: the whole text, else from the first to the last brace."""
+    """The text of the JSON object in a model's answer: the whole text, else the first whole object in it.
+
+    The search for a brace from which an object can be read runs in Arrow batches and sees only answers that are not JSON as they stand.
+    """
     s = unfenced(x)
-    return F.coalesce(F.when(s.startswith("{") & s.endswith("}"), s), F.nullif(F.regexp_extract(s, r"(?s)\{.*\}", 0), F.lit("")))
+    whole = s.startswith("{") & F.try_parse_json(s).isNotNull()
+    return F.coalesce(F.when(whole, s), _first_object(F.when(~whole & s.contains("{"), s)))
 
 
 def extraction(x: Column) -> Column:

@@ -129,3 +129,19 @@ def test_cooccurrence_equals_brute_force(spark, window):
 def test_stats_of_empty_tables(spark):
     none = spark.createDataFrame([], "lo string, hi string, doc_id long")
     assert values(graph.stats(none, spark.createDataFrame([], "doc_id long, name string")).select("n_entities", "n_docs", "n_edges")) == [(0, 0, 0)]
+
+
+def test_embedded_json(spark):
+    cases = {
+        '{"a": 1}': '{"a": 1}',
+        '```json\n{"a": 1}\n```': '{"a": 1}',
+        'so {"a": {"b": "}"}} and {more}': '{"a": {"b": "}"}}',
+        "a {set} of {\"x\": [1]} it": '{"x": [1]}',
+        '{"cut": [1, 2': None,
+        '{"outer": {"inner": 2} cut': '{"inner": 2}',
+        "none": None,
+        "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "x string")
+    got = {r[0]: r[1] for r in rows.select("x", parse.embedded_json(F.col("x"))).collect()}
+    assert got == cases | {None: None}
