@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import parse, text
 from ..operators import graph, metrics, ranking
 from ..operators.vectors import SCALE, nearest, semantic_similarity
-from .evaluation import run_totals
+from .evaluation import generation_totals, run_totals, synthesis_stats
+from .providers import HashEmbedder, WordModel
 from .registry import ORACLE_SQL, QUERIES
+from .retrieval import GraphRetriever, structured_context
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -506,3 +508,51 @@ def windowed_call_times(spark, d):
     from ..streaming.calls import windowed_calls
 
     return windowed_calls(t(spark, d, "events").select("ts", F.col("event_type").alias("phase"), F.col("value").alias("llm_ms"))).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+# --- runs ----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT count(*) AS invocations, count(*) FILTER (e IS NULL) AS successes, count(*) FILTER (e = 'error') AS errors, count(*) FILTER (e = 'empty') AS empty_returns, count(*) FILTER (cut) AS truncations,
+  count(*) FILTER (e = 'timeout') AS timeouts, count(*) FILTER (e IS NOT NULL) / count(*)::DOUBLE AS fallback_rate,
+  list_sort(list(value))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1] AS p50_ms, list_sort(list(value))[least(count(*) - 1, floor(0.95 * count(*))::BIGINT) + 1] AS p95_ms, max(value) AS max_ms
+FROM (SELECT *, CASE event_type WHEN 'click' THEN 'error' WHEN 'view' THEN 'timeout' WHEN 'purchase' THEN 'empty' END AS e, event_type = 'signup' AS cut FROM events) WHERE value IS NOT NULL
+""")
+def synthesis_counters(spark, d):
+    kind = F.col("event_type")
+    reason = F.when(kind == "click", "error").when(kind == "view", "timeout").when(kind == "purchase", "empty")
+    return synthesis_stats(t(spark, d, "events").select(reason.alias("synthesis_error"), (kind == "signup").alias("truncated"), F.col("value").alias("synthesis_ms")))
+
+
+@query("""
+WITH l AS (SELECT conv_id, i, '{"reference_id": ' || i || ', "content": ' || to_json(text)::VARCHAR || '}' AS line FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE text IS NOT NULL)),
+u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY i) AS used FROM l),
+p AS (SELECT conv_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM u WHERE used <= 500 GROUP BY 1)
+SELECT conv_id AS query_id, CASE WHEN body IS NULL THEN '[No se encontraron documentos]' ELSE 'Document Chunks:' || chr(10) || chr(10) || '```json' || chr(10) || body || chr(10) || '```' END AS context, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN p USING (conv_id)
+""")
+def chunk_contexts(spark, d):
+    rows = t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("content"))
+    return structured_context(rows, rows.where("content IS NOT NULL"), None, None, 600, "naive")
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS q, bool_or(l_returnflag = 'R') AS own, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0 END) AS recall, avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0 END) AS at5 FROM lineitem GROUP BY 1)
+SELECT round(avg(recall), 6) AS avg_generation_recall, round(avg(CASE WHEN recall > 0 THEN 1.0 ELSE 0 END), 6) AS avg_generation_hit, count(*) FILTER (recall > at5) AS reranker_rescue_count FROM r WHERE own
+""")
+def reranker_rescues(spark, d):
+    share = lambda c, v: F.avg(F.when(F.col(c) == v, 1.0).otherwise(0.0))
+    per = t(spark, d, "lineitem").groupBy("l_orderkey").agg(share("l_returnflag", "R").alias("recall"), share("l_linestatus", "F").alias("recall_at_5"))
+    own = F.col("recall") > 0
+    results = per.select("recall_at_5", F.when(own, F.col("recall")).alias("generation_recall"), F.when(own, 1.0).alias("generation_hit"), F.lit("completed").alias("status"))
+    return generation_totals(results, 5).select(F.round("avg_generation_recall", 6).alias("avg_generation_recall"), F.round("avg_generation_hit", 6).alias("avg_generation_hit"), "reranker_rescue_count")
+
+
+@query()
+def graph_retrieval(spark, d):
+    """All benchmark items asked of a graph over all documents, with the models that need no network."""
+    engine = GraphRetriever(HashEmbedder(), WordModel())
+    engine.index_documents(t(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("content")))
+    asked = t(spark, d, "benchmark").select("item_id", F.col("text").alias("query_text")).withColumnRenamed("item_id", "query_id")
+    return engine.retrieve(asked).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "fallback")

@@ -141,3 +141,41 @@ def test_cap_equals_brute_force(spark, seed):
     rows = spark.createDataFrame([(*t[:1], i, *t[1:], "r", "") for i, t in enumerate(triplets)], "doc_id int, seq long, source string, target string, relation string, description string")
     said = spark.createDataFrame([(d, i, n, "X", "x" * c) for i, (d, n, c) in enumerate(told)], "doc_id int, seq long, name string, type string, description string")
     assert {x["name"] for x in graph.capped(rows, 9, said).collect()} == brute_cap(triplets, told, 9)
+
+
+def test_hybrid_scores_equal_brute_force(hybrid, queries):
+    import numpy as np
+
+    embed = lambda x: np.array(HashEmbedder(512).embed([x])[0])
+    docs = {}
+    for r in hybrid.graph["node_docs"].collect():
+        docs.setdefault(r["name"], set()).add(r["doc_id"])
+    ends = {r["key"]: ({r["lo"], r["hi"]}, r["weight"]) for r in hybrid.first.collect()}
+
+    def near(index, key, word, k):
+        q = embed(word)
+        return sorted((round(1 - float(q @ np.array(r["vector"])), 6), r["id"], r[key]) for r in index)[:k]
+
+    indexes = [(x.collect(), key, k) for x, key, k in ((hybrid.entities, "name", 10), (hybrid.relations, "key", 20), (hybrid.keywords, "doc_id", 20))]
+    want = {}
+    for q in queries.collect():
+        words = q["query_text"].split()
+        low, high = [w for w in words if w[0].isupper()], [w for w in words if not w[0].isupper()]
+        sums = {}
+        for channel, ((index, key, k), level) in enumerate(zip(indexes, (low, high, high), strict=True)):
+            first = {}
+            for word in level:
+                for d, _, name in near(index, key, word, k):
+                    if d <= 0.8:
+                        first[name] = min(first[name], d) if channel == 2 and name in first else first.get(name, d)
+            for rank, (name, d) in enumerate(first.items()):
+                if channel == 1 and rank == 30:
+                    break
+                reached, weight = (docs[name], 1) if channel == 0 else (set().union(*(docs[e] for e in ends[name][0])), ends[name][1]) if channel == 1 else ({name}, 1)
+                for doc in reached:
+                    sums[doc] = sums.get(doc, 0) + max(0, 1 - d / 2) / (1 + rank) * weight
+        want[q["query_id"]] = {x: round(s, 6) for x, s in sorted(sums.items(), key=lambda x: (-round(x[1], 9), x[0]))[:3]}
+    got = {}
+    for r in hybrid.retrieve(queries).where("fallback IS NULL").collect():
+        got.setdefault(r["query_id"], {})[r["doc_id"]] = round(r["score"], 6)
+    assert got == {q: s for q, s in want.items() if s} and "q1" in got
