@@ -36,13 +36,14 @@ def _first_object(x: Column) -> Column:
 
         return texts.astype(object).where(texts.notna(), None).map(one).astype(object)
 
-    return run(x)
+    return run.asNondeterministic()(x)  # no rule may then inline it into an expression over arrays
 
 
 def embedded_json(x: Column) -> Column:
     """The text of the JSON object in a model's answer: the whole text, else the first whole object in it.
 
     The search for a brace from which an object can be read runs in Arrow batches and sees only answers that are not JSON as they stand.
+    This, and what calls it, must be a column of its own before expressions over arrays use it.
     """
     s = unfenced(x)
     whole = s.startswith("{") & F.try_parse_json(s).isNotNull()
@@ -87,9 +88,12 @@ def valid_keywords(found: Column, least: int = 2, most: int = 80, limit: int = 1
     return F.slice(once, 1, limit)
 
 
-def query_keywords(x: Column, limit: int = 20) -> Column:
-    """low and high level keywords of a query, falsy ones dropped, 20 of each at most."""
-    j = F.from_json(embedded_json(x), "low_level array<string>, high_level array<string>")
+def query_levels(x: Column) -> Column:
+    return F.from_json(embedded_json(x), "low_level array<string>, high_level array<string>")
+
+
+def query_keywords(j: Column, limit: int = 20) -> Column:
+    """low and high level keywords of a query (a column of ``query_levels``), falsy ones dropped, 20 of each at most."""
     some = lambda a: F.slice(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda k: F.coalesce(k, F.lit("")) != ""), 1, limit)
     return F.struct(some(j["low_level"]).alias("low"), some(j["high_level"]).alias("high"))
 

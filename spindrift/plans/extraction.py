@@ -23,8 +23,8 @@ def _valid(j: Column) -> list[Column]:
 
 def _single(docs: DataFrame, model: Model) -> DataFrame:
     asked = complete_column(docs.withColumn("_p", prompts.extraction(F.col("text"))), "_p", model, "extraction")
-    j = parse.extraction(F.col("answer"))
-    return asked.select("doc_id", *_valid(j), j.isNotNull().alias("parsed"), "error")
+    j = F.col("_j")
+    return asked.withColumn("_j", parse.extraction(F.col("answer"))).select("doc_id", *_valid(j), j.isNotNull().alias("parsed"), "error")
 
 
 def _batched(docs: DataFrame, model: Model, per_call: int) -> DataFrame:
@@ -35,7 +35,7 @@ def _batched(docs: DataFrame, model: Model, per_call: int) -> DataFrame:
     block = F.struct("_i", prompts.document_block(F.col("_i").cast("string"), F.col("doc_id"), F.col("text")).alias("t"))
     calls = placed.groupBy("_b", "_c").agg(F.sort_array(F.collect_list(block)).alias("_blocks"))  # per_call at most
     asked = complete_column(calls.select("_b", "_c", prompts.batch_extraction(F.array_join(F.transform("_blocks", lambda b: b["t"]), "\n\n")).alias("_p")), "_p", model, "extraction")
-    found = asked.select("_b", "_c", F.posexplode(parse.batch_extraction(F.col("answer"))["documents"]).alias("_at", "d")).where("coalesce(d.doc_id, '') <> ''")
+    found = asked.select("_b", "_c", parse.batch_extraction(F.col("answer")).alias("_j")).select("_b", "_c", F.posexplode("_j.documents").alias("_at", "d")).where("coalesce(d.doc_id, '') <> ''")
     last = found.groupBy("_b", "_c", F.col("d.doc_id").alias("doc_id")).agg(F.max_by("d", "_at").alias("d"))
     joined = placed.join(last, ["_b", "_c", "doc_id"], "left")
     return joined.select("doc_id", "text", *_valid(F.col("d")), F.col("d").isNotNull().alias("parsed"), F.lit(None).cast("string").alias("error"))
@@ -55,15 +55,15 @@ def extract(corpus: DataFrame, model: Model, per_call: int = 5, max_chars: int =
         found = first.where("parsed").drop("text").unionByName(alone)
     else:
         found = _single(docs.where(~blank), model)
-    nothing = parse.extraction(F.lit(None).cast("string"))
+    nothing = F.from_json(F.lit(None).cast("string"), parse.EXTRACTION)
     empty = docs.where(blank).select("doc_id", *_valid(nothing), F.lit(False).alias("parsed"), F.lit(None).cast("string").alias("error"))
     out = stored(found.withColumn("empty_input", F.lit(False)).unionByName(empty.withColumn("empty_input", F.lit(True))).withColumn("round", F.lit(0)), "extraction")
     rounds = [out]
     for r in range(1, gleaning + 1):
         named = out.where(F.size("entities") > 0).select("doc_id", F.transform("entities", lambda e: e["name"]).alias("names")).join(docs, "doc_id")
         asked = complete_column(named.withColumn("_p", prompts.gleaning(F.col("text"), F.col("names"))), "_p", model, "gleaning")
-        j = parse.extraction(F.col("answer"))
-        more = asked.select("doc_id", *_valid(j)[:2], F.array().cast("array<string>").alias("keywords"), j.isNotNull().alias("parsed"), "error", F.lit(False).alias("empty_input"), F.lit(r).alias("round"))
+        j = F.col("_j")
+        more = asked.withColumn("_j", parse.extraction(F.col("answer"))).select("doc_id", *_valid(j)[:2], F.array().cast("array<string>").alias("keywords"), j.isNotNull().alias("parsed"), "error", F.lit(False).alias("empty_input"), F.lit(r).alias("round"))
         rounds.append(stored(more, "gleaning"))
     for more in rounds[1:]:
         out = out.unionByName(more)
@@ -104,8 +104,8 @@ def query_keywords(queries: DataFrame, model: Model, text: str = "query_text") -
     """query_id, low, high, error. Equal texts are sent once; a failed call or an answer without keywords gives empty lists."""
     texts = queries.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
     asked = stored(complete_column(texts.withColumn("_p", prompts.query_keywords(F.col("_t"))), "_p", model, "query_keywords"), "query-keywords")
-    k = parse.query_keywords(F.col("answer"))
-    found = asked.select("_t", k["low"].alias("low"), k["high"].alias("high"), "error")
+    k = parse.query_keywords(F.col("_j"))
+    found = asked.withColumn("_j", parse.query_levels(F.col("answer"))).select("_t", k["low"].alias("low"), k["high"].alias("high"), "error")
     return queries.select("query_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).join(found, "_t").drop("_t")
 
 

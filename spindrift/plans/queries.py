@@ -131,7 +131,8 @@ def parsed_extractions(spark, d):
 def parsed_query_keywords(spark, d):
     words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
     said = F.to_json(F.struct(words.alias("low_level"), F.array(F.lit(""), F.element_at(words, 1)).alias("high_level")))
-    return t(spark, d, "benchmark").select("item_id", parse.query_keywords(F.concat(F.lit("Here:\n"), said)).alias("k")).select("item_id", F.size("k.low").cast("long").alias("n_low"), F.size("k.high").alias("n_high"))
+    levels = t(spark, d, "benchmark").select("item_id", parse.query_levels(F.concat(F.lit("Here:\n"), said)).alias("j"))
+    return levels.select("item_id", parse.query_keywords(F.col("j")).alias("k")).select("item_id", F.size("k.low").cast("long").alias("n_low"), F.size("k.high").alias("n_high"))
 
 
 # --- vectors, retrieval metrics ------------------------------------------------------------------------------------
@@ -554,5 +555,7 @@ def graph_retrieval(spark, d):
     """All benchmark items asked of a graph over all documents, with the models that need no network."""
     engine = GraphRetriever(HashEmbedder(), WordModel())
     engine.index_documents(t(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("content")))
+    if engine.degraded:
+        raise RuntimeError(engine.degraded)
     asked = t(spark, d, "benchmark").select("item_id", F.col("text").alias("query_text")).withColumnRenamed("item_id", "query_id")
     return engine.retrieve(asked).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "fallback")
