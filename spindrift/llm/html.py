@@ -9,10 +9,12 @@ from the root are one node. ``style_tree`` computes for every node, over all pag
   every page says nothing, one that is on one page only says most);
 * composite importance: both, folded upwards from the leaves.
 
-A branch whose composite importance is low on a host of enough pages is removed. Elements that are
+A branch is noise if its node and all nodes below it are low, on a host of enough pages: one node with text of its own
+keeps the branch, and only the low branches beside it go. ``html`` and ``body`` are never noise as such; a host on which
+nothing stands out (copies of one page) is left as it is. Nodes without text count for nothing. Elements that are
 no main text by their own name or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) have importance 0 whatever their text: their wording may differ on each page, and entropy
-alone would keep them. Inside ``main`` or ``article`` only such elements are removed, so copies
+alone would keep them; their texts stay out of the tree. Inside ``main`` or ``article`` only such elements are removed, so copies
 of one article on a small site do not erase each other.
 
 The tree's counts are aggregated by (host, node, value), with partial aggregation, so a host that holds a
@@ -65,7 +67,9 @@ ENDS = {
 SCOPE = frozenset("html body table ul ol dl article main section div td th".split())
 
 GAMMA = 0.9
-#: Branches below this composite importance go, on hosts with so many pages or more.
+#: Never noise as such.
+TOP = frozenset(["html", "body"])
+#: Branches all below this composite importance go, on hosts with so many pages or more.
 LEAST, LEAST_PAGES = 0.2, 4
 
 _TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<([/]?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -101,8 +105,8 @@ def _tag(token: str) -> tuple | None:
     return bool(m[2] or m[5]), tag, f"{tag}.{classes}" if classes else tag, gone, tag in BLOCK, empty
 
 
-def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str]]], list[tuple[tuple[int, ...], str, bool, bool]]]:
-    """Elements (node, parent, names of children) and text blocks (chain of nodes, text, removed by name, in main text)."""
+def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], list[tuple[tuple[int, ...], str, bool, bool]]]:
+    """Elements (node, parent, names of children, tag) and text blocks (chain of nodes, text, removed by name, in main text)."""
     source = page or ""
     stack: list[tuple] = []  # tag, node, removed here or above, in main or article, children, in a header, a block, an inline element removed by itself
     elements, texts, buffer = [], [], []
@@ -120,7 +124,7 @@ def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str]]], list[tup
     def close(to: int):
         while len(stack) > to:
             top = stack.pop()
-            elements.append((top[1], stack[-1][1] if stack else 0, top[4]))
+            elements.append((top[1], stack[-1][1] if stack else 0, top[4], top[0]))
 
     at, end = 0, len(source)
     while at < end:
@@ -191,26 +195,26 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-PAGE = "page_id long, url string, host string, text string, blocks array<struct<chain:array<long>,text:string>>, seen array<struct<node:long,parent:long,kind:string,value:long>>"
+PAGE = "page_id long, url string, host string, text string, blocks array<struct<node:long,text:string>>, seen array<struct<node:long,parent:long,kind:string,value:long>>"
 _PAGE = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string())]
-    + [("blocks", pa.list_(pa.struct([("chain", pa.list_(pa.int64())), ("text", pa.string())]))), ("seen", pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])))]
+    + [("blocks", pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())]))), ("seen", pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])))]
 )
 
 
 def observed(page: str | None) -> tuple[str | None, list | None, list]:
     """The text if names alone decide it, else its blocks; and once each: nodes, their sequences of children, their texts."""
     elements, rows = parsed(page)
-    parents = {node: parent for node, parent, _ in elements}
-    seen = {(n, p, "page", 0) for n, p in parents.items()}
-    seen |= {(n, p, "style", _hash(" ".join(children))) for n, p, children in elements if children}
-    seen |= {(chain[-1], parents.get(chain[-1], 0), "text", _hash(text)) for chain, text, _, _ in rows if chain}
+    parents = {node: parent for node, parent, _, _ in elements}
+    seen = {(n, p, "page", int(tag in TOP)) for n, p, _, tag in elements}
+    seen |= {(n, p, "style", _hash(" ".join(children))) for n, p, children, _ in elements if children}
     kept = [r for r in rows if not r[2]]
+    seen |= {(chain[-1], parents.get(chain[-1], 0), "text", _hash(text)) for chain, text, _, _ in kept if chain}
     main = [r for r in kept if r[3]]
     facts = [dict(zip(("node", "parent", "kind", "value"), s, strict=True)) for s in seen]
     if main or not kept:
         return "\n\n".join(r[1] for r in main), None, facts
-    return None, [{"chain": r[0], "text": r[1]} for r in kept], facts
+    return None, [{"node": r[0][-1] if r[0] else 0, "text": r[1]} for r in kept], facts
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,15 +239,17 @@ def observe(pages: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(_observe, PAGE), "pages-parsed")
 
 
-def _composite(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Composite importance of one host's nodes, children before parents."""
+def _composite(nodes: pd.DataFrame, least: float, least_pages: int) -> pd.DataFrame:
+    """Composite importance of one host's nodes, children before parents, and which are noise, parents before children."""
     own = {r.node: r for r in nodes.itertuples()}
     children: dict[int, list[int]] = {}
     for r in own.values():
         if r.parent in own and r.parent != r.node:
             children.setdefault(r.parent, []).append(r.node)
-    value: dict[int, float] = {}
-    todo = [n for n, r in own.items() if r.parent not in own]
+    roots = [n for n, r in own.items() if r.parent not in own]
+    value: dict[int, float | None] = {}
+    highest: dict[int, float] = {}  # in the branch; below 0 without text
+    todo = list(roots)
     while todo:
         n = todo[-1]
         open_ = [c for c in children.get(n, ()) if c not in value]
@@ -253,23 +259,35 @@ def _composite(nodes: pd.DataFrame) -> pd.DataFrame:
         todo.pop()
         if n in value:
             continue
-        r, parts = own[n], []
+        r, parts, below = own[n], [], children.get(n, ())
         if not math.isnan(r.content):
             parts.append((r.content, r.pages))
-        parts += [(value[c], own[c].pages) for c in children.get(n, ())]
-        below = sum(v * w for v, w in parts) / sum(w for _, w in parts) if parts else 1.0
-        share = GAMMA ** max(1, len(children.get(n, ())))
-        value[n] = below if not children.get(n) else (1 - share) * r.presentation + share * below
-    return pd.DataFrame({"host": nodes["host"].iloc[:1].repeat(len(value)).to_numpy(), "node": list(value), "importance": list(value.values())})
-
-
-def style_tree(parsed_pages: DataFrame) -> DataFrame:
-    """host, node, parent, pages, presentation, content, importance of every node of every host's tree."""
+        parts += [(value[c], own[c].pages) for c in below if value[c] is not None]
+        if not parts:
+            value[n], highest[n] = None, -1.0
+            continue
+        mean = sum(v * w for v, w in parts) / sum(w for _, w in parts)
+        share = GAMMA ** max(1, len(below))
+        value[n] = (1 - share) * r.presentation + share * mean if below else mean
+        highest[n] = max([value[n], -1.0 if math.isnan(r.content) else r.content, *(highest[c] for c in below)])
+    noise: dict[int, bool] = {}
+    stands_out = max((highest[n] for n in roots), default=-1.0) >= least
+    visit = [(n, False) for n in roots]
+    while visit:
+        n, above = visit.pop()
+        noise[n] = above or stands_out and not own[n].top and own[n].pages >= least_pages and 0 <= highest[n] < least
+        visit.extend((c, noise[n]) for c in children.get(n, ()))
+    return pd.DataFrame({"host": nodes["host"].iloc[:1].repeat(len(value)).to_numpy(), "node": list(value), "importance": [math.nan if v is None else v for v in value.values()], "noise": [noise[n] for n in value]})
+
+
+def style_tree(parsed_pages: DataFrame, least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, node, parent, pages, top, presentation, content, importance (NaN without text), noise of every node of every host's tree."""
     counts = parsed_pages.select("host", F.inline("seen")).groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     here = lambda kind, x: F.when(F.col("kind") == kind, x)
     n = F.col("n").cast("double")
     sums = counts.groupBy("host", "node", "parent").agg(
         F.max(here("page", n)).alias("pages"),
+        F.max(here("page", F.col("value") > 0)).alias("top"),
         F.sum(here("style", n)).alias("styles"),
         F.sum(here("style", n * F.log(n))).alias("style_nlog"),
         F.count(here("text", n)).alias("texts"),
@@ -282,32 +300,33 @@ def style_tree(parsed_pages: DataFrame) -> DataFrame:
         "node",
         "parent",
         F.col("pages").cast("long").alias("pages"),
+        "top",
         F.when(many, F.greatest(F.lit(0.0), (F.log("styles") - F.col("style_nlog") / F.col("styles")) / base)).otherwise(1.0).alias("presentation"),
         F.when(F.col("texts") > 0, F.when(many, F.greatest(F.lit(0.0), 1 - F.col("text_log") / F.col("texts") / base)).otherwise(1.0)).otherwise(float("nan")).alias("content"),
     )
     measured = stored(measured, "style-tree")
-    composite = measured.groupBy("host").applyInPandas(_composite, "host string, node long, importance double")
+    composite = measured.groupBy("host").applyInPandas(lambda nodes: _composite(nodes, least, least_pages), "host string, node long, importance double, noise boolean")
     return measured.join(composite, ["host", "node"])
 
 
 def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The text of one page, given the nodes of its host's tree that matter little."""
+    """The text of one page, given the noise of its host's tree."""
     text, rows, _ = observed(page)
-    return text if rows is None else "\n\n".join(r["text"] for r in rows if not low.intersection(r["chain"]))
+    return text if rows is None else "\n\n".join(r["text"] for r in rows if r["node"] not in low)
 
 
-#: A host's list of low branches is joined to its undecided pages in so many salted parts.
+#: A host's list of noise is joined to its undecided pages in so many salted parts.
 SALTS = 64
 
 
 def extract(pages: DataFrame, least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     one = observe(pages)
-    low = style_tree(one).where((F.col("importance") < least) & (F.col("pages") >= least_pages))
+    low = style_tree(one, least, least_pages).where("noise")
     by_host = low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = one.where("text is null").select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = left.join(by_host, ["host", "salt"], "left")
-    kept = F.filter("blocks", lambda b: F.col("low").isNull() | ~F.arrays_overlap(b["chain"], F.col("low")))
+    kept = F.filter("blocks", lambda b: F.col("low").isNull() | ~F.array_contains(F.col("low"), b["node"]))
     late = joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
     return one.where("text is not null").select("page_id", "url", "text").unionByName(late).withColumn("n_chars", F.length("text").cast("long"))
 

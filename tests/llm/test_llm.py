@@ -123,6 +123,21 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_unique_text_among_repeated_blocks(spark):
+    same = lambda i: f"<div class=block-{chr(97 + i)}><p>Same words {i}</p></div>"
+    hosts = {}
+    for n in (3, 4, 5, 20):  # repeated blocks around the text of one page, in constant order
+        hosts[f"blocks{n}"] = ["<html><body>" + "".join(map(same, range(n // 2))) + f"<div class=text><p>own text {i}</p></div>" + "".join(map(same, range(n // 2, n))) + "</body></html>" for i in range(6)]
+    hosts["many"] = ["<body><div class=text>" + "".join(f"<p class={chr(97 + k)}>own {k} {i}</p>" for k in range(18)) + "</div>" + same(0) for i in range(6)]
+    hosts["direct"] = [f"<body><div class=text>own text {i}" + "".join(map(same, range(6))) + "</div>" for i in range(6)]
+    hosts["links"] = [f"<body><div class=top><a>Home</a> <a>About</a></div><div class=text><p>own text {i}</p></div>" for i in range(6)]
+    hosts["copies"] = ["<body><div class=text><p>copied text</p></div>"] * 6
+    pages = spark.createDataFrame([(k, f"http://{h}/{k}", x) for h, xs in hosts.items() for k, x in enumerate(xs)], "page_id long, url string, html string")
+    got = {(html.host_of(r["url"]), r["page_id"]): r["text"] for r in html.extract(pages).collect()}
+    for i in range(6):
+        assert {h: got[h, i] for h in hosts} == {**dict.fromkeys(hosts, f"own text {i}"), "many": "\n\n".join(f"own {k} {i}" for k in range(18)), "copies": "copied text"}
+
+
 def test_html_query(spark):
     import html as lib
 
