@@ -10,12 +10,14 @@ from the root are one node. ``style_tree`` computes for every node, over all pag
 * composite importance: both, folded upwards from the leaves.
 
 A branch is noise if its node and all nodes below it are low, on a host of enough pages: one node with text of its own
-keeps the branch, and only the low branches beside it go. ``html`` and ``body`` are never noise as such; a host on which
-nothing stands out (copies of one page) is left as it is. Nodes without text count for nothing. Elements that are
+keeps the branch, and only the low branches beside it go. ``html``, ``body``, ``main``, ``article`` and what holds the latter two
+are never noise as such; where nothing in one of these stands out (copies of one page or article), the tree says nothing about what is in it. Nodes without text count for nothing. Elements that are
 no main text by their own name or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) have importance 0 whatever their text: their wording may differ on each page, and entropy
-alone would keep them; their texts stay out of the tree. Inside ``main`` or ``article`` only such elements are removed, so copies
-of one article on a small site do not erase each other.
+alone would keep them; their texts stay out of the tree.
+
+The tree decides on the blocks of every page, in ``main`` and ``article`` and outside. Where it says nothing (a node on too few pages of
+its host, or copies), the names do: the text in ``main`` and ``article`` is kept, and if it is at least half of the page's text, the rest is dropped.
 
 The tree's counts are aggregated by (host, node, value), with partial aggregation, so a host that holds a
 third of all pages is spread over all tasks; pages are never grouped by host.
@@ -68,7 +70,8 @@ SCOPE = frozenset("html body table ul ol dl article main section div td th".spli
 
 GAMMA = 0.9
 #: Never noise as such.
-TOP = frozenset(["html", "body"])
+MAIN = frozenset(["main", "article"])
+TOP = MAIN | {"html", "body"}
 #: Branches all below this composite importance go, on hosts with so many pages or more.
 LEAST, LEAST_PAGES = 0.2, 4
 
@@ -195,26 +198,25 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-PAGE = "page_id long, url string, host string, text string, blocks array<struct<node:long,text:string>>, seen array<struct<node:long,parent:long,kind:string,value:long>>"
+PAGE = "page_id long, url string, host string, blocks array<struct<node:long,text:string,prior:boolean>>, seen array<struct<node:long,parent:long,kind:string,value:long>>"
 _PAGE = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string())]
-    + [("blocks", pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())]))), ("seen", pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])))]
+    [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string())]
+    + [("blocks", pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("prior", pa.bool_())]))), ("seen", pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])))]
 )
 
 
-def observed(page: str | None) -> tuple[str | None, list | None, list]:
-    """The text if names alone decide it, else its blocks; and once each: nodes, their sequences of children, their texts."""
+def observed(page: str | None) -> tuple[list, list]:
+    """Blocks, each with what names alone say of it; and once each: nodes, their sequences of children, their texts."""
     elements, rows = parsed(page)
     parents = {node: parent for node, parent, _, _ in elements}
-    seen = {(n, p, "page", int(tag in TOP)) for n, p, _, tag in elements}
+    seen = {(n, p, "page", (tag in TOP) + (tag in MAIN)) for n, p, _, tag in elements}
     seen |= {(n, p, "style", _hash(" ".join(children))) for n, p, children, _ in elements if children}
     kept = [r for r in rows if not r[2]]
     seen |= {(chain[-1], parents.get(chain[-1], 0), "text", _hash(text)) for chain, text, _, _ in kept if chain}
-    main = [r for r in kept if r[3]]
-    facts = [dict(zip(("node", "parent", "kind", "value"), s, strict=True)) for s in seen]
-    if main or not kept:
-        return "\n\n".join(r[1] for r in main), None, facts
-    return None, [{"node": r[0][-1] if r[0] else 0, "text": r[1]} for r in kept], facts
+    main = sum(len(r[1]) for r in kept if r[3])
+    alone = main and 2 * main >= sum(len(r[1]) for r in kept)
+    blocks = [{"node": r[0][-1] if r[0] else 0, "text": r[1], "prior": r[3] or not alone} for r in kept]
+    return blocks, [dict(zip(("node", "parent", "kind", "value"), s, strict=True)) for s in seen]
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,13 +236,13 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def observe(pages: DataFrame) -> DataFrame:
-    """Every page parsed once, stored: what the trees count, and the text or its blocks."""
+    """Every page parsed once, stored: what the trees count, and the blocks of text."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return stored(rows.mapInArrow(_observe, PAGE), "pages-parsed")
 
 
 def _composite(nodes: pd.DataFrame, least: float, least_pages: int) -> pd.DataFrame:
-    """Composite importance of one host's nodes, children before parents, and which are noise, parents before children."""
+    """Composite importance of one host's nodes, children before parents, and which are noise (null: the tree does not say), parents before children."""
     own = {r.node: r for r in nodes.itertuples()}
     children: dict[int, list[int]] = {}
     for r in own.values():
@@ -270,24 +272,32 @@ def _composite(nodes: pd.DataFrame, least: float, least_pages: int) -> pd.DataFr
         share = GAMMA ** max(1, len(below))
         value[n] = (1 - share) * r.presentation + share * mean if below else mean
         highest[n] = max([value[n], -1.0 if math.isnan(r.content) else r.content, *(highest[c] for c in below)])
-    noise: dict[int, bool] = {}
+    holds = {n for n, r in own.items() if r.top > 1}  # main or article
+    for n in list(holds):
+        while (n := own[n].parent) in own and n not in holds:
+            holds.add(n)
+    noise: dict[int, bool | None] = {}
     stands_out = max((highest[n] for n in roots), default=-1.0) >= least
-    visit = [(n, False) for n in roots]
+    visit = [(n, False, stands_out) for n in roots]
     while visit:
-        n, above = visit.pop()
-        noise[n] = above or stands_out and not own[n].top and own[n].pages >= least_pages and 0 <= highest[n] < least
-        visit.extend((c, noise[n]) for c in children.get(n, ()))
-    return pd.DataFrame({"host": nodes["host"].iloc[:1].repeat(len(value)).to_numpy(), "node": list(value), "importance": [math.nan if v is None else v for v in value.values()], "noise": [noise[n] for n in value]})
+        n, above, judged = visit.pop()
+        r = own[n]
+        if r.top and not above:
+            judged = judged and highest[n] >= least
+        low = above or judged and not r.top and n not in holds and r.pages >= least_pages and 0 <= highest[n] < least
+        noise[n] = bool(low) if low or judged and r.pages >= least_pages else None
+        visit.extend((c, low, judged) for c in children.get(n, ()))
+    return pd.DataFrame({"host": nodes["host"].iloc[:1].repeat(len(value)).to_numpy(), "node": list(value), "importance": [math.nan if v is None else v for v in value.values()], "noise": pd.array([noise[n] for n in value], "boolean")})
 
 
 def style_tree(parsed_pages: DataFrame, least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, node, parent, pages, top, presentation, content, importance (NaN without text), noise of every node of every host's tree."""
+    """host, node, parent, pages, top, presentation, content, importance (NaN without text), noise (null: not known) of every node of every host's tree."""
     counts = parsed_pages.select("host", F.inline("seen")).groupBy("host", "node", "parent", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     here = lambda kind, x: F.when(F.col("kind") == kind, x)
     n = F.col("n").cast("double")
     sums = counts.groupBy("host", "node", "parent").agg(
         F.max(here("page", n)).alias("pages"),
-        F.max(here("page", F.col("value") > 0)).alias("top"),
+        F.max(here("page", F.col("value"))).alias("top"),
         F.sum(here("style", n)).alias("styles"),
         F.sum(here("style", n * F.log(n))).alias("style_nlog"),
         F.count(here("text", n)).alias("texts"),
@@ -309,26 +319,26 @@ def style_tree(parsed_pages: DataFrame, least: float = LEAST, least_pages: int =
     return measured.join(composite, ["host", "node"])
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The text of one page, given the noise of its host's tree."""
-    text, rows, _ = observed(page)
-    return text if rows is None else "\n\n".join(r["text"] for r in rows if r["node"] not in low)
+def main_text(page: str | None, noise: dict[int, bool] | None = None) -> str:
+    """The text of one page, given what its host's tree says of its nodes."""
+    return "\n\n".join(b["text"] for b in observed(page)[0] if not (noise or {}).get(b["node"], not b["prior"]))
 
 
-#: A host's list of noise is joined to its undecided pages in so many salted parts.
+#: A host's lists of judged nodes are joined to its pages in so many salted parts.
 SALTS = 64
 
 
 def extract(pages: DataFrame, least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     one = observe(pages)
-    low = style_tree(one, least, least_pages).where("noise")
-    by_host = low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = one.where("text is null").select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    judged = style_tree(one, least, least_pages).where("noise is not null and importance is not null and not isnan(importance)")
+    nodes = lambda noise: F.collect_set(F.when(F.col("noise") == noise, F.col("node")))
+    by_host = judged.groupBy("host").agg(nodes(True).alias("low"), nodes(False).alias("high")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = one.select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = left.join(by_host, ["host", "salt"], "left")
-    kept = F.filter("blocks", lambda b: F.col("low").isNull() | ~F.array_contains(F.col("low"), b["node"]))
-    late = joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
-    return one.where("text is not null").select("page_id", "url", "text").unionByName(late).withColumn("n_chars", F.length("text").cast("long"))
+    has = lambda name, b: F.coalesce(F.array_contains(F.col(name), b["node"]), F.lit(False))
+    kept = F.filter("blocks", lambda b: ~has("low", b) & (b["prior"] | has("high", b)))
+    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -138,6 +138,20 @@ def test_html_keeps_unique_text_among_repeated_blocks(spark):
         assert {h: got[h, i] for h in hosts} == {**dict.fromkeys(hosts, f"own text {i}"), "many": "\n\n".join(f"own {k} {i}" for k in range(18)), "copies": "copied text"}
 
 
+def test_html_tree_decides_on_pages_with_article(spark):
+    assert html.main_text("<div class=content><p>a long article of its own</div><article class=teaser>short</article>") == "a long article of its own\n\nshort"
+    teaser = [f"<body><div class=top><p>Same words</p></div><div class=content><p>own text {i} </div><article><p>short {i}</article>" for i in range(6)]
+    inside = [f"<body><article><div class=hint><p>Same words in every article</p></div><p>own article text {i}</p></article><p>Same words</p>" for i in range(6)]
+    copies = ["<body><div class=wrap><article><p>copied text</p></article></div><p>out"] * 6
+    alone = ["<body><article><p>one text alone</p></article><p>out"] * 3
+    hosts = {"teaser": teaser, "inside": inside, "copies": copies, "alone": alone}
+    pages = spark.createDataFrame([(k, f"http://{h}/{k}", x) for h, xs in hosts.items() for k, x in enumerate(xs)], "page_id long, url string, html string")
+    got = {(html.host_of(r["url"]), r["page_id"]): r["text"] for r in html.extract(pages).collect()}
+    for i in range(6):
+        assert got["teaser", i] == f"own text {i}\n\nshort {i}" and got["inside", i] == f"own article text {i}" and got["copies", i] == "copied text"
+    assert {got["alone", i] for i in range(3)} == {"one text alone"}
+
+
 def test_html_query(spark):
     import html as lib
 
