@@ -14,7 +14,9 @@ keeps the branch, and only the low branches beside it go. ``html``, ``body``, ``
 are never noise as such; where nothing in one of these stands out (copies of one page or article), the tree says nothing about what is in it. Nodes without text count for nothing. Elements that are
 no main text by their own name or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) have importance 0 whatever their text: their wording may differ on each page, and entropy
-alone would keep them; their texts stay out of the tree.
+alone would keep them; their texts stay out of the tree. A class or id says so only as a whole token (``share-box``, not
+``related-work`` or ``with-sidebar``), and only of containers, not of headings, paragraphs or cells. A container that holds
+``main``, or most of the text of the page's articles or of all its text if its words can also name a layout, stays; the tree decides on it.
 
 The tree decides on the blocks of every page, in ``main`` and ``article`` and outside. Where it says nothing (a node on too few pages of
 its host, or copies), the names do: the text in ``main`` and ``article`` is kept, and if it is at least half of the page's text, the rest is dropped.
@@ -54,8 +56,16 @@ NEVER = frozenset("nav aside footer form head svg canvas object button select di
 NOT_MAIN_WORDS = frozenset(
     "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu nav navbar navigation navigator breadcrumb breadcrumbs masthead footer comment comments disqus respond replies reply share sharing social related recommended recommendations pagination pager toolbar".split()
 )
+#: Words that change nothing about what a token says.
+PLAIN_WORDS = frozenset(
+    "area bar block body bottom box button buttons container content entry footer form global google header inner item items leaderboard left link links list outer page panel post posts primary region right row secondary section site skyscraper slot sticky text title top unit wrap wrapper".split()
+)
+#: Words that never name a layout around the main text.
+SURE_WORDS = frozenset("ad ads adsense advert adverts advertisement advertising cookie cookies consent gdpr newsletter subscribe subscription signup login breadcrumb breadcrumbs comment comments disqus respond replies reply share sharing pagination pager".split())
 NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Blocks whose class and id say nothing about their text.
+NO_CONTAINER = HEADING | frozenset("address blockquote body caption dd dt figcaption html legend main p pre summary table tbody td tfoot th thead tr".split())
 #: An open element on the left ends where one on the right begins.
 ENDS = {
     "li": frozenset(["li"]),
@@ -80,13 +90,18 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))
 
 
 @lru_cache(65_536)
-def _attributes(text: str) -> tuple[str, bool]:
-    """Class words in order (they name the node), and whether class, id or role say that it is no main text."""
+def _attributes(text: str) -> tuple[str, bool, int]:
+    """Class words in order (they name the node), whether role or state say that it is no main text, and whether class or id
+    do: 0 no, 1 by words that may also name a layout, 2 surely."""
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(text)} if text else {}
     classes = re.findall(r"[a-z]+", found.get("class", ""))
-    words = {*classes, *re.findall(r"[a-z]+", found.get("id", ""))}
-    off = bool(words & NOT_MAIN_WORDS) or found.get("role") in NOT_MAIN_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    return ".".join(classes), off
+    off = found.get("role") in NOT_MAIN_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    said = 0
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = {w for w in re.findall(r"[a-z]+", token) if len(w) > 1}
+        if words & NOT_MAIN_WORDS and words <= NOT_MAIN_WORDS | PLAIN_WORDS:
+            said = max(said, 2 if words & SURE_WORDS else 1)
+    return ".".join(classes), off, said
 
 
 @lru_cache(65_536)
@@ -96,24 +111,28 @@ def node_id(parent: int, name: str) -> int:
 
 @lru_cache(65_536)
 def _tag(token: str) -> tuple | None:
-    """(ends, tag, name of the node, removed by itself, a block, empty) of a tag; None for comments and declarations."""
+    """(ends, tag, name of the node, removed by itself, a block, empty, what class and id say) of a tag; None for comments and declarations."""
     m = _TOKEN.match(token)
     tag = m[3] or m[6]
     if tag is None:
         return None
     tag, attributes = tag.lower(), (m[4] or m[7] or "")
-    classes, off = _attributes(attributes)
+    classes, off, said = _attributes(attributes)
     gone = off and tag not in ("html", "body", "main") or tag in NEVER
     empty = tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW
-    return bool(m[2] or m[5]), tag, f"{tag}.{classes}" if classes else tag, gone, tag in BLOCK, empty
+    block = tag in BLOCK
+    if said == 2 and not block:  # an inline advert or the like
+        gone = True
+    return bool(m[2] or m[5]), tag, f"{tag}.{classes}" if classes else tag, gone, block, empty, said if block and tag not in NO_CONTAINER else 0
 
 
 def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], list[tuple[tuple[int, ...], str, bool, bool]]]:
     """Elements (node, parent, names of children, tag) and text blocks (chain of nodes, text, removed by name, in main text)."""
     source = page or ""
-    stack: list[tuple] = []  # tag, node, removed here or above, in main or article, children, in a header, a block, an inline element removed by itself
+    stack: list[tuple] = []  # tag, node, removed here or above, in main or article, children, in a header, a block, an inline element removed by itself, suspects
     elements, texts, buffer = [], [], []
-    root = ("", 0, False, False, [], False, False, False)
+    suspects: list[list] = []  # containers of a telling class or id: what it says, holds main
+    root = ("", 0, False, False, [], False, False, False, ())
 
     def flush():
         text = " ".join(buffer[0].split() if len(buffer) == 1 else "".join(buffer).split())
@@ -122,7 +141,7 @@ def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], lis
             if "&" in text:
                 text = " ".join(_html.unescape(text).split())
             top = stack[-1] if stack else root
-            texts.append((tuple([s[1] for s in stack]), text, top[2], top[3]))
+            texts.append((tuple([s[1] for s in stack]), text, top[2], top[3], top[8]))
 
     def close(to: int):
         while len(stack) > to:
@@ -145,7 +164,7 @@ def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], lis
         at = m.end()
         if source.startswith("<!--", lt) or (said := _tag(m[0])) is None:
             continue
-        ends, tag, name, off, block, empty = said
+        ends, tag, name, off, block, empty, doubt = said
         if ends:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -178,7 +197,14 @@ def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], lis
         if above[5] and main and tag not in HEADING and block:
             gone = True
         inline = not block and gone and (above[7] or not above[2])
-        stack.append((tag, node_id(above[1], name), gone, main, [], header, block, inline))
+        if main and tag == "main":
+            for i in above[8]:
+                suspects[i][1] = True
+        inside = above[8]
+        if doubt and not gone:
+            inside = (*inside, len(suspects))
+            suspects.append([doubt, False])
+        stack.append((tag, node_id(above[1], name), gone, main, [], header, block, inline, inside))
         if tag in RAW:
             over = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
             at = over.end() if over else end
@@ -186,7 +212,17 @@ def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], lis
     if buffer:
         flush()
     close(0)
-    return elements, texts
+    if not suspects:
+        return elements, [t[:4] for t in texts]
+    held, total = [[0, 0] for _ in suspects], [0, 0]  # characters in main or article, and of all
+    for _, text, gone, main, inside in texts:
+        if not gone:
+            for counts in (total, *[held[i] for i in inside]):
+                counts[0] += len(text) * main
+                counts[1] += len(text)
+    most = [any([2 * x > y for x, y in zip(h, total, strict=True)]) for h in held]
+    out = [not holds and (doubt == 2 or not most[i]) for i, (doubt, holds) in enumerate(suspects)]
+    return elements, [(chain, text, gone or any([out[i] for i in inside]), main) for chain, text, gone, main, inside in texts]
 
 
 def host_of(url: str | None) -> str:

@@ -152,6 +152,16 @@ def test_html_tree_decides_on_pages_with_article(spark):
     assert {got["alone", i] for i in range(3)} == {"one text alone"}
 
 
+def test_html_names_are_whole_tokens_of_containers():
+    page = "<body><div class='layout no-sidebar'><article class='post with-sidebar'><h2 id=related-work>Related work</h2><section id=social-life><p class=notice>Own words</p></section><div class='share-box'>no</div><div class='ad slot-3'>no</div></article></div>"
+    assert html.main_text(page) == "Related work\n\nOwn words"
+    for wrapper in ("sidebar", "alert", "left-sidebar menu", "social"):
+        assert html.main_text(f"<div class='{wrapper}'><main><h1>T</h1><p>own</main></div><div class='{wrapper}'>no</div>") == "T\n\nown"
+        assert html.main_text(f"<div class='{wrapper}'><p>most of the text</div><div class='{wrapper}'>no</div>") == "most of the text"
+    assert html.main_text("<main><p>short</main><div class=comments><article>a long comment of a reader</article></div><div id=advert-box>more text than there is of any other</div>") == "short"
+    assert html.main_text("<div class='layout sidebar'><article>own text</article></div><div class=sidebar><article>teaser</article></div>") == "own text"
+
+
 def test_html_query(spark):
     import html as lib
 
