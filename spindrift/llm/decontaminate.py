@@ -3,10 +3,13 @@
 Test items are short, documents long, so their Jaccard similarity says little: what counts is containment, the
 share of an item's five-word shingles that a document has. Documents are partitioned by the number of their
 shingles, in powers of two. A partition with sizes up to u turns the containment threshold t for the smallest item of q
-shingles into the similarity t q / (q + u - t q) of the least similar pair it must find, and that into its own
+shingles into t q shared of q + u shingles for the least similar pair it must find, and that into its own
 number of minhash coordinates: enough for one agreement in any of them with probability ``RECALL``. Coordinates
-are bins of one permutation, so a document costs one hash per shingle, and a bin holds one minimum. Items are
+are bins of one permutation, so a document costs one hash per shingle, and a bin holds one minimum: a shared shingle
+agrees unless a smaller one of either is in its bin, and all shared ones must fail for a miss. Items are
 hashed into the same bins; a bin with equal minima makes a candidate (agreement means a shared shingle).
+Items of few shingles would need more bins than a document has shingles: of up to ``EXACT`` shingles, each shingle is looked up, and
+none is missed.
 Every candidate is verified exactly: the distinct shingles of the item found in the whole document over those of the item.
 
 The items of the benchmark are taken in blocks of ``BLOCK_SHINGLES`` shingles, each sent to the tasks by a broadcast of
@@ -33,6 +36,8 @@ from .words import SHINGLE, blocks, mixed, ngrams, normalised, word_hashes
 
 THRESHOLD = 0.8
 RECALL = 0.999999
+#: Items of so many shingles or fewer are looked up shingle by shingle.
+EXACT = 10
 #: Shingles of items in one broadcast (16 bytes each, and the ids).
 BLOCK_SHINGLES = 500_000
 #: Minima of a block of documents that are held at once.
@@ -43,11 +48,18 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shared", pa
 
 def bins_for(upper: int, q: int, threshold: float, recall: float) -> int:
     """Coordinates of the partition with sizes up to ``upper``, for items of q shingles or more."""
-    shared = max(1.0, threshold * q)
-    similarity = min(1.0, shared / (q + upper - min(shared, upper)))
-    if similarity >= 1:
+    shared = max(1, math.ceil(threshold * q - 1e-9))
+    if upper <= q <= shared:  # only equal sets
         return 1
-    return math.ceil(math.log(1 - recall) / math.log1p(-similarity))
+    missed = (1 - recall) ** (1 / shared)  # of one shared shingle, at most
+    low, high = 0.0, 1.0  # shingles of both in a bin
+    hidden = lambda x: 1 + math.expm1(-x) / x
+    while hidden(high) < missed:
+        low, high = high, 2 * high
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if hidden(middle) < missed else (low, middle)
+    return math.ceil((q + upper) / max(low, 1e-9))
 
 
 class Items:
@@ -62,14 +74,17 @@ class Items:
         self.flat, self.owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(self.flat, kind="stable")
         self.flat, self.owner = self.flat[order], self.owner[order]
-        self.least = int(self.sizes.min())
+        few = self.sizes <= EXACT
+        self.few, self.many = np.unique(self.flat[few[self.owner]]), ~few[self.owner]
+        self.least = int(self.sizes[~few].min(initial=np.iinfo(np.int64).max))
 
     def minima(self, bins: int) -> np.ndarray:
-        """Distinct (bin, minimum) of all items; the minimum alone names its bin."""
-        key = self.owner * bins + (self.flat % np.uint64(bins)).astype(np.int64)
-        order = np.lexsort((self.flat, key))
+        """Distinct (bin, minimum) of the items of more than ``EXACT`` shingles; the minimum alone names its bin."""
+        flat = self.flat[self.many]
+        key = self.owner[self.many] * bins + (flat % np.uint64(bins)).astype(np.int64)
+        order = np.lexsort((flat, key))
         first = np.concatenate([[True], np.diff(key[order]) > 0])
-        return np.unique(self.flat[order][first])
+        return np.unique(flat[order][first])
 
 
 def _found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -79,8 +94,10 @@ def _found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def candidates(grams: np.ndarray, doc: np.ndarray, counts: np.ndarray, items: Items, threshold: float, recall: float) -> np.ndarray:
-    """Documents (numbers) with a bin minimum that an item has in the same bin."""
-    out = []
+    """Documents (numbers) with a shingle of a small item, or a bin minimum that another item has in the same bin."""
+    out = [doc[_found(items.few, grams)]] if len(items.few) else []
+    if not items.many.any():
+        return np.unique(out[0])
     classes = np.where(counts > 0, np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), -1)
     for c in np.unique(classes[classes >= 0]):
         upper = 1 << int(c)
@@ -98,7 +115,7 @@ def candidates(grams: np.ndarray, doc: np.ndarray, counts: np.ndarray, items: It
             np.minimum.at(low, d * bins + (h % np.uint64(bins)).astype(np.int64), h)
             hit = np.flatnonzero(_found(wanted, low))
             out.append(members[a + np.unique(hit // bins)])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def contained(shingles: np.ndarray, items: Items, threshold: float) -> list[tuple[int, int]]:

@@ -255,6 +255,29 @@ def test_decontaminate_odd(spark, odd, none):
     assert len(decontaminate.find_items(odd, bench, block=5).collect()) == 5
 
 
+def test_decontaminate_finds_short_items(spark):
+    rng = np.random.default_rng(5)
+    docs = [[f"w{k}" for k in rng.integers(0, 20_000, 1000)] for _ in range(200)]
+    items = [docs[i][at : at + n] for n in range(1, 17) for i, at in enumerate(rng.integers(0, 900, 200))]
+    items[-1] += [f"w{k}" for k in rng.integers(0, 20_000, 2)]  # a part of the shingles is enough
+    where = {}
+    for i, w in enumerate(docs):
+        for n in range(1, 6):
+            for k in range(1001 - n):
+                where.setdefault(tuple(w[k : k + n]), set()).add(i)
+    want = set()
+    for j, w in enumerate(items):
+        grams = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+        shared = collections.Counter(i for g in grams for i in where.get(g, ()))
+        want |= {(i, j) for i, n in shared.items() if n >= 0.8 * len(grams) - 1e-9}
+    tables = [spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], f"{name} long, text string") for x, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = [(r[0], r[1]) for r in decontaminate.find_items(*tables).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 3200
+    bins = decontaminate.bins_for(1024, 11, 0.8, 0.999999)
+    load = 1035 / bins
+    assert (1 - (1 - np.exp(-load)) / load) ** 9 <= 1e-6 * 1.001
+
+
 # 8
 
 
