@@ -84,8 +84,8 @@ def valid_relations(found: Column, cut: int = 200) -> Column:
 def valid_keywords(found: Column, least: int = 2, most: int = 80, limit: int = 10) -> Column:
     """Trimmed, of 2 to 80 characters, first of those equal but for case, 10 at most (the feature's own limit)."""
     fits = F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: F.length(k).between(least, most))
-    once = F.filter(fits, lambda k, i: F.array_position(F.transform(fits, F.lower), F.lower(k)) == i + 1)
-    return F.slice(once, 1, limit)
+    new = lambda held, k: (F.size(held) < limit) & ~F.exists(held, lambda x: F.lower(x) == F.lower(k))
+    return F.aggregate(fits, F.array().cast("array<string>"), lambda held, k: F.when(new(held, k), F.array_append(held, k)).otherwise(held))
 
 
 def query_levels(x: Column) -> Column:

@@ -16,7 +16,7 @@ from ..operators.vectors import SCALE, nearest, semantic_similarity
 from .evaluation import generation_totals, run_totals, synthesis_stats
 from .providers import HashEmbedder, WordModel
 from .registry import ORACLE_SQL, QUERIES
-from .retrieval import GraphRetriever, structured_context
+from .retrieval import WHOLE_TEXTS, GraphRetriever, GraphSettings, structured_context
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -552,8 +552,8 @@ def reranker_rescues(spark, d):
 
 @query()
 def graph_retrieval(spark, d):
-    """All benchmark items asked of a graph over all documents, with the models that need no network."""
-    engine = GraphRetriever(HashEmbedder(), WordModel())
+    """All benchmark items asked of a graph over all documents, read whole, with the models that need no network."""
+    engine = GraphRetriever(HashEmbedder(), WordModel(), GraphSettings(max_text_chars=WHOLE_TEXTS))
     engine.index_documents(t(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("content")))
     if engine.degraded:
         raise RuntimeError(engine.degraded)

@@ -23,6 +23,8 @@ from .storage import stored
 MODES = ("hybrid", "local", "global", "naive")
 STRATEGIES = ("SIMPLE_VECTOR", "LIGHT_RAG")
 CONTEXT_ENTITIES = 30
+#: A ``max_text_chars`` that no text exceeds.
+WHOLE_TEXTS = 2**31 - 1
 RANKED = ["query_id", "rank", "doc_id", "score", "content", "fallback"]
 
 

@@ -72,6 +72,17 @@ def test_modes(corpus, queries, mode, reason):
     assert got[0]["doc_id"] == "d3" and got[0]["fallback"] == reason
 
 
+def test_graph_query_reads_whole_texts(spark, tmp_path):
+    from spindrift.plans import queries as registered
+
+    filler = " ".join(f"filler{i % 5}" for i in range(20_000))
+    rows = [(1, f"Ada {filler} Zebra stripes"), (2, "Ada Byron"), (3, "plain words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Zebra"), (8, "stripes")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["query_id"], r["doc_id"]): r for r in registered.graph_retrieval(spark, str(tmp_path)).collect()}
+    assert got[7, "1"]["rank"] == got[8, "1"]["rank"] == 1 and {r["fallback"] for r in got.values()} == {None}
+
+
 def test_failing_model_degrades_to_vectors(corpus, queries):
     class Broken:
         def complete(self, prompt, phase):
