@@ -8,11 +8,12 @@ gives one nested row per capture.
 
 Record ids are UUIDs that spell page_id, occurrence and kind of record, so ids need no lookup table.
 A capture whose payload equals an earlier one's (smallest page_id first) is written as a revisit.
-The decision uses (page_id, digest) rows only; a group of any size is reduced to its smallest page_id
-by partial aggregation. Files are listed by a stored manifest, so those that a lost or repeated
+Payloads are equal if their SHA-256 is (for SHA-1, which the archive states, different ones of equal digest are public);
+the decision uses (page_id, SHA-256) rows only; a group of any size is reduced to its smallest page_id
+by partial aggregation, and narrow rows of a payload that is very frequent are split by the skew join of AQE. Files are listed by a stored manifest, so those that a lost or repeated
 task left behind are never read; a page sits in exactly one listed file.
 
-Cases: null html is an empty payload and null url an empty URI; payloads are compared whole;
+Cases: null html is an empty payload and null url an empty URI; very long payloads are decided and written whole;
 ``min_bytes`` exempts smaller ones from revisits. A null page_id is larger than any other. Rows that repeat page_id and
 payload: the first is the response, the others revisit it. Empty input: an empty manifest and no captures.
 Line feeds in a URL are percent-encoded. Extra columns are ignored.
@@ -121,7 +122,7 @@ def _writer(folder: str, archive_bytes: int, min_bytes: int):
                     continue
                 payload = unpacked(html)
                 occurrence += 1
-                digest = hashlib.sha1(payload).hexdigest()
+                digest = hashlib.sha256(payload).hexdigest()
                 seen = written.setdefault(digest, occurrence)  # rows that repeat the page id
                 target = earlier.get(digest)
                 if target is None and seen != occurrence and len(payload) >= min_bytes:
@@ -147,7 +148,7 @@ def _writer(folder: str, archive_bytes: int, min_bytes: int):
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all captures below ``folder``; the stored manifest: path, n_records, n_bytes."""
     rows = pages.select(F.col("page_id").cast("long"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
-    narrow = stored(rows.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n")), "payload-digests").where(F.col("n") >= min_bytes)
+    narrow = stored(rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")), "payload-digests").where(F.col("n") >= min_bytes)
     order = F.struct(F.coalesce("page_id", F.lit(NULL_ID)).alias("k"), F.col("page_id"))
     first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_id"))
     again = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
