@@ -15,7 +15,7 @@ id, or earlier in the same one). Texts are UTF-8 bytes; no string crosses docume
 5. A bucket merges its runs by a loser tree in which every loser keeps the length of the prefix that it shares with the
    winner: suffixes are compared from there on only, and mostly not at all.
 6. From the merged order and its common prefixes, each window learns whether an equal one (same bytes from the anchor on by
-   the shared prefix, same bytes before it by a 64-bit hash) starts earlier. One bit mask per anchor goes back to its chunk,
+   the shared prefix, same bytes before it, brought together by a hash and compared) starts earlier. One bit mask per anchor goes back to its chunk,
    where windows are laid over the bytes.
 
 Cases: a null text is empty; empty texts and those under ``LENGTH`` bytes lose nothing. Null ids sort after all others.
@@ -42,6 +42,8 @@ LENGTH, GRAM = 100, 50
 REACH = LENGTH - GRAM
 ROW = LENGTH + REACH
 CHUNK_BYTES = 4_000_000
+#: Compressed bytes of chunks for each bucket of suffixes.
+BUCKET_BYTES = 4_000_000
 #: Bytes whose anchors are sought at once; positions within take 18 bits.
 PIECE = 1 << 18
 NO_ID = 2**63 - 1
@@ -365,7 +367,11 @@ def merged(raw: bytes, ends: list[int], shares: bytes) -> tuple[np.ndarray, np.n
 
 
 def window_masks(rows: np.ndarray, shared: np.ndarray, rank: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """For suffix rows in order: bit o is set if the window that starts o bytes before the anchor has an equal one of smaller rank."""
+    """For suffix rows in order: bit o is set if the window that starts o bytes before the anchor has an equal one of smaller rank.
+
+    Hashes of the bytes before only bring rows together: those of one hash are compared byte by byte with the first of them,
+    and where any differ, all are numbered by their bytes instead.
+    """
     masks = np.zeros(len(rows), np.uint64)
     before = np.full(len(rows), np.uint64(0x2545F4914F6CDD1D))
     for o in range(REACH + 1):
@@ -374,12 +380,23 @@ def window_masks(rows: np.ndarray, shared: np.ndarray, rank: np.ndarray, least:
         at = np.flatnonzero((least <= o) & (o <= most))
         if len(at) < 2:
             continue
-        same = np.cumsum(shared < LENGTH - o).astype(np.uint64)[at]
-        key = mixed(before[at] + same * np.uint64(0xD6E8FEB86659FD93))
-        order = np.argsort(key)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1])
+        same = np.cumsum(shared < LENGTH - o)[at]
+        key = mixed(before[at] + same.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for exact in (False, True):
+            order = np.argsort(key, kind="stable")
+            first = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1])
+            sizes = np.diff(np.concatenate([first, [len(order)]]))
+            if exact:
+                break
+            many = np.repeat(sizes > 1, sizes)
+            one, head = order[many], order[np.repeat(first, sizes)[many]]
+            told = slice(LENGTH, LENGTH + o)
+            if (same[one] == same[head]).all() and (rows[at[one], told] == rows[at[head], told]).all():
+                break
+            whole = np.concatenate([rows[at, told], same.astype("<i8")[:, None].view(np.uint8).reshape(len(at), 8)], 1)
+            key = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_inverse=True)[1]
         ranks = rank[at][order]
-        low = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.concatenate([first, [len(order)]])))
+        low = np.repeat(np.minimum.reduceat(ranks, first), sizes)
         hit = at[order[ranks != low]]
         masks[hit] |= np.uint64(1 << o)
     return masks
@@ -454,12 +471,14 @@ def _remove(with_text: bool):
     return run
 
 
-def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_text: bool = True, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: id_col, n_bytes, removed spans (bytes), what is kept (if ``with_text``) and its digest."""
     spark = docs.sparkSession
-    buckets = partitions(spark)  # stated at each repartition: rows name chunks by their place, so their bytes say little of the work
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     chunks = stored(rows.mapInArrow(_chunks(scratch(spark, "chunks"), chunk_bytes), "chunk string, path string, at long, bytes long"), "chunk-manifest")
+    # by what is stored: rows name chunks by their place, so their own bytes say little of the work
+    held = chunks.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(partitions(spark), -(-held // bucket_bytes))
     spread = chunks.repartition(buckets, "chunk")
     sent = spread.mapInArrow(_send_hashes(buckets), "bucket int, chunk string, data binary")
     flags = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "chunk string, bucket int, bits binary")

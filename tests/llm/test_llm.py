@@ -286,11 +286,25 @@ def test_token_counts(spark, odd, none, corpus):
         encode = tokens.tokenizer(f.read())
     got = {r[0]: r[1] for r in tokens.op8(spark, DATA).collect()}
     assert got == {i: len(encode(t)) for i, t in corpus.items()}
-    small = sorted((r[0] or 0, r[1]) for r in tokens.token_counts(odd, block_tokens=64, file_tokens=500, compressed=False).collect())
-    assert small == sorted((r[0] or 0, len(encode(r[1] or ""))) for r in ROWS)
+    want = sorted((r[0] or 0, len(encode(r[1] or ""))) for r in ROWS)
+    for eod in (tokens.EOD, 60_000, 70_000):  # the last one takes 32 bits
+        small = tokens.token_counts(odd, eod=eod, block_tokens=64, file_tokens=500)
+        assert sorted((r[0] or 0, r[1]) for r in small.collect()) == want
+    with pytest.raises(ValueError):
+        tokens.token_counts(odd, eod=50_255)
     assert tokens.token_counts(none).count() == 0
 
 
+def test_token_files_are_flat(spark, odd, tmp_path):
+    manifest = tokens.write_token_files(odd.coalesce(1), f"file://{tmp_path}/t").collect()
+    with open(tokens.VOCABULARY, "rb") as f:
+        encode = tokens.tokenizer(f.read())
+    texts = {r[0]: r[1] or "" for r in ROWS}
+    for r in manifest:
+        flat = np.fromfile(r["path"].removeprefix("file://"), "<u2").tolist()
+        assert flat == [t for i in r["ids"] for t in [*encode(texts[i]), tokens.EOD]]
+
+
 # 10
 
 
@@ -319,7 +333,36 @@ def test_substrings(spark, corpus, odd, none):
         want = brute_repeats(sorted(cases))
         assert {r[0]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in found} == want
         assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in found)
-    assert substrings.remove_repeated(odd).count() == 8 and substrings.remove_repeated(none).count() == 0
+    assert substrings.remove_repeated(none).count() == 0
+    # null ids come last, rows that repeat an id in some order; all but one of equal texts lose everything
+    text = "".join(rng.choice(list("abcdefgh"), 300))
+    rows = [(None, text, "x"), (2, text, "x"), (2, text, "x"), (1, None, "x"), (3, "short", "x")]
+    got = substrings.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"]).decode()) for r in got) == {(None, 300, ""): 1, (2, 300, ""): 1, (2, 300, text): 1, (1, 0, ""): 1, (3, 5, "short"): 1}
+    assert {r["doc_id"]: (r["n_bytes"], len(r["spans"])) for r in substrings.remove_repeated(odd).collect()}[5] == (150_000, 1)
+
+
+def test_window_masks_compare_bytes(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(97, 99, (40, substrings.ROW)).astype(np.uint8)
+    rows = np.concatenate([base, base, base])
+    rows[40:80, 130:] = 120  # other bytes before the anchor
+    rows[80:, 90:100] = 121  # another suffix
+    rows = rows[np.lexsort(rows.T[::-1])]
+    rank = rng.permutation(len(rows))
+    least, most = np.zeros(len(rows), np.int64), np.full(len(rows), substrings.REACH)
+    shared = substrings.prefixes(rows)
+    got = substrings.window_masks(rows, shared, rank, least, most)
+    want = np.zeros(len(rows), np.uint64)
+    for o in range(substrings.REACH + 1):
+        windows = [(bytes(r[: substrings.LENGTH - o]), bytes(r[substrings.LENGTH : substrings.LENGTH + o])) for r in rows]
+        low = {}
+        for w, k in zip(windows, rank, strict=True):
+            low[w] = min(low.get(w, k), k)
+        want |= np.array([int(low[w] != k) << o for w, k in zip(windows, rank, strict=True)], np.uint64)
+    assert (got == want).all() and want.any()
+    monkeypatch.setattr(substrings, "mixed", lambda h: h & np.uint64(3))  # nearly all hashes collide
+    assert (substrings.window_masks(rows, shared, rank, least, most) == want).all()
 
 
 def test_words():
