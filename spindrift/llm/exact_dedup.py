@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, table, text_or_empty
+from .common import stored, table, text_or_empty, without
 
 #: Digests that are broadcast at most, and counters of the sketch.
 HEAVY_K = 1_000
@@ -65,15 +65,13 @@ def exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
 
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
-    found = exact_duplicates(docs, text_col, id_col)
-    alias = free_name(docs, "keep_digest")
-    keep = found.where("kept").select(F.col(id_col).alias(alias + "_id"), F.col("text_sha256").alias(alias)).distinct()
-    matched = docs.withColumn(alias, F.sha2(normalised(text_col), 256))
-    out = matched.join(keep.withColumnRenamed(alias, alias + "_d"), F.col(id_col).eqNullSafe(F.col(alias + "_id")) & (F.col(alias) == F.col(alias + "_d")), "left_semi")
-    if found.where("kept").groupBy("text_sha256").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([alias])  # some row repeats id and text
-    return out.drop(alias)
+    """``docs`` with one row of each group of equal texts, all columns as they were.
+
+    Only the narrow rows of groups of several are joined to the texts, so the texts of the others are read once more and stay where they are.
+    """
+    found = exact_duplicates(docs, text_col, id_col).where("group_size > 1")
+    members = stored(found.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("key"), F.col("kept").alias("stays")), "members")
+    return without(docs, members, F.sha2(normalised(text_col), 256), id_col)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

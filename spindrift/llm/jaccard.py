@@ -9,16 +9,19 @@ on a digest of the set, whatever their number. The join of different sets follow
    sampled (1 / threshold on average), the same for all sets at that node, and the set goes to the child of its own
    token. Sets that meet at depth ``DEPTH`` shared every token of the path. A pair at the threshold survives a run with
    probability 0.58, so the target recall of 0.9999 takes 12 runs (``repeats_for``); more similar pairs survive oftener.
-3. Buckets are compared by brute force on 2-bit minhash sketches, which travel with the rows. A bucket larger than
-   ``BRUTE`` is split again on sampled pieces of the sketch. Each bucket yields a spanning forest of its similar
+3. Buckets are compared by brute force on 2-bit minhash sketches, which travel with the rows. A bucket of more than
+   ``SPLIT`` sets is dealt into parts, and each pair of parts is a bucket of its own, so a token path that very many sets share
+   is spread over the tasks and no pair is left out. Each bucket yields a spanning forest of its similar
    sets (sets not reached yet are compared with those that are), so never all pairs of a group.
 4. Candidate forests are joined into components. Within each, all pairs of different sets are compared
-   exactly, in blocks of ``SIDE`` sets that are dealt over the tasks; blocks return numbers of links and a forest,
-   never pairs. The classes are the components of the exact links.
+   exactly, in blocks of about ``SIDE`` sets or ``SIDE_SHINGLES`` shingles that are dealt over the tasks; blocks return numbers of
+   links and a forest, never pairs. The classes are the components of the exact links.
+
+A set is named by a 192-bit digest of its shingles, a row by its id and the SHA-256 of its text, so ids may repeat or be null.
 
 Cases: null and empty texts, and those without a word, have no shingles: each is a class of its own without links. Texts of
-1 to 4 words have one shingle of all their words. Rows that repeat an id are rows of their own, with the same
-class. Null ids take part; a class whose ids are all null has a null class_id. Empty input, empty result. Extra columns are ignored.
+1 to 4 words have one shingle of all their words. Rows that repeat an id are rows of their own, each in the class of its own text. Null ids
+take part and are larger than any other; a class whose ids are all null has a null class_id. Empty input, empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,23 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import free_name, partitions, stored, table
+from .common import partitions, sent, stored, table, without
+from .decontaminate import words_sql
 from .words import blocks, mixed, shingle_sets
 
 THRESHOLD = 0.8
 COORDINATES = 128
 DEPTH = 4
 RECALL = 0.9999
-#: Sets in a bucket that are compared without another split.
-BRUTE = 4096
-#: Sets on each side of an exact block.
-SIDE = 256
-#: Ids that are sent to every task at most, to pick texts; beyond, texts and ids are joined by a shuffle.
-SENT_IDS = 1_000_000
+#: Sets in a bucket; larger ones are dealt into pairs of parts.
+SPLIT = 8192
+#: Sets, and shingles, on each side of an exact block.
+SIDE, SIDE_SHINGLES = 256, 2_000_000
 
 
 def survival(threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
@@ -115,13 +117,13 @@ def set_digest(s: np.ndarray) -> bytes:
     return np.array([s.sum(dtype=np.uint64), h.sum(dtype=np.uint64), len(s)], np.uint64).tobytes()
 
 
-EMBEDDED = "id long, digest binary, n int, sketch binary, leaves array<long>"
+EMBEDDED = "id long, key binary, digest binary, n int, sketch binary, leaves array<long>"
 
 
 def _embed(threshold: float, depth: int, repeats: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column("id").to_pylist(), b.column("text").to_pylist()
+            texts = b.column("text").to_pylist()
             for x, y in blocks(texts):
                 sets = shingle_sets(texts[x:y])
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -139,7 +141,8 @@ def _embed(threshold: float, depth: int, repeats: int):
                         leaves[i] = np.unique(leaf[cut[k] : cut[k + 1]])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "id": pa.array(ids[x:y], pa.int64()),
+                        "id": b.column("id").slice(x, y - x),
+                        "key": b.column("key").slice(x, y - x),
                         "digest": pa.array([set_digest(s) for s in sets], pa.binary()),
                         "n": pa.array([len(s) for s in sets], pa.int32()),
                         "sketch": pa.array(sketch, pa.binary()),
@@ -160,9 +163,9 @@ def alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def least_alike(threshold: float) -> int:
-    """Agreements below which a pair is far (3.5 standard deviations) under the threshold."""
+    """Agreements below which a pair is far (4.5 standard deviations) under the threshold."""
     p = 0.25 + 0.75 * threshold
-    return math.floor(COORDINATES * p - 3.5 * math.sqrt(COORDINATES * p * (1 - p)))
+    return math.floor(COORDINATES * p - 4.5 * math.sqrt(COORDINATES * p * (1 - p)))
 
 
 def forest(sketch: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -182,47 +185,37 @@ def forest(sketch: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tupl
     return edges
 
 
-def bucket_edges(sketch: np.ndarray, sizes: np.ndarray, threshold: float, brute: int = BRUTE, depth: int = 0) -> list[tuple[int, int]]:
-    """The forest of a bucket; large ones are split on sampled pieces of the sketch, over and over."""
-    if len(sketch) <= brute or depth == 3:
-        return forest(sketch, sizes, threshold)
-    edges, pieces = [], sketch.view(np.uint8)
-    for piece in np.random.default_rng(depth).permutation(pieces.shape[1])[:20]:  # a pair at the threshold shares a piece with probability 0.52
-        order = np.argsort(pieces[:, piece], kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(pieces[order, piece])) + 1):
-            if len(part) > 1:
-                if len(part) > 0.9 * len(sketch):
-                    return forest(sketch, sizes, threshold)  # nearly all alike: few comparisons reach all
-                edges += [(int(part[a]), int(part[b])) for a, b in bucket_edges(np.ascontiguousarray(sketch[part]), sizes[part], threshold, brute, depth + 1)]
-    return edges
-
-
 def _buckets(threshold: float):
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        bucket, sizes, digests = t.column("bucket").to_numpy(), t.column("n").to_numpy(), t.column("digest").to_pylist()
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, COORDINATES // 32)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        out = set()
+        for k in np.flatnonzero(np.diff(cut) > 1):
+            a, b = int(cut[k]), int(cut[k + 1])
+            for x, y in forest(sketch[a:b], sizes[a:b], threshold):
+                p, q = digests[a + x], digests[a + y]
+                out.add((p, q) if p < q else (q, p))
+        return pa.RecordBatch.from_pydict({"src": pa.array([e[0] for e in out], pa.binary()), "dst": pa.array([e[1] for e in out], pa.binary())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(leaf, ids, sizes, sketch):
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(leaf)) + 1, [len(leaf)]])
-            out = set()
-            for k in np.flatnonzero(np.diff(cut) > 1):
-                a, b = cut[k], cut[k + 1]
-                for x, y in bucket_edges(sketch[a:b], sizes[a:b], threshold):
-                    p, q = int(ids[a + x]), int(ids[a + y])
-                    out.add((p, q) if p < q else (q, p))
-            return pa.RecordBatch.from_pydict({"src": pa.array([e[0] for e in out], pa.int64()), "dst": pa.array([e[1] for e in out], pa.int64())})
-
-        rest = None
+        held, open_ = [], None  # pieces of the bucket that may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            leaf, ids, sizes = (b.column(c).to_numpy() for c in ("leaf", "rep", "n"))
-            sketch = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, COORDINATES // 32)
-            if rest is not None:
-                leaf, ids, sizes, sketch = (np.concatenate(x) for x in zip(rest, (leaf, ids, sizes, sketch), strict=True))
-            last = np.searchsorted(leaf, leaf[-1])  # the last bucket may go on in the next batch
+            bucket = b.column("bucket").to_numpy()
+            last = int(np.searchsorted(bucket, bucket[-1]))
             if last:
-                yield found(leaf[:last], ids[:last], sizes[:last], sketch[:last])
-            rest = (leaf[last:], ids[last:], sizes[last:], sketch[last:])
-        if rest is not None:
-            yield found(*rest)
+                yield found([*held, b.slice(0, last)])
+                held = []
+            elif held and open_ != bucket[-1]:
+                yield found(held)
+                held = []
+            held.append(b.slice(last))
+            open_ = bucket[-1]
+        if held:
+            yield found(held)
 
     return run
 
@@ -257,8 +250,8 @@ def exact_links(sets: list[np.ndarray], half: int, threshold: float) -> np.ndarr
 def _verify(threshold: float):
     def run(key: tuple, t: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        t = t.sort_by([("side", "ascending"), ("rep", "ascending")])
-        ids, weights = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        t = t.sort_by([("side", "ascending"), ("digest", "ascending")])
+        ids, weights = t.column("digest").to_pylist(), t.column("copies").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         half = int((t.column("side").to_numpy() == i).sum()) if i != j else 0
         hit = exact_links(sets, half, threshold)
@@ -275,8 +268,8 @@ def _verify(threshold: float):
         some = np.flatnonzero(links)
         return pa.table(
             {
-                "rep": pa.array([*ids[some], *(e[0] for e in edges)], pa.int64()),
-                "other": pa.array([*[None] * len(some), *(e[1] for e in edges)], pa.int64()),
+                "digest": pa.array([*(ids[i] for i in some), *(e[0] for e in edges)], pa.binary()),
+                "other": pa.array([*[None] * len(some), *(e[1] for e in edges)], pa.binary()),
                 "links": pa.array([*links[some], *[0] * len(edges)], pa.int64()),
             }
         )
@@ -289,58 +282,97 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column("text").to_pylist()
         for x, y in blocks(texts):
             data = [s.tobytes() for s in shingle_sets(texts[x:y])]
-            part = b.slice(x, y - x)
-            yield pa.RecordBatch.from_pydict({"rep": part.column("rep"), "component": part.column("component"), "copies": part.column("copies"), "shingles": pa.array(data, pa.binary())})
+            yield pa.RecordBatch.from_pydict({**{c: b.column(c).slice(x, y - x) for c in ("digest", "component", "copies")}, "shingles": pa.array(data, pa.binary())})
 
 
-def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id_col, class_id (smallest id of the class), n_links (documents linked to it), class_rep (smallest id with the same set)."""
+def text_key(column: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(column).cast("string"), F.lit("")), 256))
+
+
+def buckets_of(sets: DataFrame, split: int) -> DataFrame:
+    """bucket, digest, n, sketch: a row for each leaf of each set; of leaves with more than ``split`` sets, one for each pair of parts."""
+    leaf = sets.select(F.explode("leaves").alias("bucket"), "digest", "n", "sketch")
+    large = stored(leaf.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > split), "large-buckets")
+    if not large.limit(1).count():
+        return leaf
+    parts = large.select("bucket", F.ceil(F.col("members") / F.lit(split)).cast("int").alias("parts"))
+    known = leaf.join(sent(parts), "bucket", "left")
+    mine = F.pmod(F.xxhash64("digest", "bucket"), F.col("parts")).cast("int")
+    dealt = known.where("parts is not null").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pair = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
+    return known.where("parts is null").select(*leaf.columns).unionByName(dealt.select(pair.alias("bucket"), "digest", "n", "sketch"))
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, depth: int, text_col: str, id_col: str, split: int) -> DataFrame:
+    """id, key, class (null without shingles), class_id, n_links, class_rep of every row."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     embedded = stored(texts.mapInArrow(_embed(threshold, depth, repeats_for(recall, threshold, depth)), EMBEDDED), "embedded-sets")
 
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "n", "sketch", "leaves")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "key", "n", "sketch", "leaves")
     sets = embedded.where("n > 0").groupBy("digest").agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("copies"))
-    sets = stored(sets.select("digest", F.col("f.id").alias("rep"), "f.n", "f.sketch", "f.leaves", "copies"), "distinct-sets")
+    sets = stored(sets.select("digest", F.col("f.id").alias("rep"), "f.key", "f.n", "f.sketch", "f.leaves", "copies"), "distinct-sets")
 
-    # a set whose ids are all null can't be named, so it can't be linked
-    leaf = sets.where("rep is not null").select(F.explode("leaves").alias("leaf"), "rep", "n", "sketch")
-    met = leaf.repartition(partitions(spark), "leaf").sortWithinPartitions("leaf", "rep")
-    near = stored(met.mapInArrow(_buckets(threshold), "src long, dst long"), "candidates").distinct()
+    met = buckets_of(sets, split).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "digest")
+    near = stored(met.mapInArrow(_buckets(threshold), "src binary, dst binary"), "candidates").distinct()
     component = connected_components(near)
 
     # exact comparison within components: members numbered, dealt into blocks, every pair of blocks once
-    members = stored(component.withColumnRenamed("node", "rep").join(sets.select("rep", "copies"), "rep"), "members")
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    wanted = F.broadcast(members) if members.count() <= SENT_IDS else members
-    picked = texts.join(wanted, texts["id"] == wanted["rep"]).select("rep", "component", "copies", "text")
-    shingled = stored(picked.mapInArrow(_shingles, "rep long, component long, copies long, shingles binary").dropDuplicates(["rep"]), "shingles")
-    parts = F.ceil(F.col("size") / F.lit(SIDE)).cast("int")
-    dealt = shingled.join(size, "component").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    members = stored(component.withColumnRenamed("node", "digest").join(sets.select("digest", "rep", "key", "n", "copies"), "digest"), "members")
+    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingled"))
+    wanted = sent(members.drop("n").withColumnRenamed("key", "text_key"))
+    picked = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("text_key"))).select("digest", "component", "copies", "text")
+    shingled = stored(picked.mapInArrow(_shingles, "digest binary, component binary, copies long, shingles binary").dropDuplicates(["digest"]), "shingles")
+    parts = F.greatest(F.ceil(F.col("size") / F.lit(SIDE)), F.ceil(F.col("shingled") / F.lit(SIDE_SHINGLES))).cast("int")
+    dealt = shingled.join(size, "component").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    pairs = dealt.withColumn("with", other).select("component", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "rep", "copies", "shingles")
-    verified = stored(pairs.groupBy("component", "i", "j").applyInArrow(_verify(threshold), "rep long, other long, links long"), "links")
-    links = verified.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = connected_components(verified.where("other is not null"), "rep", "other").withColumnRenamed("node", "rep")
+    pairs = dealt.withColumn("with", other).select("component", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "digest", "copies", "shingles")
+    verified = stored(pairs.groupBy("component", "i", "j").applyInArrow(_verify(threshold), "digest binary, other binary, links long"), "links")
+    links = verified.where("other is null").groupBy("digest").agg(F.sum("links").alias("links"))
+    classes = connected_components(verified.where("other is not null"), "digest", "other").withColumnRenamed("node", "digest")
+
+    named = sets.select("digest", "rep", "copies").join(links, "digest", "left").join(classes, "digest", "left").withColumn("class", F.coalesce("component", "digest"))
+    ids = named.where("component is not null").groupBy("class").agg(F.min("rep").alias("least"))
+    known = named.join(ids, "class", "left").select("digest", "class", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("rep").alias("class_rep"))
+    joined = embedded.where("n > 0").select("id", "key", "digest").join(known, "digest").drop("digest")
+    alone = embedded.where("n = 0").select("id", "key", F.lit(None).cast("binary").alias("class"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_rep"))
+    return joined.unionByName(alone)
 
-    known = sets.select("digest", "rep", "copies").join(links, "rep", "left").join(classes, "rep", "left")
-    known = known.select("digest", "rep", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = embedded.select("id", "digest", "n")
-    joined = rows.where("n > 0").join(known, "digest").select("id", "class_id", "n_links", F.col("rep").alias("class_rep"))
-    alone = rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_rep"))
-    return joined.unionByName(alone).withColumnRenamed("id", id_col)
+
+def similar_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH, text_col: str = "text", id_col: str = "doc_id", split: int = SPLIT) -> DataFrame:
+    """One row per row of ``docs``: id_col, class_id (smallest id of the class), n_links (documents linked to it), class_rep (smallest id with the same set)."""
+    found = _classes(docs, threshold, recall, depth, text_col, id_col, split)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links", "class_rep")
 
 
 def drop_similar(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each class (that with the smallest id), all columns as they were. Rows with null ids can't be told apart, and stay."""
-    found = stored(similar_texts(docs, threshold, text_col=text_col, id_col=id_col).select(F.col(id_col).alias("id"), "class_id"), "classes")
-    alias = free_name(docs, "kept_id")
-    keep = found.where("id <=> class_id").select(F.col("id").alias(alias)).distinct()
-    out = docs.join(keep, F.col(id_col).cast("long") == F.col(alias), "left_semi")
-    if found.where("id = class_id").groupBy("id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])  # some row repeats an id
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one row of each class (that with the smallest id; null ids are the largest), all columns as they were.
+
+    Only the narrow rows of those that go are joined to the texts. Of rows that repeat both id and text, one stays.
+    """
+    found = _classes(docs, threshold, RECALL, DEPTH, text_col, id_col, SPLIT).where("class is not null").select("class", "id", "key")
+    found = stored(found, "classes")
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("f"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(found.join(best, "class").select("id", "key", (F.col("id").eqNullSafe(F.col("f.id")) & (F.col("key") == F.col("f.key"))).alias("stays")), "class-members")
+    return without(docs, members, text_key(text_col), id_col)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words_sql("text")} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(list_slice(w, i, i + 4), ' ') FOR i IN range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS g
+  FROM d WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b, c = x.n AND c = y.n AS equal FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9),
+ends AS (SELECT a, b, equal FROM link UNION ALL SELECT b, a, equal FROM link),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN ends e ON e.a = r.other),
+class AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY 1),
+sums AS (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (equal) AS same FROM ends GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, least(doc_id, coalesce(same, doc_id)) AS class_rep FROM class LEFT JOIN sums USING (doc_id)
+"""

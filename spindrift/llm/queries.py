@@ -20,6 +20,9 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
+    "op5_similar_texts": jaccard.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
+    "op7_warc": warc.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op10_repeated_substrings": substrings.ORACLE_SQL,
 }

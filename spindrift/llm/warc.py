@@ -262,3 +262,15 @@ def _page(column: str):
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return captures_of(read_records(manifest)).drop("uri", "request")
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first_id FROM p),
+d AS (SELECT *, [('0x' || substr(x, 5 * i + 1, 5))::BIGINT FOR i IN range(0, 8)] AS parts FROM g)
+SELECT page_id, payload_bytes,
+       array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> s) % 32 + 1, 1) FOR s IN [15, 10, 5, 0]], '') FOR n IN parts], '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""

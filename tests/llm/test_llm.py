@@ -224,22 +224,43 @@ def test_jaccard(spark, corpus, odd, none):
     assert jaccard.similar_texts(none).count() == 0
 
 
-def test_large_buckets_keep_links():
+def test_jaccard_links_every_text_of_a_repeated_id(spark):
+    rng = np.random.default_rng(2)
+    one, two = ([f"w{k}" for k in rng.integers(0, 5000, 60)] for _ in range(2))
+    other = lambda w: " ".join([*w, "more"])
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (2, other(one)), (3, other(two)), (None, other(two) + " still"), (3, other(two))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, class_id string")
+    got = collections.Counter((r[0], r[1], r[2]) for r in jaccard.similar_texts(docs).collect())
+    assert got == {(1, 1, 1): 1, (2, 2, 3): 1, (2, 1, 1): 1, (3, 2, 3): 2, (None, 2, 3): 1}
+    kept = jaccard.drop_similar(docs)
+    assert kept.columns == docs.columns and sorted((r[0], r[1]) for r in kept.collect()) == sorted(rows[:2])
+    again = spark.createDataFrame([(None, "some text of its own"), (None, "some text of its own"), (7, "x y"), (7, "x y"), (7, "another text")], "doc_id long, text string")
+    assert sorted(r[1] for r in jaccard.drop_similar(again).collect()) == ["another text", "some text of its own", "x y"]
+
+
+@pytest.mark.parametrize("split", [3, 50])
+def test_jaccard_deals_large_buckets(spark, split):
     rng = np.random.default_rng(1)
-    base = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(30)]
-    sets = [np.unique(np.concatenate([b[2:], rng.integers(0, 2**63, 2).astype(np.uint64)])) for b in base for _ in range(8)]
-    sketch, sizes = jaccard.sketches(jaccard.minhashes(sets)), np.array([len(s) for s in sets])
-    for brute in (10, 10_000):
-        root = list(range(len(sets)))
-
-        def top(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for a, b in jaccard.bucket_edges(sketch, sizes, 0.8, brute):
-            root[top(a)] = top(b)
-        assert len({top(i) for i in range(len(sets))}) == 30
+    base = [[f"w{k}" for k in rng.integers(0, 9000, 80)] for _ in range(20)]
+    docs = dict(enumerate(" ".join([*b[: 80 - i % 5], *(f"v{k}" for k in rng.integers(0, 9000, i % 3))]) for b in base for i in range(40)))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r[0]: (r[1], r[2]) for r in jaccard.similar_texts(df, split=split).collect()} == brute_classes(docs)
+
+
+def test_jaccard_recall_is_what_it_says():
+    """Pairs at the threshold itself, found by the paths of one run after another and by the sketch."""
+    rng = np.random.default_rng(4)
+    pairs = 400
+    sets = []
+    for _ in range(pairs):
+        x = rng.integers(0, 2**63, 110).astype(np.uint64)
+        sets += [np.unique(x[:99]), np.unique(x[11:])]  # 88 of 110 shared
+    minima = jaccard.minhashes(sets)
+    rows, leaves = jaccard.paths(minima, 0.8, jaccard.DEPTH, jaccard.repeats_for())
+    of = [set(leaves[rows == i].tolist()) for i in range(len(sets))]
+    bits = jaccard.sketches(minima)
+    met = [bool(of[2 * i] & of[2 * i + 1]) and jaccard.alike(bits[2 * i], bits[2 * i + 1 : 2 * i + 2])[0] >= jaccard.least_alike(0.8) for i in range(pairs)]
+    assert np.mean(met) >= 0.99
 
 
 # 1
