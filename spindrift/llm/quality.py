@@ -71,10 +71,10 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
     glued = np.zeros(len(first), np.uint64)  # signs that follow a word without a space
     glued[:-1] = ((ends[:-1] == first[1:]) & ~sign[:-1]).astype(np.uint64)
     again = np.zeros(len(first), np.uint64)
-    again[1:] = (token[1:] == token[:-1]).astype(np.uint64)
+    same = doc[1:] == doc[:-1]
+    again[1:] = ((token[1:] == token[:-1]) & same).astype(np.uint64)
     case = np.where(digit * 2 > lengths, 5, np.where(upper == 0, 1, np.where((upper > 1) & (upper * 2 > lengths), 3, 2)))
     shape = mixed(np.where(sign, token, case.astype(np.uint64) * np.uint64(8) + glued * np.uint64(2) + again) + np.uint64(77))
-    same = doc[1:] == doc[:-1]
     pair = lambda x: mixed(x[:-1] * np.uint64(3) + x[1:] * np.uint64(7_919))[same]
     hashes = np.concatenate([token, shape ^ np.uint64(1 << 60), pair(token) ^ np.uint64(2 << 60), pair(shape) ^ np.uint64(3 << 60)])
     docs = np.concatenate([doc, doc, doc[1:][same], doc[1:][same]])
