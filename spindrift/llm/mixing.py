@@ -3,12 +3,14 @@
 Each source gets a mean repetition rate: its share of the wanted total over its number of documents.
 Each document inverts the Poisson distribution with that mean at a uniform number hashed from its id
 and a seed, is exploded by the resulting count, and all copies are shuffled into one global order
-by a second hash. The table of sources comes from the weights, a parameter, so nothing that grows
+by a second hash. A rate above ``PART`` is the sum of as many equal rates of ``PART`` at most, each inverted at a hash of its own
+(sums of independent Poisson numbers are one), so plans hold one table of at most some hundred numbers for a source, and a document
+costs time in proportion to its copies. The table of sources comes from the weights, a parameter, so nothing that grows
 with the data is collected or broadcast, and no join on the (skewed) source happens.
 
 Cases: a source that the weights do not name, and a null source, belong to the remainder, which has the
 weight ``other``. A weight of 0 drops the source. Null ids hash as the text ``null``; rows that
-repeat an id are drawn alike. The counts stop at the first n whose tail is below 2**-60. An empty
+repeat an id are drawn alike. Null, empty and very long texts travel as they are. The counts of a part stop at the first n whose tail is below 2**-60. An empty
 table gives an empty result. Columns already called ``copy``, ``mix_rate`` or ``shuffle_key`` keep
 their name; the new ones then get an underscore in front.
 """
@@ -30,20 +32,22 @@ EPOCHS = 1.0
 SEED = 17
 
 
-def uniform(id_col: str, seed: int) -> Column:
-    """Hash-seeded number in [0, 1): the first 52 bits of a digest of seed and id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+#: Largest mean that is inverted at once.
+PART = 32.0
+
+
+def uniform(id_col: str, seed: int, part: Column) -> Column:
+    """Hash-seeded number in [0, 1): the first 52 bits of a digest of seed, part and id."""
+    key = F.concat(F.lit(f"{seed}:"), part.cast("string"), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def parts_of(rate: float) -> int:
+    return max(1, math.ceil(rate / PART))
+
+
 def poisson_cdf(rate: float) -> list[float]:
-    """P(N <= n) for n = 0, 1, ... until the rest is below 2**-60. Rates whose first term underflows are summed from logarithms."""
-    if rate > 500:
-        total, out = 0.0, []
-        for n in range(int(rate + 12 * math.sqrt(rate)) + 1):
-            total += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
-            out.append(min(total, 1.0))
-        return out
+    """P(N <= n) for n = 0, 1, ... until the rest is below 2**-60; for rates up to ``PART``."""
     n, p = 0, math.exp(-rate)
     total, out = p, [p]
     while n < rate or p > 2.0**-60:
@@ -54,6 +58,16 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
+def drawn_count(rate: float, id_col: str, seed: int) -> Column:
+    """The Poisson number of a row."""
+    parts = parts_of(rate)
+    cdf = F.array(*map(F.lit, poisson_cdf(rate / parts)))
+    of = lambda part: F.size(F.filter(cdf, lambda c: c <= uniform(id_col, seed, part)))
+    if parts == 1:
+        return of(F.lit(0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), lambda total, part: total + of(part))
+
+
 def rates(docs: DataFrame, weights: dict[str, float], other: float, epochs: float, source_col: str = "source") -> dict[str | None, float]:
     """Mean repetition rate by source named in ``weights``; at None that of the remainder."""
     named = F.when(F.col(source_col).isin(list(weights)), F.col(source_col))
@@ -68,16 +82,14 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTH
     by_source = rates(docs, weights, other, epochs, source_col)
     named = F.when(F.col(source_col).isin(list(weights)), F.col(source_col))
     rate, count = F.lit(None).cast("double"), F.lit(0)
-    u_name, n_name = free_name(docs, "_u"), free_name(docs, "_n")
-    u = F.col(u_name)
+    n_name = free_name(docs, "_n")
     for s, r in by_source.items():
         here = named.isNull() if s is None else F.coalesce(named == s, F.lit(False))
-        reached = F.size(F.filter(F.array(*map(F.lit, poisson_cdf(r))), lambda c: c <= u))
-        rate, count = F.when(here, F.lit(r)).otherwise(rate), F.when(here, reached).otherwise(count)
-    drawn = docs.withColumn(u_name, uniform(id_col, seed)).withColumn(rate_name, rate).withColumn(n_name, count).where(F.col(n_name) > 0)
+        rate, count = F.when(here, F.lit(r)).otherwise(rate), F.when(here, drawn_count(r, id_col, seed)).otherwise(count)
+    drawn = docs.withColumn(rate_name, rate).withColumn(n_name, count).where(F.col(n_name) > 0)
     copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n_name))))
     order = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("/"), F.col(copy).cast("string")))
-    return copies.withColumn(key, order).drop(u_name, n_name).orderBy(key)
+    return copies.withColumn(key, order).drop(n_name).orderBy(key)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
@@ -91,20 +103,20 @@ def mix_sql(docs: str, weights: dict[str, float] = WEIGHTS, other: float = OTHER
     return f"""
 weights AS (SELECT * FROM (VALUES {listed}) AS v(s, w)),
 sizes AS (SELECT w.s, any_value(w.w) AS w, count(*) AS n FROM {docs} d LEFT JOIN weights w ON d.source = w.s GROUP BY w.s),
-rates AS (SELECT s, {share} / n AS rate FROM sizes),
+rates AS (SELECT s, rate, greatest(1, ceil(rate / {PART!r}::DOUBLE))::BIGINT AS parts FROM (SELECT s, {share} / n AS rate FROM sizes)),
 terms AS (
-  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM rates
+  SELECT s, rate / parts AS r, 0 AS k, exp(-(rate / parts)) AS p, exp(-(rate / parts)) AS cdf FROM rates
   UNION ALL
-  SELECT s, rate, k + 1, p * (rate / (k + 1)), least(cdf + p * (rate / (k + 1)), 1.0) FROM terms WHERE k < rate OR p > pow(2.0, -60)
-),
-drawn AS (
-  SELECT d.*, r.rate AS mix_rate, ('0x' || substr(md5('{seed}:' || d.doc_id), 1, 13))::BIGINT / pow(2.0, 52) AS u, r.s AS named
-  FROM {docs} d LEFT JOIN weights w ON d.source = w.s JOIN rates r ON r.s IS NOT DISTINCT FROM w.s
+  SELECT s, r, k + 1, p * (r / (k + 1)), least(cdf + p * (r / (k + 1)), 1.0) FROM terms WHERE k < r OR p > pow(2.0, -60)
 ),
-counted AS (SELECT *, (SELECT count(*) FROM terms t WHERE t.s IS NOT DISTINCT FROM named AND t.cdf <= u) AS reps FROM drawn)
-SELECT * EXCLUDE (u, named, reps), CAST(copy AS INTEGER) AS copy, md5('{seed}/' || doc_id || '/' || copy) AS shuffle_key
-FROM (SELECT *, unnest(range(1, reps + 1)) AS copy FROM counted WHERE reps > 0)
+tables AS (SELECT s, list(cdf ORDER BY k) AS cdfs FROM terms GROUP BY s),
+counted AS (
+  SELECT d.*, r.rate AS mix_rate, list_sum([len(list_filter(t.cdfs, lambda c: c <= ('0x' || substr(md5('{seed}:' || part || ':' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / pow(2.0, 52))) FOR part IN range(0, r.parts)]) AS reps
+  FROM {docs} d LEFT JOIN weights w ON d.source = w.s JOIN rates r ON r.s IS NOT DISTINCT FROM w.s JOIN tables t ON t.s IS NOT DISTINCT FROM w.s
+)
+SELECT * EXCLUDE (reps), CAST(copy AS INTEGER) AS copy, md5('{seed}/' || coalesce(doc_id::VARCHAR, 'null') || '/' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, reps::BIGINT + 1)) AS copy FROM counted WHERE reps > 0)
 """
 
 
-ORACLE_SQL = "WITH RECURSIVE " + mix_sql("documents").strip().replace("SELECT * EXCLUDE (u, named, reps), CAST", "SELECT * EXCLUDE (u, named, reps, copy), CAST")
+ORACLE_SQL = "WITH RECURSIVE " + mix_sql("documents").strip().replace("SELECT * EXCLUDE (reps), CAST", "SELECT * EXCLUDE (reps, copy), CAST")
