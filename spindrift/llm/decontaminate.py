@@ -13,11 +13,12 @@ none is missed.
 Every candidate is verified exactly: the distinct shingles of the item found in the whole document over those of the item.
 
 The items of the benchmark are taken in blocks of ``BLOCK_SHINGLES`` shingles, each sent to the tasks by a broadcast of
-that bounded size; more items mean more blocks and passes, not larger ones. No pair of a document and an item is formed before a bin agrees.
+that bounded size; more items mean more passes, not larger ones: with more than one block, the hits of each are stored and its broadcast is
+destroyed before the next one is read, so one block at a time is held by the driver and the executors. No pair of a document and an item is formed before a bin agrees.
 
 Cases: null and empty texts have no shingles, are never hits and never contaminated. An item of 1 to 4 words has one
 shingle of all its words: it is searched among the runs of as many words. Items without words are ignored. Repeated items
-and documents are hits of their own; null ids of items or documents stay null. Empty tables give no hits. Extra columns are ignored, and kept by ``drop_contaminated``.
+and documents are hits of their own; null ids of items or documents stay null. A very long text is searched whole, as a block of its own. Empty tables give no hits. Extra columns are ignored, and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -40,8 +41,6 @@ RECALL = 0.999999
 EXACT = 10
 #: Shingles of items in one broadcast (16 bytes each, and the ids).
 BLOCK_SHINGLES = 500_000
-#: Minima of a block of documents that are held at once.
-BINS = 1 << 22
 
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shared", pa.int64()), ("item_shingles", pa.int64()), ("containment", pa.float64())])
 
@@ -94,27 +93,29 @@ def _found(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def candidates(grams: np.ndarray, doc: np.ndarray, counts: np.ndarray, items: Items, threshold: float, recall: float) -> np.ndarray:
-    """Documents (numbers) with a shingle of a small item, or a bin minimum that another item has in the same bin."""
+    """Documents (numbers) with a shingle of a small item, or a bin minimum that another item has in the same bin.
+
+    Bins are sparse: only those are made in which a document has some item's minimum, so memory follows the shingles, not the bins.
+    """
     out = [doc[_found(items.few, grams)]] if len(items.few) else []
     if not items.many.any():
         return np.unique(out[0])
     classes = np.where(counts > 0, np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), -1)
+    of = classes[doc]
     for c in np.unique(classes[classes >= 0]):
-        upper = 1 << int(c)
-        bins = bins_for(upper, items.least, threshold, recall)
+        bins = bins_for(1 << int(c), items.least, threshold, recall)
         wanted = items.minima(bins)
-        members = np.flatnonzero(classes == c)
-        step = max(1, BINS // bins)
-        number = np.full(len(counts), -1, np.int64)
-        number[members] = np.arange(len(members))
-        mine = number[doc]
-        for a in range(0, len(members), step):
-            inside = (mine >= a) & (mine < a + step)
-            h, d = grams[inside], mine[inside] - a
-            low = np.full(min(step, len(members) - a) * bins, np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(low, d * bins + (h % np.uint64(bins)).astype(np.int64), h)
-            hit = np.flatnonzero(_found(wanted, low))
-            out.append(members[a + np.unique(hit // bins)])
+        here = of == c
+        h, d = grams[here], doc[here]
+        bin_ = d * bins + (h % np.uint64(bins)).astype(np.int64)
+        told = np.unique(bin_[_found(wanted, h)])  # an item's minimum may be in them
+        if not len(told):
+            continue
+        inside = _found(told, bin_)
+        bin_, h = bin_[inside], h[inside]
+        order = np.lexsort((h, bin_))
+        least = order[np.concatenate([[True], np.diff(bin_[order]) > 0])]
+        out.append(np.unique(bin_[least[_found(wanted, h[least])]] // bins))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
@@ -178,8 +179,26 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, shared long, item_shingles long, containment double"
-    passes = [rows.mapInArrow(_search(spark.sparkContext.broadcast(g), threshold, recall), schema) for g in item_blocks(benchmark, item_col, item_text_col, block) if g]
-    return reduce(DataFrame.unionAll, passes) if passes else spark.createDataFrame([], schema)
+    found: list[DataFrame] = []
+    waiting = None
+    for groups in item_blocks(benchmark, item_col, item_text_col, block):
+        if not groups:
+            continue
+        if waiting is not None:
+            found.append(_pass(rows, waiting, threshold, recall, schema))
+        waiting = groups
+    if waiting is None:
+        return spark.createDataFrame([], schema)
+    if not found:
+        return rows.mapInArrow(_search(spark.sparkContext.broadcast(waiting), threshold, recall), schema)
+    return reduce(DataFrame.unionAll, [*found, _pass(rows, waiting, threshold, recall, schema)])
+
+
+def _pass(rows: DataFrame, groups: list[Items], threshold: float, recall: float, schema: str) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(groups)
+    hits = stored(rows.mapInArrow(_search(held, threshold, recall), schema), "hits")
+    held.destroy()
+    return hits
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -204,12 +223,17 @@ def words_sql(column: str) -> str:
     return f"regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}_]+')"
 
 
+def _runs_sql(words: str, n: str) -> str:
+    return f"[array_to_string(list_slice({words}, i, i + {n} - 1), ' ') FOR i IN range(1, len({words}) - {n} + 2)]"
+
+
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, {words_sql("text")} AS w FROM documents),
-b AS (SELECT item_id, {words_sql("text")} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest([list_slice(w, i, i + 4) FOR i IN range(1, len(w) - 3)]) AS s FROM d WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest([list_slice(w, i, i + 4) FOR i IN range(1, len(w) - 3)]) AS s FROM b WHERE len(w) >= 5),
-n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY 1)
+b AS (SELECT row_number() OVER () AS item, item_id, w, least(len(w), {SHINGLE}) AS n FROM (SELECT item_id, {words_sql("text")} AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item, item_id, n, unnest({_runs_sql("w", "n")}) AS s FROM b),
+k AS (SELECT DISTINCT n FROM b),
+ds AS (SELECT DISTINCT doc_id, n, unnest({_runs_sql("w", "n")}) AS s FROM d, k WHERE len(w) >= n),
+c AS (SELECT item, count(*) AS item_shingles FROM bs GROUP BY 1)
 SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles, count(*) / any_value(item_shingles)::DOUBLE AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {THRESHOLD} * any_value(item_shingles) - 1e-9
+FROM ds JOIN bs USING (n, s) JOIN c USING (item) GROUP BY doc_id, item, item_id HAVING count(*) >= {THRESHOLD} * any_value(item_shingles) - 1e-9
 """
