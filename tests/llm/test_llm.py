@@ -61,7 +61,23 @@ def test_mixing(spark, odd, none):
     n = dict(out.groupBy("source").count().collect())
     assert abs(n["a"] / (n["a"] + n["b"]) - 0.75) < 0.01 and abs(n["a"] + n["b"] - 40_000) < 1000
     assert mixing.mix(none).count() == 0 and mixing.mix(odd, {"src0": 1.0}, 0.0).where("source <> 'src0' or source is null").count() == 0
-    assert abs(mixing.poisson_cdf(900.0)[-1] - 1) < 1e-9
+    repeated = spark.createDataFrame([(1, "a", None), (1, "a", ""), (None, "a", "x" * 100_000), (None, None, "t")], "doc_id long, source string, text string")
+    drawn = collections.Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.mix(repeated, {"a": 1.0}, 1.0, 6.0).collect())
+    assert drawn[1, "a", None] == drawn[1, "a", ""]
+    few = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("rare").alias("source"))  # a rate far above what is inverted at once
+    counts = [r["n"] for r in mixing.mix(few, {"rare": 1.0}, 0.0, 1000.0).groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    assert abs(np.mean(counts) - 1000) < 10 and 800 < np.var(counts) < 1250
+    plan = mixing.mix(few, {"rare": 1.0}, 0.0, 1e6)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000
+
+
+@pytest.mark.parametrize("epochs", [1.0, 200.0])
+def test_mixing_sql(spark, duck, epochs):
+    sql = "WITH RECURSIVE " + mixing.mix_sql("few", epochs=epochs).strip().replace("SELECT * EXCLUDE (reps), CAST", "SELECT * EXCLUDE (reps, copy), CAST")
+    duck.execute("create or replace temp view few as select doc_id, source from documents where doc_id < 60")
+    want = collections.Counter(duck.execute(f"select doc_id, copy, shuffle_key from ({sql})").fetchall())
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source").where("doc_id < 60")
+    assert collections.Counter(map(tuple, mixing.mix(docs, epochs=epochs).select("doc_id", "copy", "shuffle_key").collect())) == want
 
 
 # 6
@@ -431,3 +447,106 @@ def test_warc_members_equal_gzip(monkeypatch, slice_bytes):
     assert list(warc._members(io.BytesIO(b""))) == []
     with pytest.raises(ValueError):
         list(warc._members(io.BytesIO(data[:-1])))
+
+
+def test_quality_equals_scalar_arithmetic():
+    """The vectorised features, updates and dot products against plain loops over dictionaries."""
+    import math
+
+    rng = np.random.default_rng(3)
+    bits, texts = 10, [" ".join(rng.choice(["good", "Text", "BUY", "now!!", "12", "a", "sehr"], rng.integers(1, 30))) for _ in range(60)] + ["", None]
+    labels = np.array([float("BUY" not in (t or "")) for t in texts])
+    slots, values, offsets = quality.features(texts, bits)
+    rows = [dict(zip(slots[a:b].tolist(), values[a:b].tolist(), strict=True)) for a, b in zip(offsets, offsets[1:])]
+    for row, text in zip(rows, texts, strict=True):
+        one = quality.features([text], bits)
+        assert row == pytest.approx(dict(zip(one[0].tolist(), one[1].tolist(), strict=True)))  # whatever stands beside it
+        assert not row or abs(sum(v * v for v in row.values()) - 1) < 1e-9
+    z, n, bias = {}, {}, 1 << bits
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        for k in order.permutation(len(labels)):
+            x = {**rows[k], bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - labels[k]) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    model = quality.ftrl(slots, values, offsets, labels, bits)
+    assert model == pytest.approx(np.array([weight(i) for i in range(bias + 1)]), abs=1e-9)
+    scores = [1 / (1 + math.exp(-weight(bias) - sum(weight(i) * v for i, v in row.items()))) for row in rows]
+    assert quality.score(texts, model) == pytest.approx(scores, abs=1e-9)
+    assert np.mean(np.array(scores)[labels == 1]) > np.mean(np.array(scores)[labels == 0])
+
+
+def test_quality_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, "plain good text" if i % 2 else "BUY now!!", "l") for i in range(40)] + [(1, "plain good text", "l"), (1, None, "l"), (None, "BUY now!!", "l"), (41, "x " * 50_000, "l")], "doc_id long, text string, label string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (1, 0), (3, 1), (99, 1)], "doc_id long, quality int")
+    rows = quality.score_quality(docs, marks).collect()
+    assert len(rows) == 44 and docs.columns == rows[0].__fields__[:3] and all(0 <= r["score"] <= 1 for r in rows)
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r["text"]].add(round(r["score"], 9))
+    assert all(len(x) == 1 for x in by.values()) and min(by["plain good text"]) > max(by["BUY now!!"])
+
+
+def test_html_tree_changes_the_result(spark):
+    site = [(i, f"http://h/{i}", f"<body><div class=top><p>Same words on every page</p></div><div class=text><p>own text {i}</p></div>") for i in range(6)]
+    pages = spark.createDataFrame(site, "page_id long, url string, html string")
+    off = {r["page_id"]: r["text"] for r in html.extract(pages, least_pages=1 << 60).collect()}
+    on = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert off == {i: f"Same words on every page\n\nown text {i}" for i in range(6)} and on == {i: f"own text {i}" for i in range(6)}
+
+
+def test_html_long_and_deep(spark):
+    deep = "<div class=a>" * 3000 + "deep text" + "</div>" * 3000
+    long = "<article>" + "<p>some words &amp; more</p>" * 20_000 + "</article>"
+    pages = spark.createDataFrame([(1, "http://h/1", deep), (2, "http://h/2", long), (2, "http://h/2", long), (3, "http://h/3", "</div></p>" * 1000 + "<p>x" + "<b" * 1000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html.extract(pages).collect()}
+    assert got[1]["text"] == "deep text" and got[2]["text"] == "\n\n".join(["some words & more"] * 20_000) and got[2]["n_chars"] == len(got[2]["text"]) and got[3]["text"].startswith("x")
+
+
+def test_decontaminate_long_documents_and_blocks(spark):
+    rng = np.random.default_rng(9)
+    long = [f"w{k}" for k in rng.integers(0, 1000, 300_000)]
+    docs = [(1, " ".join(long)), (1, " ".join(long[:50])), (None, " ".join(long[10:40])), (2, None), (3, "nothing here")]
+    items = [(k, " ".join(long[at : at + n])) for k, (at, n) in enumerate([(5, 1), (10, 5), (20, 12), (250_000, 30), (299_900, 100)])] + [(9, " ".join(f"v{k}" for k in range(20)))]
+    tables = [spark.createDataFrame(x, f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id"))]
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = collections.Counter()
+    for i, t in docs:
+        w = (t or "").split()
+        for j, x in items:
+            g = grams(x.split()) or {(x,)}
+            has = grams(w) if len(x.split()) >= 5 else {(y,) for y in w}
+            if len(g & has) >= 0.8 * len(g):
+                want[i, j] += 1
+    for block in (decontaminate.BLOCK_SHINGLES, 25, 1):
+        assert collections.Counter((r[0], r[1]) for r in decontaminate.find_items(*tables, block=block).collect()) == want
+    kept = decontaminate.drop_contaminated(*tables)
+    assert sorted((r[0] or 0, len(r[1] or "")) for r in kept.collect()) == [(2, 0), (3, 12)]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, none):
+    import corpus_pipeline as p
+
+    rows = [(1, "Some Text here that is long enough to have shingles in it", "en", "src0"), (2, "some text HERE that is long enough to have shingles in it", "en", None), (2, "some text HERE that is long enough to have shingles in it", "en", None), (None, None, None, None), (3, None, "en", "x"), (4, "", "en", "src1"), (5, LONG, "en", "src2"), (None, "lonely words of a row without an id here", "de", "src0"), (None, "lonely words of a row without an id here", "de", "src0")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "mine", 1, 0.5) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, keep_id string, class_id int, score double")
+    before = collections.Counter(map(str, docs.collect()))
+    left = {"exact_dedup": [None, 2, 4, 5], "near_dedup": [None, None, 1, 3, 4, 5], "decontaminate": None, "quality": None}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        got = out.collect()
+        assert out.columns == docs.columns and not collections.Counter(map(str, got)) - before, name
+        if left[name]:
+            assert sorted((r["doc_id"] for r in got), key=lambda i: (i is not None, i)) == left[name], name
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+    mixed = p.STAGES[-1][1](spark, docs, DATA)
+    assert mixed.columns[: len(docs.columns)] == docs.columns and p.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
