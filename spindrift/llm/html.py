@@ -22,7 +22,9 @@ The tree decides on the blocks of every page, in ``main`` and ``article`` and ou
 its host, or copies), the names do: the text in ``main`` and ``article`` is kept, and if it is at least half of the page's text, the rest is dropped.
 
 The tree's counts are aggregated by (host, node, value), with partial aggregation, so a host that holds a
-third of all pages is spread over all tasks; pages are never grouped by host.
+third of all pages is spread over all tasks; pages are never grouped by host, and texts are never shuffled: pages are parsed into
+stored files, a file's distinct nodes are joined to what the trees say of them, and each file is read once more with the verdicts
+on its own nodes. Only the nodes of one host's tree (its distinct chains of names, not its pages) meet in one task, to be folded.
 
 Cases: null or empty html gives an empty text; a null url has the host ''; markup that never closes is closed at
 the end; ``<`` without a tag name is text. Character references are decoded, white space inside a
@@ -39,12 +41,16 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import partitions, stored, table
+from .warc import _open_fs as open_fs
 
 #: Names of elements by what they are.
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
@@ -126,8 +132,8 @@ def _tag(token: str) -> tuple | None:
     return bool(m[2] or m[5]), tag, f"{tag}.{classes}" if classes else tag, gone, block, empty, said if block and tag not in NO_CONTAINER else 0
 
 
-def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], list[tuple[tuple[int, ...], str, bool, bool]]]:
-    """Elements (node, parent, names of children, tag) and text blocks (chain of nodes, text, removed by name, in main text)."""
+def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], list[tuple[int, str, bool, bool]]]:
+    """Elements (node, parent, names of children, tag) and text blocks (node or 0, text, removed by name, in main text)."""
     source = page or ""
     stack: list[tuple] = []  # tag, node, removed here or above, in main or article, children, in a header, a block, an inline element removed by itself, suspects
     elements, texts, buffer = [], [], []
@@ -141,7 +147,7 @@ def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], lis
             if "&" in text:
                 text = " ".join(_html.unescape(text).split())
             top = stack[-1] if stack else root
-            texts.append((tuple([s[1] for s in stack]), text, top[2], top[3], top[8]))
+            texts.append((top[1], text, top[2], top[3], top[8]))
 
     def close(to: int):
         while len(stack) > to:
@@ -222,7 +228,7 @@ def parsed(page: str | None) -> tuple[list[tuple[int, int, list[str], str]], lis
                 counts[1] += len(text)
     most = [any([2 * x > y for x, y in zip(h, total, strict=True)]) for h in held]
     out = [not holds and (doubt == 2 or not most[i]) for i, (doubt, holds) in enumerate(suspects)]
-    return elements, [(chain, text, gone or any([out[i] for i in inside]), main) for chain, text, gone, main, inside in texts]
+    return elements, [(node, text, gone or any([out[i] for i in inside]), main) for node, text, gone, main, inside in texts]
 
 
 def host_of(url: str | None) -> str:
@@ -234,25 +240,24 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-PAGE = "page_id long, url string, host string, blocks array<struct<node:long,text:string,prior:boolean>>, seen array<struct<node:long,parent:long,kind:string,value:long>>"
+SEEN = pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("value", pa.int64())]))
+PAGE = "page_id long, url string, host string, nodes array<long>, priors array<boolean>, texts array<string>, seen array<struct<node:long,parent:long,kind:string,value:long>>"
 _PAGE = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string())]
-    + [("blocks", pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string()), ("prior", pa.bool_())]))), ("seen", pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])))]
+    [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("nodes", pa.list_(pa.int64())), ("priors", pa.list_(pa.bool_())), ("texts", pa.list_(pa.string())), ("seen", SEEN)]
 )
 
 
-def observed(page: str | None) -> tuple[list, list]:
-    """Blocks, each with what names alone say of it; and once each: nodes, their sequences of children, their texts."""
+def observed(page: str | None) -> tuple[list[int], list[bool], list[str], list[dict]]:
+    """Blocks (nodes, what names alone say of them, texts); and once each: nodes, their sequences of children, their texts."""
     elements, rows = parsed(page)
     parents = {node: parent for node, parent, _, _ in elements}
     seen = {(n, p, "page", (tag in TOP) + (tag in MAIN)) for n, p, _, tag in elements}
     seen |= {(n, p, "style", _hash(" ".join(children))) for n, p, children, _ in elements if children}
     kept = [r for r in rows if not r[2]]
-    seen |= {(chain[-1], parents.get(chain[-1], 0), "text", _hash(text)) for chain, text, _, _ in kept if chain}
+    seen |= {(node, parents.get(node, 0), "text", _hash(text)) for node, text, _, _ in kept if node}
     main = sum(len(r[1]) for r in kept if r[3])
     alone = main and 2 * main >= sum(len(r[1]) for r in kept)
-    blocks = [{"node": r[0][-1] if r[0] else 0, "text": r[1], "prior": r[3] or not alone} for r in kept]
-    return blocks, [dict(zip(("node", "parent", "kind", "value"), s, strict=True)) for s in seen]
+    return [r[0] for r in kept], [r[3] or not alone for r in kept], [r[1] for r in kept], [dict(zip(("node", "parent", "kind", "value"), s, strict=True)) for s in seen]
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,24 +362,45 @@ def style_tree(parsed_pages: DataFrame, least: float = LEAST, least_pages: int =
 
 def main_text(page: str | None, noise: dict[int, bool] | None = None) -> str:
     """The text of one page, given what its host's tree says of its nodes."""
-    return "\n\n".join(b["text"] for b in observed(page)[0] if not (noise or {}).get(b["node"], not b["prior"]))
+    nodes, priors, texts, _ = observed(page)
+    return "\n\n".join(t for n, prior, t in zip(nodes, priors, texts, strict=True) if not (noise or {}).get(n, not prior))
 
 
-#: A host's lists of judged nodes are joined to its pages in so many salted parts.
-SALTS = 64
+RESULT = "page_id long, url string, text string, n_chars long"
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of RESULT from the files of parsed pages that the rows name, with the verdicts (host, noise, nodes) on their nodes."""
+    for b in batches:
+        for path, verdicts in zip(b.column("path").to_pylist(), b.column("verdicts").to_pylist(), strict=True):
+            says: dict[str, dict[int, bool]] = {}
+            for v in verdicts or ():
+                says.setdefault(v["host"], {}).update(dict.fromkeys(v["nodes"], v["noise"]))
+            store, place = open_fs(path)
+            with store.open_input_file(place) as f:
+                for part in pq.ParquetFile(f).iter_batches(128, columns=["page_id", "url", "host", "nodes", "priors", "texts"]):
+                    counts, keep = [], []
+                    for host, nodes, priors in zip(*(part.column(c).to_pylist() for c in ("host", "nodes", "priors")), strict=True):
+                        noise = says.get(host, {})
+                        mine = [not noise.get(n, not prior) for n, prior in zip(nodes, priors, strict=True)]
+                        counts.append(sum(mine))
+                        keep += mine
+                    kept = part.column("texts").flatten().filter(pa.array(keep, pa.bool_()))
+                    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                    text = pc.binary_join(pa.ListArray.from_arrays(ends, kept), "\n\n")
+                    yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), text, pc.utf8_length(text).cast(pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, least: float = LEAST, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     one = observe(pages)
     judged = style_tree(one, least, least_pages).where("noise is not null and importance is not null and not isnan(importance)")
-    nodes = lambda noise: F.collect_set(F.when(F.col("noise") == noise, F.col("node")))
-    by_host = judged.groupBy("host").agg(nodes(True).alias("low"), nodes(False).alias("high")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = one.select("page_id", "url", "host", "blocks", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    joined = left.join(by_host, ["host", "salt"], "left")
-    has = lambda name, b: F.coalesce(F.array_contains(F.col(name), b["node"]), F.lit(False))
-    kept = F.filter("blocks", lambda b: ~has("low", b) & (b["prior"] | has("high", b)))
-    return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    files = one.select(F.col("_metadata.file_path").alias("path"), "host", "nodes")
+    inside = files.select("path", "host", F.explode("nodes").alias("node")).distinct()
+    said = inside.join(judged.select("host", "node", "noise"), ["host", "node"]).groupBy("path", "host", "noise").agg(F.collect_list("node").alias("nodes"))
+    by_file = said.groupBy("path").agg(F.collect_list(F.struct("host", "noise", "nodes")).alias("verdicts"))
+    wanted = files.select("path").distinct().join(by_file, "path", "left").repartition(partitions(pages.sparkSession), "path")
+    return wanted.mapInArrow(_decide, RESULT)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
