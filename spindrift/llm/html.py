@@ -405,3 +405,16 @@ def extract(pages: DataFrame, least: float = LEAST, least_pages: int = LEAST_PAG
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+#: On pages with one plain ``article`` of headings and paragraphs, as in the tables.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS m FROM pages),
+b AS (
+  SELECT page_id, url, list_filter([
+    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))
+    FOR x IN string_split_regex(m, '</?(?:p|h1)>')
+  ], lambda x: x <> '') AS parts FROM a
+)
+SELECT page_id, url, coalesce(array_to_string(parts, E'\n\n'), '') AS text, length(coalesce(array_to_string(parts, E'\n\n'), '')) AS n_chars FROM b
+"""

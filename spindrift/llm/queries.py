@@ -20,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
+    "op3_html_text": html.ORACLE_SQL,
     "op5_similar_texts": jaccard.ORACLE_SQL,
     "op6_chat_format": chat.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
