@@ -18,6 +18,11 @@ def unfenced(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(x), r"(?m)^```.*$", ""))
 
 
+def whole_json(s: Column) -> Column:
+    """Whether a text is one JSON value and nothing else; the parsers of single values stop at the first one's end."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1, F.lit(False))
+
+
 def _first_object(x: Column) -> Column:
     """The first JSON object that starts at some brace and is whole; null without any."""
 
@@ -46,10 +51,16 @@ def embedded_json(x: Column) -> Column:
     This, and what calls it, must be a column of its own before expressions over arrays use it.
     """
     s = unfenced(x)
-    whole = s.startswith("{") & F.try_parse_json(s).isNotNull()
+    whole = s.startswith("{") & whole_json(s)
     return F.coalesce(F.when(whole, s), _first_object(F.when(~whole & s.contains("{"), s)))
 
 
+def recovered(x: Column) -> Column:
+    """Whether the JSON had to be searched for in an answer that is none as it stands; null without any."""
+    s = unfenced(x)
+    return F.when(embedded_json(x).isNotNull(), ~(s.startswith("{") & whole_json(s)))
+
+
 def extraction(x: Column) -> Column:
     return F.from_json(embedded_json(x), EXTRACTION)
 
@@ -88,6 +99,14 @@ def valid_keywords(found: Column, least: int = 2, most: int = 80, limit: int = 1
     return F.aggregate(fits, F.array().cast("array<string>"), lambda held, k: F.when(new(held, k), F.array_append(held, k)).otherwise(held))
 
 
+def keyword_losses(found: Column, least: int = 2, most: int = 80, limit: int = 10) -> Column:
+    """How many keywords ``valid_keywords`` rejects for their length, and how many different ones its limit drops."""
+    some = F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: k.isNotNull())
+    fits = F.filter(some, lambda k: F.length(k).between(least, most))
+    distinct = F.size(F.array_distinct(F.transform(fits, lambda k: F.lower(k))))
+    return F.struct((F.size(some) - F.size(fits)).alias("rejected_len"), F.greatest(F.lit(0), distinct - limit).alias("dropped_by_cap"))
+
+
 def query_levels(x: Column) -> Column:
     return F.from_json(embedded_json(x), "low_level array<string>, high_level array<string>")
 
@@ -99,31 +118,44 @@ def query_keywords(j: Column, limit: int = 20) -> Column:
 
 
 def judge_json(x: Column) -> Column:
+    """The JSON text in a judge's answer: all of it, else the first flat object that names a score; null if neither is JSON."""
     s = F.trim(x)
-    inner = F.regexp_extract(s, r'\{[^{}]*"score"[^{}]*\}', 0)
-    whole = F.when(s.startswith("{") & s.endswith("}"), s)
-    return F.from_json(F.coalesce(whole, F.nullif(inner, F.lit(""))), "score double, justification string")
+    inner = F.regexp_extract(s, r'(?s)\{[^{}]*"score"[^{}]*\}', 0)
+    return F.when(whole_json(s), s).when(whole_json(inner), inner)
 
 
 def judge_score_text(x: Column) -> Column:
-    """Score in prose: a fraction, else a decimal from 0 to 1, else ``score: n`` of ten; null if there is none."""
-    number = lambda pattern, group: F.nullif(F.regexp_extract(x, pattern, group), F.lit("")).cast("double")
+    """Score in prose: a fraction, else a number from 0 to 1, else the first one or two digits after ``score``, if from 1 to 10, of ten; null if there is none."""
+    s = F.lower(x)
+    number = lambda pattern, group: F.nullif(F.regexp_extract(s, pattern, group), F.lit("")).cast("double")
     above, below = number(r"(\d+)\s*/\s*(\d+)", 1), number(r"(\d+)\s*/\s*(\d+)", 2)
-    fraction = F.when(below > 0, F.least(F.lit(1.0), above / F.nullif(below, F.lit(0.0)))).when(below == 0, F.lit(0.0))
-    decimal = number(r"\b(0\.\d+|1\.0+|0|1)\b", 1)
-    spelled = number(r"(?i)score\s*:\s*(\d+)", 1)
-    return F.coalesce(fraction, decimal, F.when(spelled.isNotNull(), F.least(F.lit(1.0), spelled / 10)))
+    fraction = F.when(below > 0, F.least(F.lit(1.0), above / F.nullif(below, F.lit(0.0))))
+    decimal = number(r"\b(0(?:\.\d+)?|1(?:\.0+)?)\b", 1)
+    spelled = number(r"score[:\s]*\b(\d{1,2})\b", 1)
+    return F.coalesce(fraction, decimal, F.when(spelled.between(1, 10), spelled / 10))
 
 
 def judge_result(x: Column) -> Column:
-    """score in [0, 1], confidence, and whether the score is the default."""
-    j, s = judge_json(F.coalesce(x, F.lit(""))), judge_score_text(F.coalesce(x, F.lit("")))
+    """score in [0, 1], confidence, was_default (no score anywhere), parse_failure (no JSON with anything in it), error.
+
+    A JSON object without a score counts 0. JSON that is no object, or whose score is no number, is an error of value 0; an empty
+    object, list or text, 0, false and null count as no JSON.
+    """
+    raw = F.coalesce(x, F.lit(""))
+    j, s = judge_json(raw), judge_score_text(raw)
+    nothing = j.isNull() | j.rlike(r'^(\{\s*\}|\[\s*\]|""|null|false|-?0+(\.0*)?([eE][+-]?\d+)?)$')
+    keys = F.coalesce(F.json_object_keys(F.when(j.startswith("{"), j)), F.array().cast("array<string>"))
+    stated = F.get_json_object(j, "$.score").try_cast("double")
+    scored = F.when(~F.array_contains(keys, "score"), 0.0).otherwise(stated)
+    wrong = ~nothing & (~j.startswith("{") | scored.isNull())
     clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    has = j["score"].isNotNull()
+    both = F.array_contains(keys, "score") & F.array_contains(keys, "justification")
     return F.struct(
-        F.when(has, clamp(j["score"])).otherwise(F.coalesce(s, F.lit(0.5))).alias("score"),
-        F.when(has & j["justification"].isNotNull(), 0.9).when(has, 0.6).when(s.isNotNull(), 0.4).otherwise(0.2).alias("confidence"),
-        (~has & s.isNull()).alias("was_default"),
+        F.when(wrong, 0.0).when(nothing, F.coalesce(s, F.lit(0.5))).otherwise(clamp(scored)).alias("score"),
+        F.when(wrong, 0.0).when(nothing & s.isNull(), 0.2).when(nothing, 0.4).when(both, 0.9).otherwise(0.6).alias("confidence"),
+        (nothing & s.isNull()).alias("was_default"),
+        nothing.alias("parse_failure"),
+        F.when(wrong, F.lit("the answer of the judge has no score")).alias("error"),
     )
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_name
@@ -30,9 +30,19 @@ def edge_relations(triplets: DataFrame) -> DataFrame:
     return whole.groupBy("lo", "hi", "relation", "doc_id").agg(first).select("lo", "hi", "f.source", "f.target", "relation", "f.description", "doc_id", "f.seq")
 
 
+def _counted_edges(relations: DataFrame, *first: Column) -> DataFrame:
+    by_doc = relations.groupBy("lo", "hi", F.nullif(F.col("doc_id").cast("string"), F.lit("")).alias("_d")).agg(*[F.min(f).alias("_f") for f in first] or [F.count(F.lit(1)).alias("_n")])
+    return by_doc.groupBy("lo", "hi").agg(F.greatest(F.lit(1), F.count("_d")).alias("weight"), *(F.min("_f").alias("_f") for _ in first))
+
+
 def edges(relations: DataFrame) -> DataFrame:
     """lo, hi, weight: the number of distinct documents (1 at least)."""
-    return relations.groupBy("lo", "hi").agg(F.greatest(F.lit(1), F.count_distinct(F.nullif(F.col("doc_id").cast("string"), F.lit("")))).alias("weight"))
+    return _counted_edges(relations)
+
+
+def labelled_edges(relations: DataFrame) -> DataFrame:
+    """lo, hi, weight, label: the edges with the relation that was stated first."""
+    return _counted_edges(relations, F.struct("doc_id", "seq", "relation")).select("lo", "hi", "weight", F.col("_f.relation").alias("label"))
 
 
 def weighted_relations(relations: DataFrame) -> DataFrame:
@@ -45,15 +55,29 @@ def degrees(edge_table: DataFrame) -> DataFrame:
 
 
 def neighbours(relations: DataFrame, n: int) -> DataFrame:
-    """node, rank, neighbour, score, label: the n neighbours with the highest ln(1 + weight) + degree, rounded to 3."""
-    first = relations.groupBy("lo", "hi").agg(F.min(F.struct("doc_id", "seq", "relation")).alias("f")).select("lo", "hi", F.col("f.relation").alias("label"))
-    table = edges(relations).join(first, ["lo", "hi"])
+    """node, rank, neighbour, score, label: the n neighbours with the highest ln(1 + weight) + degree, rounded to 3.
+
+    Edges are stored once for their degrees and their ends. The rank is limited before rows are shuffled to their nodes, so a hub sends n rows a task.
+    """
+    table = stored(labelled_edges(relations), "edges")
     both = table.select(F.col("lo").alias("node"), F.col("hi").alias("neighbour"), "weight", "label").unionAll(table.where("lo <> hi").select("hi", "lo", "weight", "label"))
     scored = both.join(degrees(table).withColumnRenamed("node", "neighbour"), "neighbour").withColumn("score", F.bround(F.log1p(F.col("weight").cast("double")) + F.col("degree"), 3))
     w = Window.partitionBy("node").orderBy(F.desc("score"), "neighbour")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("node", "rank", "neighbour", "score", "label")
 
 
+def chunk_keywords(rows: DataFrame) -> DataFrame:
+    """doc_id, keywords of (doc_id, seq, keywords): the last that is not empty."""
+    return rows.where("doc_id IS NOT NULL AND size(keywords) > 0").groupBy("doc_id").agg(F.max_by("keywords", "seq").alias("keywords"))
+
+
+def lookup(nodes: DataFrame, asked: DataFrame, name: str = "name") -> DataFrame:
+    """``asked`` with the columns of the node (``nodes`` by name) that its name means once normalised; null where there is none."""
+    found = nodes.withColumnRenamed("name", "_node")
+    keyed = asked.withColumn("_key", entity_name(F.col(name)))
+    return keyed.join(found, keyed["_key"] == found["_node"], "left").drop("_key").withColumnRenamed("_node", "node")
+
+
 def entities(mentions: DataFrame) -> DataFrame:
     """name, n_docs, type (the last that is not UNKNOWN), description (merged)."""
     m = mentions.withColumn("name", entity_name(F.col("name"))).where("name <> ''")
@@ -63,6 +87,12 @@ def entities(mentions: DataFrame) -> DataFrame:
     return base.join(merged_descriptions(m), "name", "left").withColumn("description", F.coalesce("description", F.lit("")))
 
 
+def known_mentions(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of ``mentions`` whose name the graph (name) holds."""
+    held = names.select(F.col("name").alias("_n")).distinct()
+    return mentions.join(held, entity_name(F.col("name")) == F.col("_n"), "left_semi")
+
+
 def merged_descriptions(mentions: DataFrame) -> DataFrame:
     """name, description: distinct but for case, the longest five (first stated of equal length), joined, cut at 500 at a separator."""
     some = mentions.where(F.coalesce("description", F.lit("")) != "").withColumn("_k", F.lower("description"))
@@ -109,27 +139,38 @@ def cooccurrence(relations: DataFrame, names: DataFrame, limit: int = PAIRS_PER_
 
 
 def components(edge_table: DataFrame) -> DataFrame:
-    """node, component: names are numbered by a hash, components are named by their smallest hash."""
-    hashed = edge_table.select(F.xxhash64("lo").alias("src"), F.xxhash64("hi").alias("dst"))
-    nodes = edge_table.select(F.explode(F.array("lo", "hi")).alias("name")).distinct().withColumn("node", F.xxhash64("name"))
-    found = nodes.join(connected_components(hashed), "node")
-    return found.join(found.groupBy("component").agg(F.min("name").alias("root")), "component").select(F.col("name").alias("node"), "root")
+    """node, root: a component is named by its smallest name."""
+    return connected_components(edge_table, "lo", "hi").withColumnRenamed("component", "root")
 
 
 def capped(triplets: DataFrame, most: int, mentions: DataFrame | None = None) -> DataFrame:
-    """The names that stay when the graph may hold ``most``: name. A no-op below the cap.
+    """The names that stay when the graph may hold ``most``: name. A no-op below the cap."""
+    return admitted(triplets, most, mentions).where("name IS NOT NULL").select("name")
+
+
+def cap_counts(held: DataFrame) -> DataFrame:
+    """One row of what the cap cost, of the table that ``admitted`` gives: entities_dropped, entities_evicted, triplets_dropped_by_cap."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return held.agg(total("entities_dropped"), total("entities_evicted"), total("triplets_dropped_by_cap"))
+
 
-    Beyond it names are admitted in order of statement, and for each new one the least of those with one document is evicted:
+ADMITTED = "name string, entities_dropped long, entities_evicted long, triplets_dropped_by_cap long"
+
+
+def admitted(triplets: DataFrame, most: int, mentions: DataFrame | None = None) -> DataFrame:
+    """name, and a row without a name that counts what the cap cost, if it was reached.
+
+    Beyond the cap names are admitted in order of statement, and for each new one the least of those with one document is evicted:
     n_docs * (degree + 1) * (1 + characters of its description / 100), the first admitted of equal ones. A document's
     descriptions (``mentions``) count once its triplets are in. This rule depends on the order of all triplets, so it is one
     sequential fold; it holds the names and pairs of a graph within the cap, and a heap of the evictable names.
     """
-    ends = triplets.select("doc_id", "seq", entity_name(F.col("source")).alias("s"), entity_name(F.col("target")).alias("t"), F.lit(0).alias("chars")).where("s <> '' and t <> ''")
+    ends = triplets.select("doc_id", F.lit(0).alias("stage"), F.col("seq").alias("seq"), entity_name(F.col("source")).alias("s"), entity_name(F.col("target")).alias("t"), F.lit(0).alias("chars")).where("s <> '' and t <> ''")
     names = ends.select(F.explode(F.array("s", "t")).alias("name")).distinct()
     if names.limit(most + 1).count() <= most:
-        return names
+        return names.select("name", *(F.lit(None).cast("long").alias(c) for c in ("entities_dropped", "entities_evicted", "triplets_dropped_by_cap")))
     if mentions is not None:
-        told = mentions.select("doc_id", F.col("seq") + (1 << 40), entity_name(F.col("name")), F.lit(None).cast("string"), F.length("description"))
+        told = mentions.select("doc_id", F.lit(1), F.col("seq").cast(triplets.schema["seq"].dataType), entity_name(F.col("name")), F.lit(None).cast("string"), F.length("description"))
         ends = ends.unionAll(told.where(F.coalesce(F.length("description"), F.lit(0)) > 0))
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +201,7 @@ def capped(triplets: DataFrame, most: int, mentions: DataFrame | None = None) ->
                 heapq.heappush(heap, x)
             return out
 
-        n = 0
+        n = dropped = evicted = 0
         for p in parts:
             for r in p.itertuples():
                 if r.t is None:
@@ -177,7 +218,9 @@ def capped(triplets: DataFrame, most: int, mentions: DataFrame | None = None) ->
                         out = evictable({r.s, r.t})
                         if out is None:
                             ok = False
+                            dropped += 1
                             break
+                        evicted += 1
                         for other in links.pop(out) - {out}:
                             links[other].discard(out)
                             touch(other)
@@ -190,14 +233,29 @@ def capped(triplets: DataFrame, most: int, mentions: DataFrame | None = None) ->
                     links[r.t].add(r.s)
                     touch(r.s)
                     touch(r.t)
-        yield pd.DataFrame({"name": list(docs)})
+        none = [None] * len(docs)
+        columns = {"name": [*docs, None]} | {c: pd.Series([*none, k], dtype="Int64") for c, k in (("entities_dropped", dropped), ("entities_evicted", evicted), ("triplets_dropped_by_cap", dropped))}
+        yield pd.DataFrame(columns)
 
-    return ends.repartition(1).sortWithinPartitions("doc_id", "seq").mapInPandas(fold, "name string")
+    return ends.repartition(1).sortWithinPartitions("doc_id", "stage", "seq").mapInPandas(fold, ADMITTED)
 
 
-def stats(relations: DataFrame, names: DataFrame) -> DataFrame:
-    """n_entities, n_edges, n_docs, entities_per_doc of the graph."""
-    held = names.agg(F.count_distinct("name").alias("n_entities"), F.count_distinct("doc_id").alias("n_docs"), (F.count_distinct("doc_id", "name") / F.count_distinct("doc_id")).alias("entities_per_doc"))
-    linked = edges(relations).agg(F.count(F.lit(1)).alias("n_edges"))
-    both = held.unionByName(linked, allowMissingColumns=True)  # one row each
-    return both.agg(*(F.max(c).alias(c) for c in ("n_entities", "n_docs", "entities_per_doc", "n_edges")))
+def stats(relations: DataFrame, names: DataFrame, keywords: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """One row: n_entities, n_docs, entities_per_doc, n_edges, n_components, what the cap cost, documents with keywords and keywords, memory_mb.
+
+    ``names``: name, doc_id. ``held``: what ``admitted`` gave. The memory is that of the characters of names and relations.
+    """
+    linked = stored(edges(relations), "edges")
+    sizes = names.agg(F.count_distinct("name").alias("n_entities"), F.count_distinct("doc_id").alias("n_docs"), (F.count_distinct("doc_id", "name") / F.nullif(F.count_distinct("doc_id"), F.lit(0))).alias("entities_per_doc"))
+    parts = [
+        sizes.withColumn("entities_per_doc", F.coalesce("entities_per_doc", F.lit(0.0))),
+        linked.agg(F.count(F.lit(1)).alias("n_edges")),
+        components(linked).agg(F.count_distinct("root").alias("n_components")),
+        relations.agg(F.round(F.coalesce(F.sum(F.octet_length("lo") + F.octet_length("hi") + F.octet_length("relation")), F.lit(0)) / (1 << 20), 2).alias("memory_mb")),
+    ]
+    if keywords is not None:
+        parts.append(keywords.where("size(keywords) > 0").agg(F.count(F.lit(1)).alias("docs_with_keywords"), F.coalesce(F.sum(F.size("keywords")), F.lit(0)).cast("long").alias("n_keywords")))
+    if held is not None:
+        parts.append(cap_counts(held))
+    rows = [p.withColumn("_g", F.lit(0)) for p in parts]  # one row each
+    return reduce(lambda a, b: a.join(b, "_g"), rows).drop("_g")

@@ -40,21 +40,21 @@ def retrieval_metrics(retrieved: DataFrame, relevant: DataFrame, ks: tuple[int,
     return out.select("query_id", *wide)
 
 
+def generation_metrics(shown: DataFrame, relevant: DataFrame) -> DataFrame:
+    """query_id, generation_hit, generation_recall of the rows (query_id, id) that an answer saw, for queries with relevant rows."""
+    wanted = relevant.select("query_id", "id").distinct()
+    seen = shown.select("query_id", "id").distinct().withColumn("_seen", F.lit(1))
+    one = wanted.join(seen, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("_seen").alias("hits"), F.count(F.lit(1)).alias("n"))
+    return one.select("query_id", (F.col("hits") > 0).cast("double").alias("generation_hit"), (F.col("hits") / F.col("n")).alias("generation_recall"))
+
+
 def exact_match(a: Column, b: Column) -> Column:
     x, y = normalize_text(a, articles=True), normalize_text(b, articles=True)
     return F.when((F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "") & (x == y), 1.0).otherwise(0.0)
 
 
-def token_f1(a: Column, b: Column) -> Column:
-    """F1 of the two multisets of words: what is common is the sum of the smaller counts."""
-    x, y = tokens(a), tokens(b)
-    count = lambda words, w: F.size(F.filter(words, lambda v: v == w))
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, w: s + F.least(count(x, w), count(y, w)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0) | (common == 0), 0.0).otherwise(2 * common / (F.size(x) + F.size(y)))
-
-
 def token_f1_rows(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Token F1 of long texts: words are counted by aggregations instead of nested passes over arrays."""
+    """key, f1 of the two multisets of words: what is common is the sum of the smaller counts, and words are counted by aggregations."""
     one = pairs.select(key, tokens(F.col(a)).alias("x"), tokens(F.col(b)).alias("y"))
     words = one.select(key, F.explode("x").alias("w"), F.lit(1).alias("p"), F.lit(0).alias("q")).unionAll(one.select(key, F.explode("y").alias("w"), F.lit(0).alias("p"), F.lit(1).alias("q")))
     counts = words.groupBy(key, "w").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -62,19 +62,60 @@ def token_f1_rows(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key).join(sums, key, "left").select(key, F.coalesce(2 * F.col("c") / F.col("n"), F.lit(0.0)).alias("f1"))
 
 
-def accuracy(a: Column, b: Column, labels: list[str] | None = None) -> Column:
-    x, y = normalize_text(a), normalize_text(b)
-    ok = (x == y) & (x != "")
-    if labels:
-        ok &= x.isin(labels)
-    return F.when(ok, 1.0).otherwise(0.0)
+def accuracy(a: Column, b: Column) -> Column:
+    """Whether two labels are equal, normalised; an empty one never is."""
+    whole = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
+    return F.when(whole & (normalize_text(a) == normalize_text(b)), 1.0).otherwise(0.0)
+
+
+def valid_label(a: Column, labels: list[str]) -> Column:
+    """Whether a label is one of ``labels``, both normalised; this says nothing of its accuracy."""
+    known = F.array(*(normalize_text(F.lit(x)) for x in labels))
+    return F.array_contains(known, normalize_text(a))
+
 
+#: Names of the metrics, and what each kind of dataset is scored by when nothing else is configured.
+METRICS = ["exact_match", "f1_score", "accuracy", "semantic_similarity", "faithfulness", "answer_relevance"]
+NEEDS_ANSWER = ["exact_match", "f1_score", "accuracy", "semantic_similarity"]
+JUDGED = ["faithfulness", "answer_relevance"]
 
-def primary_metric(dataset: Column, answer_type: Column, expected: Column, has_model: Column) -> Column:
-    """Which metric counts for a query."""
+
+def available_metrics(has_model: bool, has_embedder: bool) -> dict[str, bool]:
+    """Which metrics can be calculated with what is there."""
+    return {m: has_model if m in JUDGED else has_embedder if m == "semantic_similarity" else True for m in METRICS}
+
+
+def calculated(name: str, has_model: bool, has_embedder: bool, scores: dict[str, Column], expected: Column, context: Column, query: Column) -> Column:
+    """value and error of a metric: what a metric needs and does not have is an error of value 0."""
+    lacks = F.lit(None).cast("string")
+    if not available_metrics(has_model, has_embedder).get(name, False):
+        lacks = F.lit(f"{name} needs a {'model' if name in JUDGED else 'known name' if name not in METRICS else 'embedder'}")
+    elif name in NEEDS_ANSWER:
+        lacks = F.when(blank_to_null(expected).isNull(), F.lit(f"{name} needs an expected answer"))
+    elif name == "faithfulness":
+        lacks = F.when(context.isNull(), F.lit(f"{name} needs a context"))
+    elif name == "answer_relevance":
+        lacks = F.when(query.isNull(), F.lit(f"{name} needs a query"))
+    value = scores.get(name, F.lit(0.0))
+    return F.struct(F.when(lacks.isNull(), F.coalesce(value, F.lit(0.0))).otherwise(0.0).alias("value"), lacks.alias("error"))
+
+
+def primary_metric(dataset: Column, answer_type: Column, expected: Column, has_model: Column, default: Column | None = None) -> Column:
+    """Which metric counts for a query. One that needs an answer and has none is scored 0 under the dataset's ``default``."""
     answer = blank_to_null(expected).isNotNull()
     return (
-        F.when(dataset == "HYBRID", F.when(answer, F.when(answer_type == "label", "accuracy").otherwise("f1")).otherwise("error"))
+        F.when(dataset == "HYBRID", F.when(answer, F.when(answer_type == "label", "accuracy").otherwise("f1_score")).otherwise(F.lit("f1_score") if default is None else default))
         .when(dataset == "ADAPTED", F.when(answer & has_model, "semantic_similarity").otherwise("answer_relevance"))
         .otherwise("faithfulness")
     )
+
+
+def secondary_metrics(dataset: str, primary: Column, expected: Column, configured: list[str]) -> list[tuple[str, Column]]:
+    """(name, whether it is calculated) of the metrics beside the primary one: F1 and exact match of hybrid answers, then the configured ones."""
+    names = (["f1_score", "exact_match"] if dataset == "HYBRID" else []) + configured
+    answer = blank_to_null(expected).isNotNull()
+    out = []
+    for name in dict.fromkeys(names):
+        on = primary != name
+        out.append((name, on if name in configured else on & answer))
+    return out

@@ -19,12 +19,6 @@ def json_line(**values: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
 
 
-def percentile(values: Column, p: float) -> Column:
-    """The value at place min(n - 1, floor(p n)) of the sorted ones; 0 without any."""
-    a = F.sort_array(F.collect_list(values))
-    return F.coalesce(F.get(a, F.least(F.size(a) - 1, F.floor(F.lit(p) * F.size(a)).cast("int"))), F.lit(0.0))
-
-
 def keep_first(rows: DataFrame, keys: list[str], order: list, limit: int | None = None, group: list[str] | None = None) -> DataFrame:
     """First row of each key by ``order``; with ``limit`` at most so many of each group (a limit of the feature)."""
     first = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -60,23 +54,48 @@ def fuse(contributions: list[DataFrame], k: int) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def with_fallback(found: DataFrame, queries: DataFrame, vector: DataFrame, reason: str) -> DataFrame:
-    """``found``, and for queries without a row there the vector results with the reason."""
-    lacking = queries.select("query_id").distinct().join(found.select("query_id").distinct(), "query_id", "left_anti")
-    return found.withColumn("fallback", F.lit(None).cast("string")).unionByName(vector.join(lacking, "query_id", "left_semi").withColumn("fallback", F.lit(reason)))
+def entity_scores(hits: DataFrame, node_docs: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of ranked entity hits (query_id, key, rank, distance): each entity gives to all its documents (key, doc_id)."""
+    return hits.join(node_docs, "key").select("query_id", "doc_id", _gain().alias("score"))
+
+
+def relation_scores(hits: DataFrame, node_docs: DataFrame) -> DataFrame:
+    """The same of relation hits (query_id, rank, distance, weight, lo, hi): each gives once to every document of either end."""
+    ends = hits.select("query_id", "rank", "distance", "weight", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("key"))
+    reached = ends.join(node_docs, "key").select("query_id", "rank", "distance", "weight", "doc_id").distinct()
+    return reached.select("query_id", "doc_id", (_gain() * F.col("weight")).alias("score"))
+
+
+def keyword_scores(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", F.col("key").alias("doc_id"), _gain().alias("score"))
+
+
+def _gain() -> Column:
+    return similarity(F.col("distance")) / (1 + F.col("rank"))
 
 
 def rerank(rows: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:
-    """``rows`` (query_id, rank, id) by score, best first; a missing score counts 0; the vector score stays."""
-    scored = rows.join(scores, ["query_id", "id"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
-    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
-    return scored.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= top_n)
+    """``rows`` (query_id, rank, id) by score, best first; a missing score counts 0; all other columns stay.
+
+    Where ``scores`` tells a ``rerank_error``, the query keeps the order it had, ``reranked`` is false and the error is told.
+    """
+    told = scores if "rerank_error" in scores.columns else scores.withColumn("rerank_error", F.lit(None).cast("string"))
+    by = Window.partitionBy("query_id")
+    scored = rows.join(told, ["query_id", "id"], "left").withColumn("rerank_error", F.max("rerank_error").over(by))
+    scored = scored.withColumn("reranked", F.col("rerank_error").isNull()).withColumn("rerank_score", F.when(F.col("reranked"), F.coalesce("rerank_score", F.lit(0.0))))
+    return scored.withColumn("new_rank", F.row_number().over(by.orderBy(F.desc("rerank_score"), "rank"))).where(F.col("new_rank") <= top_n)
 
 
 def pack_context(rows: DataFrame, group: str, order: list[str], content: str, max_chars: int) -> DataFrame:
-    """group, n_docs, context: ``[Doc i]`` blocks in order, up to the first that would overflow."""
+    """group, n_docs, context: ``[Doc i]`` blocks in order, up to the first that would overflow.
+
+    A block has 8 characters or more, and one of more than ``max_chars`` never fits, so of each group at most that many rows, and of
+    each text at most one character more than fits, travel to where the context is packed.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    block = rows.withColumn("_i", F.row_number().over(w)).withColumn("_b", F.concat(F.lit("[Doc "), F.col("_i"), F.lit("]\n"), F.col(content)))
+    cut = F.substring(F.coalesce(content, F.lit("")), 1, max_chars + 1)
+    first = rows.select(group, *order, cut.alias("_c")).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= max_chars // 8 + 1)
+    block = first.withColumn("_b", F.concat(F.lit("[Doc "), F.col("_i"), F.lit("]\n"), F.col("_c")))
     used = F.sum(F.length("_b") + F.when(F.col("_i") > 1, 2).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = block.withColumn("_used", used).where(F.col("_used") <= max_chars)
     texts = kept.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_i", "_b"))).alias("_a"))
@@ -95,15 +114,43 @@ def section_budgets(max_chars: int, mode: str) -> tuple[int, int, int]:
 
 
 def section(rows: DataFrame, group: str, order: list[str], line: str, budget: int) -> DataFrame:
-    """Lines of a section per group while they fit in ``budget - 60``: group, n_lines, chars, body."""
+    """Lines of a section per group while they fit in ``budget - 60``: group, n_lines, body. No more of a line travels than can fit."""
     w = Window.partitionBy(group).orderBy(*order)
-    numbered = rows.withColumn("_i", F.row_number().over(w)).withColumn("_l", F.col(line))
+    cut = F.substring(F.col(line), 1, max(1, budget))
+    numbered = rows.select(group, *order, cut.alias("_l")).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= max(1, budget))
     used = F.sum(F.length("_l") + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = numbered.withColumn("_used", used).where(F.col("_used") <= budget - 60)
     one = kept.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_i", "_l"))).alias("_a"))
     return one.select(group, F.size("_a").cast("long").alias("n_lines"), F.array_join(F.transform("_a", lambda x: x["_l"]), "\n").alias("body"))
 
 
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, doc_id of the documents (doc_id, text) that hold an item's text (query_id, text) as it stands.
+
+    White space parts a text into tokens; all but an item's first and last must be tokens of the document, so three of those in a
+    row name the candidates, by an equi join with the few rows of the items, and only those are searched for the text. Items of fewer than five
+    tokens, and those without text, are compared with every document.
+    """
+    asked = items.select("query_id", F.col("text").alias("_q")).where("_q IS NOT NULL")
+    parts = F.split("_q", r"\s+")
+    long = asked.withColumn("_w", parts).where(F.size("_w") >= 5).select("query_id", "_q", F.array_join(F.slice("_w", 2, 3), " ").alias("_k"))
+    tokens = docs.select("doc_id", "text", F.split("text", r"\s+").alias("_w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.array_join(F.slice("_w", i, 3), " "))
+    grams = tokens.where(F.size("_w") >= 3).select("doc_id", F.explode(F.array_distinct(runs)).alias("_k"))
+    candidates = grams.join(long, "_k").select("doc_id", "query_id", "_q")
+    found = docs.select("doc_id", "text").join(candidates, "doc_id").where(F.contains("text", "_q")).select("query_id", "doc_id")
+    short = asked.where(F.size(parts) < 5)
+    return found.unionAll(docs.select("doc_id", "text").join(short, F.contains("text", "_q")).select("query_id", "doc_id")).distinct()
+
+
+def call_groups(docs: DataFrame, per_call: int, buckets: int) -> DataFrame:
+    """``docs`` with _bucket, _call (from 0) and _place (from 1): calls of ``per_call`` documents in order of id, within buckets of the id's digest."""
+    digest = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    w = Window.partitionBy("_bucket").orderBy("doc_id")
+    placed = docs.withColumn("_bucket", (digest % buckets).cast("int")).withColumn("_n", F.row_number().over(w) - 1)
+    return placed.withColumn("_call", F.floor(F.col("_n") / per_call).cast("int")).withColumn("_place", (F.col("_n") % per_call + 1).cast("int")).drop("_n")
+
+
 def seeded_order(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 

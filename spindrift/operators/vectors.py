@@ -7,11 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Query vectors in one broadcast; more queries mean more passes, not larger ones.
-BLOCK = 4096
+BLOCK = 32_768
+#: Distances that are held at once.
+CELLS = 4_000_000
 SCALE = 1_000_000
 
 
@@ -33,18 +37,34 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide(q @ v.T, n, out=np.zeros_like(n), where=n > 0)
 
 
-def _nearest(held, k: int, metric: str):
+def _top(d: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least distances (whole numbers) of each row, in order; of equal ones the least rank first."""
+    n = d.shape[1]
+    if n and d.max(initial=0) >= (1 << 62) // n:
+        return np.lexsort((np.broadcast_to(rank, d.shape), d), axis=1)[:, :k]
+    key = d * n + rank
+    if n > k:
+        best = np.argpartition(key, k - 1, axis=1)[:, :k]
+        return np.take_along_axis(best, np.argsort(np.take_along_axis(key, best, 1), axis=1), 1)
+    return np.argsort(key, axis=1)
+
+
+def _nearest(held, k: int, metric: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = held.value
+        asked = pa.array(ids, kind)
         for b in batches:
             if not b.num_rows:
                 continue
-            other = b.column("id").to_numpy()
-            v = np.array(b.column("vector").to_pylist(), float)
-            d = np.round(_distances(q, v, metric) * SCALE).astype(np.int64)
-            best = np.lexsort((np.broadcast_to(other, d.shape), d), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[rows]), "id": pa.array(other[best.ravel()]), "micros": pa.array(d[rows, best.ravel()])})
+            other = b.column("id")
+            rank = pc.rank(other, tiebreaker="first").to_numpy().astype(np.int64) - 1
+            v = np.asarray(b.column("vector").flatten(), float).reshape(b.num_rows, -1)
+            step = max(1, CELLS // b.num_rows)
+            for a in range(0, len(ids), step):
+                d = np.round(_distances(q[a : a + step], v, metric) * SCALE).astype(np.int64)
+                best = _top(d, rank, k)
+                rows = np.repeat(np.arange(len(d)), best.shape[1])
+                yield pa.RecordBatch.from_pydict({"query_id": asked.take(pa.array(rows + a)), "id": other.take(pa.array(best.ravel())), "micros": pa.array(d[rows, best.ravel()])})
 
     return run
 
@@ -52,19 +72,21 @@ def _nearest(held, k: int, metric: str):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, rank (1 is nearest), id, distance (rounded to 6 places) of the k nearest vectors of each query.
 
-    Both take (id, vector). Each block of queries is one pass over the vectors: a matrix product per Arrow
+    Both take (id, vector) with ids of any type; rows without an id or a vector take no part. Each block of queries is one pass over the vectors: a matrix product per Arrow
     batch keeps k rows a query and batch, so the final ranking shuffles k times queries times batches. Ties go to the smaller id.
     """
     spark, ids, block, passes = queries.sparkSession, [], [], []
-    schema = "query_id long, id long, micros long"
+    kinds = [queries.schema["id"].dataType, vectors.schema["id"].dataType]
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, micros long"
+    whole = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where("id IS NOT NULL AND size(vector) > 0")
 
     def flush():
-        held = spark.sparkContext.broadcast((np.array(ids), np.array(block, float)))
-        passes.append(vectors.select(F.col("id").cast("long"), "vector").mapInArrow(_nearest(held, k, metric), schema))
+        held = spark.sparkContext.broadcast((list(ids), np.array(block, float)))
+        passes.append(whole.mapInArrow(_nearest(held, k, metric, to_arrow_type(kinds[0])), schema))
         ids.clear()
         block.clear()
 
-    for r in queries.select(F.col("id").cast("long"), "vector").orderBy("id").toLocalIterator():
+    for r in queries.select("id", "vector").where("id IS NOT NULL AND size(vector) > 0").orderBy("id").toLocalIterator():
         ids.append(r[0])
         block.append(r[1])
         if len(ids) == BLOCK:
@@ -72,7 +94,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     if ids:
         flush()
     if not passes:
-        return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
+        return spark.createDataFrame([], f"query_id {kinds[0].simpleString()}, rank int, id {kinds[1].simpleString()}, distance double")
     order = Window.partitionBy("query_id").orderBy("micros", "id")
     ranked = reduce(DataFrame.unionAll, passes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", (F.col("micros") / SCALE).alias("distance"))

@@ -9,7 +9,7 @@ import time
 import urllib.request
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
@@ -71,6 +71,52 @@ class WordModel:
         }
 
 
+class LetterEmbedder:
+    """Shares of the letters a to z in a lower-cased text: no model, and any database can compute the same."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            low = t.lower()
+            counts = [float(low.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"]
+            norm = sum(x * x for x in counts) ** 0.5
+            out.append([x / norm for x in counts] if norm else counts)
+        return out
+
+
+class LengthModel:
+    """Repeats the question, and judges by the length of the prompt, in tenths; refuses to judge lengths that end in 0."""
+
+    def complete(self, prompt: str, phase: str) -> str:
+        if phase != "judge":
+            return prompt.split("QUESTION: ")[-1].split("\n")[0]
+        n = len(prompt) % 11
+        return json.dumps({"score": n / 10, "justification": phase}) if n else "no opinion"
+
+
+class CaseModel:
+    """Answers of several kinds, by the number at the prompt's end: 1 no JSON, 2 JSON after other words, else JSON alone."""
+
+    def complete(self, prompt: str, phase: str) -> str:
+        words = ["a", "x" * 81, "same", "SAME", *(f"theme{i}" for i in range(12))]
+        whole = json.dumps({"entities": [{"name": "Thing"}], "relations": [], "high_level_keywords": words})
+        return {"1": "nothing to say", "2": f"Here it is: {whole}"}.get(prompt[-1], whole)
+
+
+class BrokenEmbedder:
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        raise ValueError("out of order")
+
+
+class LengthReranker:
+    """Longer texts are better; without a question there is no answer."""
+
+    def scores(self, query: str, texts: list[str]) -> list[float]:
+        if not query:
+            raise ValueError("no question")
+        return [float(len(t)) for t in texts]
+
+
 class EchoModel:
     """Answers with the digest of its prompt as a judge's score."""
 
@@ -126,10 +172,14 @@ class HttpModel:
     url: str
     model: str
     temperature: float = 0.1
-    tokens: int = 4096
+    tokens: int = 4096  # of one document; ``scaled`` asks for more
     most_tokens: int = 32_768
     timeout: float = 120.0
 
+    def scaled(self, factor: int) -> HttpModel:
+        """The same model with room for ``factor`` answers, three at most."""
+        return replace(self, tokens=self.tokens * min(factor, 3))
+
     def complete(self, prompt: str, phase: str) -> str:
         tokens = self.tokens
         while True:
@@ -155,62 +205,101 @@ class HttpReranker:
         return [found.get(i, 0.0) for i in range(len(texts))]
 
 
-def embed_column(rows: DataFrame, text: str, embedder: Embedder, out: str = "vector") -> DataFrame:
-    """``rows`` with the embedding of a text column, a batch at a time."""
+#: Calls of a model at once, over all tasks.
+CONCURRENCY = 32
+CALL = "answer string, error string, queue_ms double, llm_ms double, total_ms double, retries int"
+
+
+def spelled(error: BaseException) -> str:
+    return f"{type(error).__name__}: {str(error) or repr(error)}"
+
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def embed_column(rows: DataFrame, text: str, embedder: Embedder, out: str = "vector", error: str | None = None) -> DataFrame:
+    """``rows`` with the embedding of a text column, a batch at a time. A failing call fails the plan, or is told in the column ``error``, if that is named."""
+
+    @F.pandas_udf("struct<vector:array<double>,error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series(embedder.embed(texts.fillna("").tolist()), index=texts.index)
+            try:
+                yield pd.DataFrame({"vector": list(embedder.embed(texts.fillna("").tolist())), "error": None}, index=texts.index)
+            except Exception as e:
+                if error is None:
+                    raise
+                yield pd.DataFrame({"vector": None, "error": spelled(e)}, index=texts.index)
 
-    return rows.withColumn(out, run(F.col(text)))
+    told = rows.withColumn("_e", run.asNondeterministic()(F.col(text))).withColumn(out, F.col("_e.vector"))
+    return (told.withColumn(error, F.col("_e.error")) if error else told).drop("_e")
 
 
-def complete_column(rows: DataFrame, prompt: str, model: Model, phase: str, parallel: int = 4, attempts: int = 4, backoff: float = 1.0, timeout: float | None = None) -> DataFrame:
-    """``rows`` with answer, error and llm_ms: ``parallel`` calls a task, each tried again with growing pauses. A null prompt is not sent.
+def complete_column(rows: DataFrame, prompt: str, model: Model, phase: str, parallel: int | None = None, attempts: int = 4, backoff: float = 1.0, timeout: float | None = None, scale: str | None = None) -> DataFrame:
+    """``rows`` with the columns of ``CALL``: ``parallel`` calls a task, each tried again with growing pauses. A null prompt is not sent.
 
-    With ``timeout`` (seconds from submission, waiting included) a call that is not back by then has the error ``timeout``.
+    Without ``parallel`` the tasks that run at once share ``CONCURRENCY`` calls. queue_ms is the wait for a free place, llm_ms the
+    time at the model, total_ms both; null where a call did not come so far. With ``timeout`` (seconds from submission, waiting included) a call that
+    is not back by then has the error ``timeout``. ``scale`` names a column with the number of answers that a prompt asks for.
     """
+    places = parallel or max(1, CONCURRENCY // rows.sparkSession.sparkContext.defaultParallelism)
 
-    def one(text: str | None) -> tuple:
+    def one(text: str | None, factor: int, sent: float) -> tuple:
         if text is None:
-            return None, None, 0.0
-        began = time.monotonic()
+            return None, None, None, None, None, 0
+        began, asked = time.monotonic(), model.scaled(factor) if factor > 1 and hasattr(model, "scaled") else model
+        queued = (began - sent) * 1e3
         for i in range(attempts):
             try:
-                return model.complete(text, phase), None, (time.monotonic() - began) * 1e3
+                answer, error = asked.complete(text, phase), None
+                break
             except Exception as e:  # the answer of a failed call is its error
-                error = f"{type(e).__name__}: {str(e) or repr(e)}"
+                answer, error = None, spelled(e)
                 if i + 1 < attempts:
                     time.sleep(backoff * 2**i)
-        return None, error, (time.monotonic() - began) * 1e3
+        now = time.monotonic()
+        return answer, error, queued, (now - began) * 1e3, (now - sent) * 1e3, i
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(parallel)
+        pool = ThreadPoolExecutor(places)
         try:
             for p in parts:
-                calls = [pool.submit(one, t) for t in p[prompt].astype(object).where(p[prompt].notna(), None)]
-                end = None if timeout is None else time.monotonic() + timeout
+                sent = time.monotonic()
+                factors = p[scale] if scale else [1] * len(p)
+                calls = [pool.submit(one, t, int(n), sent) for t, n in zip(p[prompt].astype(object).where(p[prompt].notna(), None), factors, strict=True)]
+                end = None if timeout is None else sent + timeout
                 found = []
                 for c in calls:
                     try:
                         found.append(c.result(None if end is None else max(0.0, end - time.monotonic())))
                     except TimeoutError:
                         c.cancel()
-                        found.append((None, "timeout", timeout * 1e3))
-                yield p.assign(answer=[x[0] for x in found], error=[x[1] for x in found], llm_ms=[x[2] for x in found])
+                        found.append((None, "timeout", None, None, timeout * 1e3, 0))
+                yield p.assign(**{n: pd.Series([x[i] for x in found], index=p.index, dtype=kind) for i, (n, kind) in enumerate(_CALL.items())})
         finally:
             pool.shutdown(wait=timeout is None, cancel_futures=True)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", answer string, error string, llm_ms double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + CALL
     return rows.mapInPandas(run, schema)
 
 
-def rerank_scores(rows: DataFrame, reranker: Reranker, query: str = "query_text", text: str = "content") -> DataFrame:
-    """query_id, id, rerank_score of (query_id, id, query, text) rows."""
+_CALL = {"answer": object, "error": object, "queue_ms": "Float64", "llm_ms": "Float64", "total_ms": "Float64", "retries": "int32"}
 
-    @F.pandas_udf("double")
-    def run(q: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([reranker.scores(a, [b])[0] for a, b in zip(q, t, strict=True)])
 
-    return rows.select("query_id", "id", run(F.col(query), F.col(text)).alias("rerank_score"))
+def rerank_scores(rows: DataFrame, reranker: Reranker, query: str = "query_text", text: str = "content") -> DataFrame:
+    """query_id, id, rerank_score, rerank_error of (query_id, rank, id, query, text) rows: one request a query, with the texts that were fetched for it."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "id", F.col(text).alias("text"))))
+    kind = dict(rows.dtypes)["id"]
+    asked = rows.groupBy("query_id").agg(F.first(query, ignorenulls=True).alias("q"), listed.alias("texts")).select("query_id", "q", F.transform("texts", lambda x: x["id"]).alias("ids"), F.transform("texts", lambda x: x["text"]).alias("texts"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            scores, errors = [], []
+            for q, texts in zip(p["q"], p["texts"], strict=True):
+                try:
+                    scores.append([float(x) for x in reranker.scores(q or "", [x or "" for x in texts])])
+                    errors.append(None)
+                except Exception as e:  # the list then stays in its order
+                    scores.append([])
+                    errors.append(spelled(e))
+            yield pd.DataFrame({"query_id": p["query_id"], "ids": p["ids"], "scores": scores, "rerank_error": errors})
+
+    told = asked.mapInPandas(run, f"query_id {dict(rows.dtypes)['query_id']}, ids array<{kind}>, scores array<double>, rerank_error string")
+    each = told.select("query_id", "rerank_error", F.posexplode("ids").alias("at", "id"), "scores")
+    return each.select("query_id", "id", F.get("scores", F.col("at")).alias("rerank_score"), "rerank_error")
