@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..operators.ranking import call_groups
 from . import prompts
 from .providers import Model, complete_column
 from .storage import stored
@@ -17,53 +18,66 @@ from .storage import stored
 BUCKETS = 1024
 
 
+#: Counters of the keywords that a document's answer loses.
+LOST = ["rejected_len", "dropped_by_cap"]
+
+
 def _valid(j: Column) -> list[Column]:
-    return [parse.valid_entities(j["entities"]).alias("entities"), parse.valid_relations(j["relations"]).alias("relations"), parse.valid_keywords(j["high_level_keywords"]).alias("keywords")]
+    lost = parse.keyword_losses(j["high_level_keywords"])
+    return [parse.valid_entities(j["entities"]).alias("entities"), parse.valid_relations(j["relations"]).alias("relations"), parse.valid_keywords(j["high_level_keywords"]).alias("keywords"), *(lost[c].alias(c) for c in LOST)]
 
 
 def _single(docs: DataFrame, model: Model) -> DataFrame:
     asked = complete_column(docs.withColumn("_p", prompts.extraction(F.col("text"))), "_p", model, "extraction")
     j = F.col("_j")
-    return asked.withColumn("_j", parse.extraction(F.col("answer"))).select("doc_id", *_valid(j), j.isNotNull().alias("parsed"), "error")
+    told = asked.withColumn("_j", parse.extraction(F.col("answer"))).withColumn("_r", parse.recovered(F.col("answer")))
+    return told.select("doc_id", *_valid(j), j.isNotNull().alias("parsed"), F.lit(False).alias("missing"), F.coalesce("_r", F.lit(False)).alias("recovered"), "error")
+
+
+def batch_entries(asked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, doc_id, d: the entries of answers (keys, answer) over several documents; those without a doc_id are skipped, of equal ids the last counts."""
+    found = asked.select(*keys, parse.batch_extraction(F.col("answer")).alias("_j")).select(*keys, F.posexplode("_j.documents").alias("_at", "d")).where("coalesce(d.doc_id, '') <> ''")
+    return found.groupBy(*keys, F.col("d.doc_id").alias("doc_id")).agg(F.max_by("d", "_at").alias("d"))
 
 
 def _batched(docs: DataFrame, model: Model, per_call: int) -> DataFrame:
-    """Answers keyed back to the documents by doc_id, of equal ids the last; without an answer: null."""
-    w = Window.partitionBy("_b").orderBy("doc_id")
-    placed = docs.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).withColumn("_n", F.row_number().over(w) - 1)
-    placed = placed.withColumn("_c", F.floor(F.col("_n") / per_call)).withColumn("_i", F.col("_n") % per_call + 1)
-    block = F.struct("_i", prompts.document_block(F.col("_i").cast("string"), F.col("doc_id"), F.col("text")).alias("t"))
-    calls = placed.groupBy("_b", "_c").agg(F.sort_array(F.collect_list(block)).alias("_blocks"))  # per_call at most
-    asked = complete_column(calls.select("_b", "_c", prompts.batch_extraction(F.array_join(F.transform("_blocks", lambda b: b["t"]), "\n\n")).alias("_p")), "_p", model, "extraction")
-    found = asked.select("_b", "_c", parse.batch_extraction(F.col("answer")).alias("_j")).select("_b", "_c", F.posexplode("_j.documents").alias("_at", "d")).where("coalesce(d.doc_id, '') <> ''")
-    last = found.groupBy("_b", "_c", F.col("d.doc_id").alias("doc_id")).agg(F.max_by("d", "_at").alias("d"))
-    joined = placed.join(last, ["_b", "_c", "doc_id"], "left")
-    return joined.select("doc_id", "text", *_valid(F.col("d")), F.col("d").isNotNull().alias("parsed"), F.lit(None).cast("string").alias("error"))
+    """Answers keyed back to the documents by doc_id; ``answered`` says whether the call's answer could be read at all."""
+    placed = stored(call_groups(docs, per_call, BUCKETS), "call-groups")
+    keys = ["_bucket", "_call"]
+    block = F.struct("_place", prompts.document_block(F.col("_place").cast("string"), F.col("doc_id"), F.col("text")).alias("t"))
+    calls = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(block)).alias("_blocks"), F.count(F.lit(1)).cast("int").alias("_n")).where("_n > 1")  # per_call at most
+    asked = calls.select(*keys, "_n", prompts.batch_extraction(F.array_join(F.transform("_blocks", lambda b: b["t"]), "\n\n")).alias("_p"))
+    told = stored(complete_column(asked, "_p", model, "extraction", scale="_n").select(*keys, "answer"), "batch-answers")
+    read = told.withColumn("_j", parse.batch_extraction(F.col("answer"))).select(*keys, F.col("_j.documents").isNotNull().alias("answered"), F.coalesce(parse.recovered(F.col("answer")), F.lit(False)).alias("_r"))
+    joined = placed.join(read, keys, "left").join(batch_entries(told, keys), [*keys, "doc_id"], "left")
+    has, answered = F.col("d").isNotNull(), F.coalesce("answered", F.lit(False))
+    return joined.select("doc_id", "text", *_valid(F.col("d")), has.alias("parsed"), (answered & ~has).alias("missing"), (answered & F.col("_r") & (F.col("_place") == 1)).alias("recovered"), F.lit(None).cast("string").alias("error"), answered.alias("answered"))
 
 
 def extract(corpus: DataFrame, model: Model, per_call: int = 5, max_chars: int = 3000, gleaning: int = 0) -> DataFrame:
-    """doc_id, round, entities, relations, keywords, parsed, error: a row per document, and one more per round of gleaning.
+    """doc_id, round, entities, relations, keywords, parsed, missing, recovered, error, empty_input and what keywords were lost: a row per document, and one more per round of gleaning.
 
-    ``corpus`` has (doc_id, content), ids distinct. A document without text is not sent. One that a call over several
-    documents does not answer is sent alone. Gleaning names the entities of the first reading, in every round, and brings no keywords.
+    ``corpus`` has (doc_id, content), ids distinct. A document without text is not sent. If the answer of a call over several
+    documents cannot be read, they are sent alone; one that an answer leaves out has nothing. Gleaning names the entities of the first reading, in every round, and brings no keywords.
     """
     docs = corpus.select(F.col("doc_id").cast("string").alias("doc_id"), F.substring(F.coalesce("content", F.lit("")), 1, max_chars).alias("text"))
     blank = F.trim("text") == ""
     if per_call > 1:
         first = stored(_batched(docs.where(~blank), model, per_call), "extracted")
-        alone = _single(first.where("not parsed").select("doc_id", "text"), model)
-        found = first.where("parsed").drop("text").unionByName(alone)
+        alone = _single(first.where("not answered").select("doc_id", "text"), model)
+        found = first.where("answered").drop("text", "answered").unionByName(alone)
     else:
         found = _single(docs.where(~blank), model)
     nothing = F.from_json(F.lit(None).cast("string"), parse.EXTRACTION)
-    empty = docs.where(blank).select("doc_id", *_valid(nothing), F.lit(False).alias("parsed"), F.lit(None).cast("string").alias("error"))
-    out = stored(found.withColumn("empty_input", F.lit(False)).unionByName(empty.withColumn("empty_input", F.lit(True))).withColumn("round", F.lit(0)), "extraction")
+    no = F.lit(False)
+    empty = docs.where(blank).select("doc_id", *_valid(nothing), no.alias("parsed"), no.alias("missing"), no.alias("recovered"), F.lit(None).cast("string").alias("error"))
+    out = stored(found.withColumn("empty_input", no).unionByName(empty.withColumn("empty_input", F.lit(True))).withColumn("round", F.lit(0)), "extraction")
     rounds = [out]
     for r in range(1, gleaning + 1):
         named = out.where(F.size("entities") > 0).select("doc_id", F.transform("entities", lambda e: e["name"]).alias("names")).join(docs, "doc_id")
         asked = complete_column(named.withColumn("_p", prompts.gleaning(F.col("text"), F.col("names"))), "_p", model, "gleaning")
         j = F.col("_j")
-        more = asked.withColumn("_j", parse.extraction(F.col("answer"))).select("doc_id", *_valid(j)[:2], F.array().cast("array<string>").alias("keywords"), j.isNotNull().alias("parsed"), "error", F.lit(False).alias("empty_input"), F.lit(r).alias("round"))
+        more = asked.withColumn("_j", parse.extraction(F.col("answer"))).select("doc_id", *_valid(j)[:2], F.array().cast("array<string>").alias("keywords"), *(F.lit(0).alias(c) for c in LOST), j.isNotNull().alias("parsed"), no.alias("missing"), no.alias("recovered"), "error", no.alias("empty_input"), F.lit(r).alias("round"))
         rounds.append(stored(more, "gleaning"))
     for more in rounds[1:]:
         out = out.unionByName(more)
@@ -71,20 +85,24 @@ def extract(corpus: DataFrame, model: Model, per_call: int = 5, max_chars: int =
 
 
 def extraction_stats(extracted: DataFrame) -> DataFrame:
-    """One row of counts over the first reading; all 0 for an empty table."""
+    """One row of the thirteen counts over the first reading; all 0 for an empty table."""
     ok = F.col("parsed")
     some = (F.size("entities") > 0) | (F.size("relations") > 0)
-    total = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return extracted.where("round = 0").agg(
         F.count(F.lit(1)).alias("docs_processed"),
-        F.count_if(ok & some).alias("docs_success"),
-        F.count_if(~ok & ~F.col("empty_input")).alias("docs_failed"),
+        F.count_if(ok).alias("docs_success"),
+        F.count_if(~ok & ~F.col("empty_input") & ~F.col("missing")).alias("docs_failed"),
         F.count_if("empty_input").alias("docs_empty_input"),
-        F.count_if(ok & ~some).alias("docs_empty_result"),
-        total("entities").alias("total_entities"),
-        total("relations").alias("total_relations"),
+        F.count_if((ok & ~some) | F.col("missing")).alias("docs_empty_result"),
+        F.count_if("recovered").alias("docs_json_recovered"),
+        total(F.size("entities")).alias("total_entities"),
+        total(F.size("relations")).alias("total_relations"),
         F.count_if(F.size("keywords") > 0).alias("docs_with_keywords"),
-        total("keywords").alias("total_chunk_keywords"),
+        total(F.size("keywords")).alias("total_chunk_keywords"),
+        total("rejected_len").alias("chunk_keywords_rejected_len"),
+        total("dropped_by_cap").alias("chunk_keywords_dropped_by_cap"),
+        F.count_if(F.col("dropped_by_cap") > 0).alias("docs_chunk_keywords_capped"),
     )
 
 
@@ -101,11 +119,11 @@ def mentions(extracted: DataFrame) -> DataFrame:
 
 
 def query_keywords(queries: DataFrame, model: Model, text: str = "query_text") -> DataFrame:
-    """query_id, low, high, error. Equal texts are sent once; a failed call or an answer without keywords gives empty lists."""
+    """query_id, low, high, error, parsed. Equal texts are sent once; a failed call or an answer without keywords gives empty lists."""
     texts = queries.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
     asked = stored(complete_column(texts.withColumn("_p", prompts.query_keywords(F.col("_t"))), "_p", model, "query_keywords"), "query-keywords")
     k = parse.query_keywords(F.col("_j"))
-    found = asked.withColumn("_j", parse.query_levels(F.col("answer"))).select("_t", k["low"].alias("low"), k["high"].alias("high"), "error")
+    found = asked.withColumn("_j", parse.query_levels(F.col("answer"))).select("_t", k["low"].alias("low"), k["high"].alias("high"), "error", F.col("_j").isNotNull().alias("parsed"))
     return queries.select("query_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).join(found, "_t").drop("_t")
 
 

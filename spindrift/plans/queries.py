@@ -7,30 +7,20 @@ the log of calls, orders and their lines the documents and relations of a knowle
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, text
-from ..operators import graph, metrics, ranking
+from ..operators import graph, metrics, ranking, statistics
 from ..operators.vectors import SCALE, nearest, semantic_similarity
-from .evaluation import generation_totals, run_totals, synthesis_stats
+from ..sources import datasets
+from . import retrieval
+from .evaluation import generation_totals, run_totals
 from .providers import HashEmbedder, WordModel
-from .registry import ORACLE_SQL, QUERIES
+from .registry import ORACLE_SQL, query
+from .registry import table as t
 from .retrieval import WHOLE_TEXTS, GraphRetriever, GraphSettings, structured_context
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from .storage import stored
 
 
 # --- scalars -------------------------------------------------------------------------------------------------------
@@ -83,8 +73,12 @@ def normalized_query_rows(spark, d):
 
 
 @query("""
-SELECT event_id, CASE event_type WHEN 'view' THEN least(1.0, trunc(value) / 500) WHEN 'click' THEN CASE WHEN trunc(value) <= 1 THEN trunc(value) ELSE least(1.0, trunc(value) / 10) END WHEN 'error' THEN 0.5 WHEN 'signup' THEN least(1.0, (props->>'k')::DOUBLE / 100) ELSE 0.25 END AS score,
-  CASE event_type WHEN 'signup' THEN 0.9 WHEN 'error' THEN 0.2 ELSE 0.4 END AS confidence, event_type = 'error' AS was_default FROM events
+WITH e AS (SELECT event_id, event_type, trunc(value) AS w, (props->>'k')::DOUBLE AS k FROM events)
+SELECT event_id,
+  CASE event_type WHEN 'view' THEN least(1.0, w / 500) WHEN 'click' THEN CASE WHEN w <= 1 THEN w WHEN w <= 10 THEN w / 10 ELSE 0.5 END WHEN 'error' THEN 0.5 WHEN 'signup' THEN least(1.0, k / 100) ELSE 0.25 END AS score,
+  CASE WHEN event_type = 'signup' THEN 0.9 WHEN event_type = 'error' OR event_type = 'click' AND w > 10 THEN 0.2 ELSE 0.4 END::DOUBLE AS confidence,
+  event_type = 'error' OR event_type = 'click' AND w > 10 AS was_default, event_type <> 'signup' AS parse_failure
+FROM e
 """)
 def judge_scores(spark, d):
     whole = F.col("value").cast("int").cast("string")
@@ -97,7 +91,7 @@ def judge_scores(spark, d):
         .otherwise(F.lit("about 0.25, all in all"))
     )
     one = t(spark, d, "events").withColumn("said", said).withColumn("r", parse.judge_result(F.col("said")))
-    return one.select("event_id", "r.score", "r.confidence", "r.was_default")
+    return one.select("event_id", "r.score", "r.confidence", "r.was_default", "r.parse_failure")
 
 
 @query("""
@@ -170,11 +164,14 @@ def retrieval_scores(spark, d):
     return _metrics(spark, d)
 
 
-@query(f"{_METRICS} SELECT count(*) AS n_completed, round(avg(hit_at_5), 9) AS hit, round(avg(mrr), 9) AS mrr, round(avg(recall_at_5), 9) AS recall, round(avg(ndcg_at_5), 9) AS ndcg, round(1 - avg(recall_at_5), 9) AS missed FROM m")
+@query(f"""{_METRICS}, g AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN 0 ELSE mrr END AS gs FROM m WHERE query_id % 7 <> 0)
+SELECT count(*) AS n_completed, round(avg(hit_at_5), 9) AS hit, round(avg(mrr), 9) AS mrr, round(avg(recall_at_5), 9) AS recall, round(avg(ndcg_at_5), 9) AS ndcg, round(1 - avg(recall_at_5), 9) AS missed,
+  round(avg(gs), 9) AS generation, count(*) FILTER (gs = 0) AS n_zero, count(*) FILTER (gs > 0) AS n_scored FROM g""")
 def run_summary(spark, d):
-    done = _metrics(spark, d).withColumn("status", F.lit("completed")).withColumn("generation_score", F.lit(0.0))
+    score = F.when(F.col("query_id") % 3 == 0, 0.0).otherwise(F.col("mrr"))
+    done = _metrics(spark, d).withColumn("status", F.when(F.col("query_id") % 7 == 0, "failed").otherwise("completed")).withColumn("generation_score", score)
     r = lambda c: F.round(c, 9)
-    return run_totals(done).select("n_completed", r("avg_hit_at_5").alias("hit"), r("avg_mrr").alias("mrr"), r("avg_recall_at_5").alias("recall"), r("avg_ndcg_at_5").alias("ndcg"), r("avg_missed_at_5").alias("missed"))
+    return run_totals(done).select("n_completed", r("avg_hit_at_5").alias("hit"), r("avg_mrr").alias("mrr"), r("avg_recall_at_5").alias("recall"), r("avg_ndcg_at_5").alias("ndcg"), r("avg_missed_at_5").alias("missed"), r("avg_generation_score").alias("generation"), "n_zero", "n_scored")
 
 
 @query("""
@@ -217,15 +214,15 @@ def answer_f1(spark, d):
     return metrics.token_f1_rows(_pairs(spark, d).select("pair", "answer", "expected").distinct(), "pair", "answer", "expected")
 
 
-@query(f"WITH {_PAIRS} SELECT pair, ({_NORM.format('answer')} = {_NORM.format('expected')} AND {_NORM.format('answer')} <> '')::INT::DOUBLE AS accuracy FROM p")
+@query(f"WITH {_PAIRS} SELECT pair, ({_NORM.format('answer')} = {_NORM.format('expected')} AND answer <> '' AND expected <> '')::INT::DOUBLE AS accuracy FROM p")
 def answer_accuracy(spark, d):
     return _pairs(spark, d).select("pair", metrics.accuracy(F.col("answer"), F.col("expected")).alias("accuracy"))
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN length(text) > 1000 THEN 'f1' WHEN length(text) > 100 THEN 'accuracy' ELSE 'error' END WHEN lang = 'fr' THEN CASE WHEN length(text) > 100 THEN 'semantic_similarity' ELSE 'answer_relevance' END ELSE 'faithfulness' END AS metric FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN length(text) > 1000 THEN 'f1_score' WHEN length(text) > 100 THEN 'accuracy' ELSE 'f1_score' END WHEN lang = 'fr' THEN CASE WHEN length(text) > 100 THEN 'semantic_similarity' ELSE 'answer_relevance' END ELSE 'faithfulness' END AS metric FROM documents")
 def primary_metrics(spark, d):
     kind = F.when(F.col("lang") == "en", "HYBRID").when(F.col("lang") == "fr", "ADAPTED").otherwise("RETRIEVAL_ONLY")
-    return t(spark, d, "documents").select("doc_id", metrics.primary_metric(kind, F.when(F.length("text") <= 1000, "label").otherwise("text"), F.when(F.length("text") > 100, F.col("text")), F.lit(True)).alias("metric"))
+    return t(spark, d, "documents").select("doc_id", metrics.primary_metric(kind, F.when(F.length("text") <= 1000, "label").otherwise("text"), F.when(F.length("text") > 100, F.col("text")), F.lit(True), F.lit(datasets.dataset_config("hotpot-qa")["primary"])).alias("metric"))
 
 
 # --- logs ----------------------------------------------------------------------------------------------------------
@@ -233,34 +230,47 @@ def primary_metrics(spark, d):
 
 @query("SELECT event_type AS phase, count(*) AS n, round(list_sort(list(value))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1], 1) AS p50, round(list_sort(list(value))[least(count(*) - 1, floor(0.95 * count(*))::BIGINT) + 1], 1) AS p95, round(max(value), 1) AS longest FROM events GROUP BY 1")
 def call_times(spark, d):
-    one = lambda c: F.round(c, 1)
-    return t(spark, d, "events").groupBy(F.col("event_type").alias("phase")).agg(F.count(F.lit(1)).alias("n"), one(ranking.percentile(F.col("value"), 0.5)).alias("p50"), one(ranking.percentile(F.col("value"), 0.95)).alias("p95"), one(F.max("value")).alias("longest"))
+    one = statistics.percentiles(t(spark, d, "events").withColumnRenamed("event_type", "phase"), ["phase"], "value")
+    return one.select("phase", "n", *(F.round(c, 1).alias(a) for c, a in (("p50", "p50"), ("p95", "p95"), ("max", "longest"))))
 
 
-_NAMES = ["click", "error", "purchase", "retry", "signup", "timeout", "view"]
+_EVENT_OF = {"view": statistics.EVENTS[0], "click": statistics.EVENTS[1], "error": statistics.EVENTS[5], "signup": statistics.EVENTS[6], "purchase": "of no known name"}
 
 
-@query(f"SELECT name AS event, count(event_id) AS n FROM (SELECT unnest({_NAMES}) AS name) LEFT JOIN events ON event_type = name GROUP BY 1")
+@query(f"WITH e AS (SELECT CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENT_OF.items())} END AS event FROM events) SELECT name AS event, count(event) AS n FROM (SELECT unnest({statistics.EVENTS}) AS name) LEFT JOIN e ON event = name GROUP BY 1")
 def operational_counters(spark, d):
-    names = spark.createDataFrame([(n,) for n in _NAMES], "event string")
-    return names.join(t(spark, d, "events").groupBy(F.col("event_type").alias("event")).agg(F.count(F.lit(1)).alias("n")), "event", "left").select("event", F.coalesce("n", F.lit(0)).alias("n"))
+    named = F.create_map(*(F.lit(x) for kv in _EVENT_OF.items() for x in kv))
+    return statistics.operational_counters(t(spark, d, "events").select(named[F.col("event_type")].alias("event")))
 
 
-@query("SELECT user_id, count(*) AS calls, count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE AS success_rate, round(avg(value), 6) AS mean_ms, count(*) FILTER (event_type = 'signup') AS retries FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS total_requests, count(*) FILTER (event_type <> 'error') AS successful_requests, count(*) FILTER (event_type = 'error') AS failed_requests, count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE AS success_rate, round(sum(value) / count(*), 6) AS avg_latency_ms, sum((props->>'k')::INT % 4)::BIGINT AS retries_total FROM events GROUP BY 1")
 def service_counters(spark, d):
-    return t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), (F.count_if(F.col("event_type") != "error") / F.count(F.lit(1))).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean_ms"), F.count_if(F.col("event_type") == "signup").alias("retries"))
+    calls = t(spark, d, "events").select("user_id", F.when(F.col("event_type") == "error", "failed").alias("error"), F.col("value").alias("latency_ms"), (F.get_json_object("props", "$.k").cast("int") % 4).alias("retries"))
+    return statistics.service_totals(calls, ["user_id"]).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+
+
+def _judged(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return statistics.judge_stats(t(spark, d, "events").select(F.col("event_type").alias("metric"), (k > 50).alias("parse_failure"), (k > 90).alias("was_default")))
+
+
+_JUDGED = "r AS (SELECT event_type AS metric, count(*) AS invocations, count(*) FILTER ((props->>'k')::INT > 50) AS parse_failures, count(*) FILTER ((props->>'k')::INT > 90) AS default_returns FROM events GROUP BY 1)"
 
 
-@query("WITH r AS (SELECT event_type AS metric, count(*) FILTER ((props->>'k')::INT > 90) / count(*)::DOUBLE AS rate FROM events GROUP BY 1) SELECT metric, rate, rate = max(rate) OVER () AS worst, rate > 0.02 AS over FROM r")
+@query(f"WITH {_JUDGED} SELECT *, parse_failures / invocations::DOUBLE AS parse_failure_rate, default_returns / invocations::DOUBLE AS default_return_rate FROM r")
 def judge_fallbacks(spark, d):
-    rate = (F.count_if(F.get_json_object("props", "$.k").cast("int") > 90) / F.count(F.lit(1))).alias("rate")
-    r = t(spark, d, "events").groupBy(F.col("event_type").alias("metric")).agg(rate)
-    return r.crossJoin(r.agg(F.max("rate").alias("most"))).select("metric", "rate", (F.col("rate") == F.col("most")).alias("worst"), (F.col("rate") > 0.02).alias("over"))  # one row
+    return _judged(spark, d)
 
 
-@query("SELECT lang, count(*) AS n_docs, count(*) FILTER (coalesce(source, '') <> '') AS with_source, round(avg(length(text)), 6) AS mean_chars FROM documents GROUP BY 1")
+@query(f"WITH {_JUDGED} SELECT metric, default_returns / invocations::DOUBLE AS rate FROM r ORDER BY 2 DESC, 1 LIMIT 1")
+def judge_worst_metric(spark, d):
+    return statistics.worst_judge(_judged(spark, d))
+
+
+@query("SELECT (SELECT count(*) FROM benchmark) AS queries_loaded, (SELECT count(*) FROM benchmark WHERE substr(text, 1, 20) <> '') AS queries_with_text_answer, (SELECT count(DISTINCT item_id) FROM benchmark b JOIN documents d ON contains(d.text, b.text)) AS queries_with_relevant_docs, (SELECT count(*) FROM documents) AS corpus_loaded")
 def corpus_statistics(spark, d):
-    return t(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.coalesce("source", F.lit("")) != "").alias("with_source"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
+    items = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.substring("text", 1, 20).alias("expected_answer"))
+    return statistics.dataset_statistics(items, ranking.containing(t(spark, d, "documents"), items), t(spark, d, "documents"))
 
 
 # --- packing, subsets ----------------------------------------------------------------------------------------------
@@ -294,34 +304,28 @@ SELECT doc_id, true AS gold FROM gold UNION ALL SELECT doc_id, false FROM fill
 def development_subset(spark, d):
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = t(spark, d, "documents").select("doc_id", "text")
-    # the chosen queries are 20 rows at most: a stated set against all documents
-    chosen = q.withColumn("_o", ranking.seeded_order(42, "query_id")).orderBy("_o").limit(20)
-    rels = docs.join(F.broadcast(chosen.select("query_id", F.col("text").alias("q"))), F.contains("text", "q")).select("query_id", "doc_id")
+    chosen = q.withColumn("_o", ranking.seeded_order(42, "query_id")).orderBy("_o").limit(20)  # the feature's number of queries
+    rels = ranking.containing(docs, chosen)
     kept = ranking.subset(q, rels, docs.select("doc_id"), 20, 150, 42)[1]
     return kept.join(rels.select("doc_id").distinct().withColumn("gold", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("gold", F.lit(False)).alias("gold"))
 
 
-@query("SELECT item_id AS query_id, string_agg(doc_id, ',' ORDER BY doc_id) AS docs FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
+@query("SELECT item_id AS query_id, coalesce(string_agg(d.doc_id, ',' ORDER BY d.doc_id::VARCHAR), '') AS docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def relevant_documents(spark, d):
-    b = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    hit = t(spark, d, "documents").join(b if b.count() > 10_000 else F.broadcast(b), F.contains("text", "q"))
-    return hit.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("docs"))
+    b = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    held = ranking.containing(t(spark, d, "documents"), b).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return datasets.relevant_lists(b, held).select("query_id", F.array_join("relevant_doc_ids", ",").alias("docs"))
 
 
-@query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS batch FROM documents")
+@query("WITH b AS (SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 64)::INT AS bucket FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1 AS n FROM b) SELECT doc_id, bucket, (n // 5)::INT AS call, (n % 5 + 1)::INT AS place FROM n")
 def model_batches(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t(spark, d, "documents").select("doc_id", "source", F.floor((n - 1) / 5).alias("batch"))
-
+    return ranking.call_groups(t(spark, d, "documents").select("doc_id"), 5, 64).select("doc_id", F.col("_bucket").alias("bucket"), F.col("_call").alias("call"), F.col("_place").alias("place"))
 
-@query("SELECT role, count(*) AS asked, count(DISTINCT sha256(text)) AS calls FROM conversations GROUP BY role")
-def deduplicated_calls(spark, d):
-    return t(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("asked"), F.count_distinct(F.sha2("text", 256)).alias("calls"))
 
-
-@query("SELECT source, count(*) FILTER (coalesce(text, '') = '') AS empty_text, count(*) FILTER (length(text) > 5000) AS too_long, count(*) FILTER (lang <> 'en') AS foreign_rows, count(*) - count(DISTINCT text) AS repeated FROM documents GROUP BY source")
+@query("SELECT count(*) FILTER (coalesce(lang, '') = '') AS empty_id, count(*) FILTER (source IS DISTINCT FROM 'src0') AS foreign, count(*) FILTER (coalesce(text, '') = '') AS empty_text, count(*) FILTER (length(text) > 5000) AS too_long, (SELECT count(*) FROM (SELECT lang FROM documents GROUP BY 1 HAVING count(*) > 1)) AS repeated_id FROM documents")
 def contract_faults(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.count_if(F.coalesce("text", F.lit("")) == "").alias("empty_text"), F.count_if(F.length("text") > 5000).alias("too_long"), F.count_if(F.col("lang") != "en").alias("foreign_rows"), (F.count(F.lit(1)) - F.count_distinct("text")).alias("repeated"))
+    chunks = t(spark, d, "documents").select(F.col("lang").alias("chunk_id"), F.col("source").alias("collection_id"), "text")
+    return datasets.fault_counts(chunks, "src0", 5000)
 
 
 # --- knowledge graph -----------------------------------------------------------------------------------------------
@@ -376,12 +380,14 @@ def kg_neighbours(spark, d):
 
 
 @query(f"""
-WITH {_TRIPLETS}, n AS (SELECT node, count(*) AS k FROM (SELECT lo AS node FROM edge UNION ALL SELECT hi FROM edge) GROUP BY 1)
-SELECT count(*) AS n_entities, count(*) FILTER (k > 0) AS with_neighbours, round(avg(least(k, 5)), 3) AS mean_neighbours FROM n
+WITH {_TRIPLETS}, n AS (SELECT node, least(5, count(*)) AS k FROM (SELECT lo AS node FROM edge UNION ALL SELECT hi FROM edge) GROUP BY 1),
+h AS (SELECT DISTINCT o_custkey AS query_id, CASE WHEN l_linenumber = 1 THEN 'nobody' ELSE 'part-' || l_partkey END AS name FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT query_id, count(*) FILTER (k > 0) AS with_neighbours, round_even(avg(coalesce(k, 0)), 3) AS mean_neighbours FROM h LEFT JOIN n ON node = name GROUP BY 1
 """)
 def kg_neighbour_coverage(spark, d):
-    near = graph.neighbours(graph.edge_relations(triplets(spark, d)), 5).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    return near.agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(F.col("k") > 0).alias("with_neighbours"), F.round(F.avg("k"), 3).alias("mean_neighbours"))
+    near = graph.neighbours(graph.edge_relations(triplets(spark, d)), 5)
+    hits = t(spark, d, "orders").join(t(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("query_id"), F.when(F.col("l_linenumber") == 1, "nobody").otherwise(F.concat(F.lit("part-"), "l_partkey")).alias("name")).distinct()
+    return retrieval.neighbour_coverage(near, hits)
 
 
 _MENTIONS = """
@@ -412,22 +418,62 @@ def kg_cooccurrence(spark, d):
     return graph.cooccurrence(graph.edge_relations(tr), names)
 
 
-@query(f"WITH {_TRIPLETS}, g AS (SELECT DISTINCT lo, hi FROM rel), nodes AS (SELECT lo AS n FROM g UNION SELECT hi FROM g) SELECT n AS node, (SELECT min(n) FROM nodes) AS root FROM nodes")
+_PLACES = "pl AS (SELECT 'customer-' || c_custkey AS node, c_nationkey AS g FROM customer UNION ALL SELECT 'nation-' || n_nationkey, n_nationkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'order-' || o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+def _places(spark, d):
+    """Orders hang on their customers, customers on their nations: a component for each nation."""
+    c, o = t(spark, d, "customer"), t(spark, d, "orders")
+    customer = F.concat(F.lit("customer-"), "c_custkey")
+    first = c.select(customer.alias("lo"), F.concat(F.lit("nation-"), "c_nationkey").alias("hi"))
+    return first.unionAll(o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(customer, F.concat(F.lit("order-"), "o_orderkey")))
+
+
+@query(f"WITH {_PLACES} SELECT node, min(node) OVER (PARTITION BY g) AS root FROM pl")
 def kg_components(spark, d):
-    """The parts of this graph are one component, which its SQL states without recursion."""
-    return graph.components(graph.edges(graph.edge_relations(triplets(spark, d))))
+    return graph.components(_places(spark, d))
 
 
-@query(f"WITH {_TRIPLETS}, nm AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, source AS name FROM tr UNION ALL SELECT doc_id, target FROM tr)) SELECT count(DISTINCT name) AS n_entities, count(DISTINCT doc_id) AS n_docs, count(*) / count(DISTINCT doc_id)::DOUBLE AS entities_per_doc, (SELECT count(*) FROM edge) AS n_edges FROM nm")
+@query(f"""
+WITH {_TRIPLETS}, nm AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, source AS name FROM tr UNION ALL SELECT doc_id, target FROM tr)), kw AS (SELECT doc_id, arg_max(relation, seq) AS k FROM tr GROUP BY 1)
+SELECT count(DISTINCT name) AS n_entities, count(DISTINCT doc_id) AS n_docs, count(*) / count(DISTINCT doc_id)::DOUBLE AS entities_per_doc, (SELECT count(*) FROM edge) AS n_edges, 1::BIGINT AS n_components, (SELECT round(sum(strlen(lo) + strlen(hi) + strlen(relation)) / 1048576, 2) FROM rel) AS memory_mb,
+  (SELECT count(*) FROM kw) AS docs_with_keywords, (SELECT count(*) FROM kw) AS n_keywords, 0::BIGINT AS entities_dropped, 0::BIGINT AS entities_evicted, 0::BIGINT AS triplets_dropped_by_cap FROM nm
+""")
 def kg_statistics(spark, d):
     tr = triplets(spark, d)
     names = tr.select("doc_id", F.explode(F.array("source", "target")).alias("name")).select("doc_id", text.entity_name(F.col("name")).alias("name"))
-    return graph.stats(graph.edge_relations(tr), names)
+    keywords = graph.chunk_keywords(tr.select("doc_id", "seq", F.array("relation").alias("keywords")))
+    return graph.stats(graph.edge_relations(tr), names, keywords, graph.admitted(tr, 10_000_000))
 
 
 @query(f"WITH {_TRIPLETS} SELECT name FROM (SELECT source AS name FROM tr UNION SELECT target FROM tr)")
+def kg_names_below_cap(spark, d):
+    return graph.capped(triplets(spark, d), 10_000_000)
+
+
+def _pairs_of_orders(spark, d):
+    """Two new names an order: beyond the cap the oldest pair makes room for the newest."""
+    o = t(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("Order-"), "o_orderkey").alias("source"), F.concat(F.lit("Payer-"), "o_orderkey").alias("target"), F.lit("paid by").alias("relation"), F.lit("").alias("description"))
+
+
+@query("WITH o AS (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 500) SELECT 'order-' || o_orderkey AS name FROM o UNION ALL SELECT 'payer-' || o_orderkey FROM o")
 def kg_capped_names(spark, d):
-    return graph.capped(triplets(spark, d), 100_000)
+    return graph.capped(_pairs_of_orders(spark, d), 1000)
+
+
+@query("SELECT 0::BIGINT AS entities_dropped, (2 * count(*) - 1000)::BIGINT AS entities_evicted, 0::BIGINT AS triplets_dropped_by_cap FROM orders")
+def kg_cap_counts(spark, d):
+    return graph.cap_counts(graph.admitted(_pairs_of_orders(spark, d), 1000))
+
+
+@query("SELECT 0::BIGINT AS entities_evicted, (SELECT count(*) FROM orders WHERE o_orderkey >= 2) AS entities_dropped, (SELECT count(*) FROM orders WHERE o_orderkey >= 2) AS triplets_dropped_by_cap")
+def kg_cap_drops(spark, d):
+    """The two names that every other order's pair comes after are each in two documents, so nothing can make room."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).cast("long").alias("seq"))
+    early = F.col("doc_id") < 2
+    rows = o.select("doc_id", "seq", F.when(early, "first").otherwise(F.concat(F.lit("order-"), "doc_id")).alias("source"), F.when(early, "second").otherwise(F.concat(F.lit("payer-"), "doc_id")).alias("target"), F.lit("with").alias("relation"), F.lit("").alias("description"))
+    return graph.cap_counts(graph.admitted(rows, 2))
 
 
 @query(f"WITH {_TRIPLETS} SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM tr)")
@@ -435,10 +481,12 @@ def kg_documents_without_relations(spark, d):
     return t(spark, d, "orders").select("o_orderkey").join(triplets(spark, d), F.col("o_orderkey") == F.col("doc_id"), "left_anti")
 
 
-@query("SELECT c_mktsegment AS doc_id, arg_max(o_orderpriority, o_orderkey) AS keyword FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '' GROUP BY 1")
+@query("SELECT c_mktsegment AS doc_id, arg_max(o_orderpriority, o_orderkey) AS keyword FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F' GROUP BY 1")
 def chunk_keywords_last_write(spark, d):
-    rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderpriority <> ''")
-    return rows.groupBy(F.col("c_mktsegment").alias("doc_id")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("keyword"))
+    rows = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    said = F.when(F.col("o_orderstatus") == "F", F.array().cast("array<string>")).otherwise(F.array("o_orderpriority"))  # empty lists never overwrite
+    held = graph.chunk_keywords(rows.select(F.col("c_mktsegment").alias("doc_id"), F.col("o_orderkey").alias("seq"), said.alias("keywords")))
+    return held.select("doc_id", F.col("keywords")[0].alias("keyword"))
 
 
 # Hybrid retrieval: customers ask; the parts and suppliers of their orders are the hits of the entity channel, their
@@ -472,36 +520,32 @@ def kg_hybrid_retrieval(spark, d):
         F.col("o_custkey").alias("query_id"), F.col("l_linenumber").alias("kw_idx"), F.concat(F.lit("part-"), "l_partkey").alias("part"), F.concat(F.lit("supplier-"), "l_suppkey", F.date_format("l_shipdate", "-yyyyMM")).alias("supp"), F.col("l_orderkey").alias("doc"), (F.col("l_discount") * 10).alias("distance"), F.col("l_extendedprice").alias("price")
     )
     relations = graph.edge_relations(triplets(spark, d, monthly=True))
-    docs = relations.select(F.explode(F.array("lo", "hi")).alias("key"), "doc_id").distinct()
+    relations = stored(relations, "relations")
+    docs = stored(relations.select(F.explode(F.array("lo", "hi")).alias("key"), "doc_id").distinct(), "node-docs")
     edge = graph.edges(relations)
     by = lambda *c: F.row_number().over(Window.partitionBy("query_id", "kw_idx").orderBy("distance", *c, "price")) - 1
-    gain = ranking.similarity(F.col("distance")) / (1 + F.col("rank"))
 
     entity = ranking.channel_hits(base.select("query_id", "kw_idx", F.col("part").alias("key"), "distance", by("part").alias("pos")), "entity")
     relation = ranking.channel_hits(base.select("query_id", "kw_idx", F.concat_ws(" > ", "part", "supp").alias("key"), "distance", by("part", "supp").alias("pos")), "relation")
     keyword = ranking.channel_hits(base.select("query_id", "kw_idx", F.col("doc").alias("key"), "distance", by("doc").alias("pos")), "keyword")
 
     ends = relation.withColumn("p", F.split("key", " > ")).select("query_id", "rank", "distance", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi")).join(edge, ["lo", "hi"])
-    spread = ends.select("query_id", "rank", "distance", "weight", F.explode(F.array("lo", "hi")).alias("key")).join(docs, "key").select("query_id", "rank", "distance", "weight", "doc_id").distinct()
-    return ranking.fuse(
-        [
-            entity.join(docs, "key").select("query_id", "doc_id", gain.alias("score")),
-            spread.select("query_id", "doc_id", (gain * F.col("weight")).alias("score")),
-            keyword.select("query_id", F.col("key").alias("doc_id"), gain.alias("score")),
-        ],
-        20,
-    )
+    return ranking.fuse([ranking.entity_scores(entity, docs), ranking.relation_scores(ends, docs), ranking.keyword_scores(keyword)], 20)
 
 
 ORACLE_SQL["kg_hybrid_retrieval"] = _HYBRID
 
 
-@query("SELECT c_custkey AS query_id, o_orderkey IS NULL AS fell_back, CASE WHEN o_orderkey IS NULL THEN 'no_doc_ids' END AS fallback, coalesce(o_orderkey, -1) AS doc_id FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+@query("""
+WITH w AS (SELECT c_custkey AS query_id, c_custkey % 5 > 0 AS words, count(o_orderkey) > 0 AS hits, count(o_orderkey) FILTER (o_orderstatus <> 'F') > 0 AS held FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000 GROUP BY 1, 2)
+SELECT query_id, CASE WHEN NOT words THEN 'no_keywords' WHEN NOT hits THEN 'no_doc_ids' ELSE 'docs_not_in_store' END AS fallback FROM w WHERE NOT held
+""")
 def retrieval_fallbacks(spark, d):
-    q = t(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
-    found = t(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"))
-    vector = q.select("query_id", F.lit(-1).cast("long").alias("doc_id"))
-    return ranking.with_fallback(found, q, vector, "no_doc_ids").select("query_id", F.col("fallback").isNotNull().alias("fell_back"), "fallback", "doc_id")
+    none, some = F.array().cast("array<string>"), F.array(F.lit("word"))
+    words = t(spark, d, "customer").select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_custkey") % 5 > 0, some).otherwise(none).alias("low"), none.alias("high"))
+    urgent = t(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 200000")
+    fused = urgent.select(F.col("o_custkey").alias("query_id"), "o_orderstatus")
+    return retrieval.fallback_reasons(words, fused, fused.where("o_orderstatus <> 'F'"), "local")
 
 
 @query("SELECT event_type AS phase, date_trunc('hour', ts) AS start, count(*) AS n_calls, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM events GROUP BY ALL")
@@ -514,16 +558,27 @@ def windowed_call_times(spark, d):
 # --- runs ----------------------------------------------------------------------------------------------------------
 
 
-@query("""
+def _times_sql(name: str, value: str) -> str:
+    of = f"list_sort(list({value}) FILTER ({value} IS NOT NULL))"
+    at = lambda p: f"round(coalesce({of}[least(count({value}) - 1, floor({p} * count({value}))::BIGINT) + 1], 0), 1)"
+    return f"count({value}) AS n_{name}_samples, {at(0.5)} AS p50_{name}_ms, {at(0.95)} AS p95_{name}_ms, round(coalesce(max({value}), 0), 1) AS max_{name}_ms"
+
+
+@query(f"""
 SELECT count(*) AS invocations, count(*) FILTER (e IS NULL) AS successes, count(*) FILTER (e = 'error') AS errors, count(*) FILTER (e = 'empty') AS empty_returns, count(*) FILTER (cut) AS truncations,
-  count(*) FILTER (e = 'timeout') AS timeouts, count(*) FILTER (e IS NOT NULL) / count(*)::DOUBLE AS fallback_rate,
-  list_sort(list(value))[least(count(*) - 1, floor(0.5 * count(*))::BIGINT) + 1] AS p50_ms, list_sort(list(value))[least(count(*) - 1, floor(0.95 * count(*))::BIGINT) + 1] AS p95_ms, max(value) AS max_ms
-FROM (SELECT *, CASE event_type WHEN 'click' THEN 'error' WHEN 'view' THEN 'timeout' WHEN 'purchase' THEN 'empty' END AS e, event_type = 'signup' AS cut FROM events) WHERE value IS NOT NULL
+  count(*) FILTER (e = 'timeout') AS timeouts, count(*) FILTER (e IS NOT NULL) / count(*)::DOUBLE AS fallback_rate, {_times_sql("total", "value")}, {_times_sql("queue", "q")}, {_times_sql("llm", "l")}
+FROM (SELECT *, CASE event_type WHEN 'click' THEN 'error' WHEN 'view' THEN 'timeout' WHEN 'purchase' THEN 'empty' END AS e, event_type = 'signup' AS cut, CASE WHEN (props->>'k')::INT > 20 THEN (props->>'k')::DOUBLE END AS q, CASE WHEN event_type <> 'view' THEN value / 2 END AS l FROM events) WHERE value IS NOT NULL
 """)
 def synthesis_counters(spark, d):
-    kind = F.col("event_type")
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("double")
     reason = F.when(kind == "click", "error").when(kind == "view", "timeout").when(kind == "purchase", "empty")
-    return synthesis_stats(t(spark, d, "events").select(reason.alias("synthesis_error"), (kind == "signup").alias("truncated"), F.col("value").alias("synthesis_ms")))
+    return statistics.synthesis_stats(t(spark, d, "events").select(reason.alias("synthesis_error"), (kind == "signup").alias("truncated"), F.col("value").alias("total_ms"), F.when(k > 20, k).alias("queue_ms"), F.when(kind != "view", F.col("value") / 2).alias("llm_ms")))
+
+
+@query(f"SELECT event_type AS phase, count(*) AS invocations, {_times_sql('queue', 'q')}, {_times_sql('llm', 'l')} FROM (SELECT *, CASE WHEN event_type <> 'error' THEN (props->>'k')::DOUBLE END AS q, CASE WHEN (props->>'k')::INT % 2 = 0 THEN value END AS l FROM events) GROUP BY 1")
+def phase_times(spark, d):
+    k = F.get_json_object("props", "$.k").cast("double")
+    return statistics.phase_times(t(spark, d, "events").select(F.col("event_type").alias("phase"), F.when(F.col("event_type") != "error", k).alias("queue_ms"), F.when(k % 2 == 0, F.col("value")).alias("llm_ms")))
 
 
 @query("""

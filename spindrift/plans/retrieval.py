@@ -1,7 +1,7 @@
 """Two retrievers over a corpus (doc_id, title, content): by vectors alone, and by a knowledge graph with three more indexes.
 
-``index`` gives the tables of a retriever, ``retrieve`` its ranked rows: query_id, rank, doc_id, score, content, fallback.
-Texts are numbered by a 64-bit hash for the vector search. Tables and answers of models are stored, never kept in executors.
+``index_documents`` makes the tables of a retriever, ``retrieve`` its ranked rows: query_id, rank, doc_id, score, content, fallback.
+What fails for some queries leaves them without rows and is told in ``errors``. Tables and answers of models are stored, never kept in executors.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_name, full_text
+from ..functions.text import full_text
 from ..operators import graph, ranking
 from ..operators.vectors import nearest
 from ..sources.datasets import exists, fingerprint, load_graph, save_graph
-from . import extraction
+from . import extraction, logs
 from .providers import Embedder, Model, embed_column
 from .storage import stored
 
@@ -47,6 +47,10 @@ class GraphSettings:
         return out + [f"unknown mode {self.mode}"] * (self.mode not in MODES)
 
 
+#: The headings of what a model is shown.
+ENTITY_HEAD, RELATION_HEAD, CHUNK_HEAD = "Knowledge Graph Data (Entity)", "Knowledge Graph Data (Relationship)", "Document Chunks"
+
+
 class Retriever(Protocol):
     def index_documents(self, corpus: DataFrame) -> None: ...
     def retrieve(self, queries: DataFrame, top_k: int | None = None) -> DataFrame: ...
@@ -56,16 +60,23 @@ class Retriever(Protocol):
 
 
 def _indexed(rows: DataFrame, key: str, text: str, embedder: Embedder, label: str) -> DataFrame:
-    """(id, key, vector) of a text per key, stored."""
-    return stored(embed_column(rows, text, embedder).select(F.xxhash64(key).alias("id"), key, "vector"), label)
+    """(key, vector) of a text per key, stored."""
+    return stored(embed_column(rows, text, embedder).select(key, "vector"), label)
+
+
+def _asked(texts: DataFrame, embedder: Embedder, label: str) -> DataFrame:
+    """id, text, vector, error of the distinct texts (text, and perhaps vector), stored: numbers last as long as the table."""
+    if "vector" in texts.columns:
+        told = texts.dropDuplicates(["text"]).withColumn("error", F.lit(None).cast("string"))
+    else:
+        told = embed_column(texts.distinct(), "text", embedder, error="error")
+    return stored(told.withColumn("id", F.monotonically_increasing_id()), label)
 
 
 def _search(texts: DataFrame, index: DataFrame, key: str, k: int, metric: str) -> DataFrame:
-    """text, pos (0-based), key, distance of the k nearest entries of an index for each distinct text (text, vector)."""
-    asked = texts.withColumn("id", F.xxhash64("text"))
-    hits = nearest(asked.select("id", "vector"), index.select("id", "vector"), k, metric)
-    named = hits.join(index.select("id", F.col(key).alias("key")), "id")
-    return named.join(asked.select(F.col("id").alias("query_id"), "text"), "query_id").select("text", (F.col("rank") - 1).alias("pos"), "key", "distance")
+    """text, pos (0-based), key, distance of the k nearest entries of an index (key, vector) for each text of ``_asked``."""
+    hits = nearest(texts.select("id", "vector"), index.select(F.col(key).alias("id"), "vector"), k, metric).withColumnRenamed("id", "key")
+    return hits.join(texts.select(F.col("id").alias("query_id"), "text"), "query_id").select("text", (F.col("rank") - 1).alias("pos"), "key", "distance")
 
 
 class VectorRetriever:
@@ -79,54 +90,116 @@ class VectorRetriever:
     def is_indexed(self) -> bool:
         return self.chunks is not None
 
+    @property
+    def strategy_used(self) -> str:
+        return "SIMPLE_VECTOR"
+
     def clear_index(self) -> None:
-        self.chunks = self.vectors = None
+        self.chunks = self.vectors = self.errors = None
 
     def index_documents(self, corpus: DataFrame) -> None:
         self.chunks = stored(corpus.select(F.col("doc_id").cast("string").alias("doc_id"), full_text(F.col("title"), F.col("content")).alias("content")), "chunks")
         self.vectors = _indexed(self.chunks, "doc_id", "content", self.embedder, "chunk-vectors")
 
     def retrieve(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
-        """``queries`` has (query_id, query_text); a vector column, where there is one, is used instead of the text."""
+        """``queries`` has (query_id, query_text); a vector column, where there is one, is used instead of the text.
+
+        Without an index, and where the embedder fails, a query has no rows; ``errors`` (query_id, error) says why.
+        """
         if not self.is_indexed:
-            raise RuntimeError("nothing is indexed")
+            self.errors = queries.select("query_id", F.lit("nothing is indexed").alias("error"))
+            kind = dict(queries.dtypes)["query_id"]
+            return queries.sparkSession.createDataFrame([], f"query_id {kind}, rank int, doc_id string, score double, content string, fallback string")
         k = top_k or self.retrieval_k
         asked = queries.select("query_id", F.coalesce("query_text", F.lit("")).alias("text"), *(["vector"] if "vector" in queries.columns else []))
-        texts = asked.dropDuplicates(["text"]).drop("query_id")
-        if "vector" not in asked.columns:
-            texts = embed_column(texts, "text", self.embedder)
-        hits = _search(stored(texts, "asked"), self.vectors, "doc_id", k, "l2").withColumnRenamed("key", "doc_id")
-        found = asked.drop("vector").join(hits, "text").join(self.chunks, "doc_id").where("content <> ''")
+        texts = _asked(asked.drop("query_id"), self.embedder, "asked")
+        self.errors = asked.select("query_id", "text").join(texts.where("error IS NOT NULL").select("text", "error"), "text").select("query_id", "error")
+        hits = _search(texts, self.vectors, "doc_id", k, "l2").withColumnRenamed("key", "doc_id")
+        found = contents(asked.drop("vector").join(hits, "text"), self.chunks)
         return found.select("query_id", (F.col("pos") + 1).alias("rank"), "doc_id", (1 - F.col("distance") / 2).alias("score"), "content", F.lit(None).cast("string").alias("fallback"))
 
+    def retrieve_by_vector(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
+        """As ``retrieve``, for queries that bring their vectors."""
+        if "vector" not in queries.columns:
+            raise ValueError("the queries have no vectors")
+        return self.retrieve(queries, top_k)
+
+
+def contents(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``found`` with the content of each doc_id; documents that are not in store, or empty, are left out."""
+    return found.join(chunks.select("doc_id", "content"), "doc_id").where("content <> ''")
+
 
 def build_graph(corpus: DataFrame, model: Model, settings: GraphSettings) -> dict[str, DataFrame]:
     """The graph's tables: nodes (name, type, description), node_docs (name, doc_id), relations (with co-occurrences, weight),
-    neighbours, keywords (doc_id, keywords) and extraction (the counts of the model's answers)."""
+    neighbours, keywords (doc_id, keywords), extraction (the counts of the model's answers), stats (of the graph) and events."""
     found = extraction.extract(corpus, model, settings.docs_per_call, settings.max_text_chars, settings.gleaning_rounds)
     said = extraction.triplets(found)
     told = extraction.mentions(found)
-    stay = stored(graph.capped(said, settings.max_entities, told), "graph-names")
+    held = stored(graph.admitted(said, settings.max_entities, told), "graph-names")
+    stay = held.where("name IS NOT NULL").select("name")
     stated = stored(graph.edge_relations(said).join(stay.withColumnRenamed("name", "lo"), "lo", "left_semi").join(stay.withColumnRenamed("name", "hi"), "hi", "left_semi"), "graph-relations")
     ends = stated.select(F.explode(F.array("lo", "hi")).alias("name"), "doc_id", "seq").distinct()
     node_docs = stored(ends.select("name", "doc_id").distinct(), "graph-node-docs")
-    known = told.join(node_docs.select("name").distinct().withColumnRenamed("name", "_n"), entity_name(F.col("name")) == F.col("_n"), "left_semi")
+    known = graph.known_mentions(told, node_docs)
     blank = ends.select("doc_id", F.col("seq").cast("long").alias("seq"), "name", F.lit("UNKNOWN").alias("type"), F.lit("").alias("description"))
     nodes = graph.entities(known.unionByName(blank)).drop("n_docs")
     if settings.description_synthesis:
         nodes = extraction.synthesized_descriptions(nodes, known, model, settings.description_chars)
     together = graph.cooccurrence(stated, node_docs).select("lo", "hi", F.col("lo").alias("source"), F.col("hi").alias("target"), F.lit("co-occurs").alias("relation"), F.lit("").alias("description"), "doc_id", F.lit(0).cast("long").alias("seq"))
     relations = stored(stated.unionByName(together), "graph-all-relations")
+    keywords = graph.chunk_keywords(found.where("round = 0").select("doc_id", F.lit(0).alias("seq"), "keywords"))
+    failed = found.where("round > 0 AND NOT parsed").select(F.lit("gleaning_error").alias("event"))
     return {
         "nodes": stored(nodes, "graph-nodes"),
         "node_docs": node_docs,
         "relations": stored(graph.weighted_relations(relations), "graph-weighted"),
         "neighbours": stored(graph.neighbours(relations, settings.neighbours), "graph-neighbours"),
-        "keywords": found.where("round = 0 and size(keywords) > 0").select("doc_id", "keywords"),
+        "keywords": keywords,
         "extraction": extraction.extraction_stats(found),
+        "stats": graph.stats(relations, node_docs, keywords, held),
+        "events": failed,
     }
 
 
+def fallback_reasons(words: DataFrame, fused: DataFrame, ranked: DataFrame, mode: str) -> DataFrame:
+    """query_id, fallback of the queries (query_id, low, high) without a row in ``ranked``: why vectors must serve them."""
+    names, themes = mode_levels(mode)
+    found = (F.size("low") if names else F.lit(0)) + (F.size("high") if themes else F.lit(0))
+    lacking = words.select("query_id", (found > 0).alias("_words")).join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+    told = lacking.join(fused.select("query_id").distinct().withColumn("_has", F.lit(True)), "query_id", "left")
+    return told.select("query_id", F.when(~F.col("_words"), "no_keywords").when(F.col("_has").isNull(), "no_doc_ids").otherwise("docs_not_in_store").alias("fallback"))
+
+
+def cap_alert(dropped: int, kept: int) -> str | None:
+    """``error`` if the cap on entities dropped more than a tenth of those seen, ``warning`` if it dropped any."""
+    if dropped <= 0:
+        return None
+    return "error" if dropped / (dropped + kept) > 0.1 else "warning"
+
+
+def entity_texts(nodes: DataFrame) -> DataFrame:
+    """name, t: what the index of entities embeds."""
+    return nodes.select("name", F.when(F.col("description") != "", F.concat_ws(": ", "name", "description")).otherwise(F.col("name")).alias("t"))
+
+
+def relation_texts(relations: DataFrame) -> DataFrame:
+    """key, lo, hi, source, target, relation, description, weight: the first stated row of each relation, its description being what the index embeds."""
+    first = F.min(F.struct("doc_id", "seq", "lo", "hi", "source", "target", "relation", "description", "weight")).alias("f")
+    one = relations.groupBy(F.concat_ws(" -> ", "source", "relation", "target").alias("key")).agg(first).select("key", "f.*")
+    said = F.when(F.col("description") != "", F.concat_ws(": ", "key", "description")).otherwise(F.col("key"))
+    return one.select("key", "lo", "hi", "source", "target", "relation", said.alias("description"), "weight")
+
+
+def keyword_texts(keywords: DataFrame) -> DataFrame:
+    return keywords.select("doc_id", F.array_join("keywords", ", ").alias("t"))
+
+
+def mode_levels(mode: str) -> tuple[bool, bool]:
+    """Whether a mode uses the names of a query (entities), and its themes (relations and keywords)."""
+    return mode in ("hybrid", "local"), mode in ("hybrid", "global")
+
+
 class GraphRetriever(VectorRetriever):
     """Entities, relations and themes of a query, each looked up in its own index, then fused to documents.
 
@@ -143,28 +216,35 @@ class GraphRetriever(VectorRetriever):
 
     def clear_index(self) -> None:
         super().clear_index()
-        self.graph = self.entities = self.relations = self.keywords = self.degraded = None
+        self.graph = self.entities = self.relations = self.keywords = self.degraded = self.alert = self.events = None
+
+    @property
+    def strategy_used(self) -> str:
+        return "SIMPLE_VECTOR" if self.graph is None else "LIGHT_RAG"
 
     def index_documents(self, corpus: DataFrame) -> None:
         super().index_documents(corpus)
         if self.settings.mode == "naive":
             return
         try:
-            self.graph = self._graph(self.chunks)
+            self._index_graph(self._graph(self.chunks))
         except Exception as e:  # the contract: vectors go on serving
+            self.graph = self.entities = self.relations = self.keywords = None
             self.degraded = f"{type(e).__name__}: {str(e)[:300]}"
-            return
-        g = self.graph
-        text = F.when(F.col("description") != "", F.concat_ws(": ", "name", "description")).otherwise(F.col("name"))
-        self.entities = _indexed(g["nodes"].select("name", text.alias("t")), "name", "t", self.embedder, "entity-vectors")
-        w = Window.partitionBy("key").orderBy("doc_id", "seq")
-        key = F.concat_ws(" -> ", "source", "relation", "target")
-        first = g["relations"].withColumn("key", key).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-        said = F.when(F.col("description") != "", F.concat_ws(": ", "key", "description")).otherwise(F.col("key"))
-        self.first = stored(first.select("key", "lo", "hi", "source", "target", "relation", said.alias("description"), "weight"), "relation-texts")
+            logs.event("graph_failed", error=self.degraded)
+
+    def _index_graph(self, g: dict[str, DataFrame]) -> None:
+        self.entities = _indexed(entity_texts(g["nodes"]), "name", "t", self.embedder, "entity-vectors")
+        self.first = stored(relation_texts(g["relations"]), "relation-texts")
         self.relations = _indexed(self.first, "key", "description", self.embedder, "relation-vectors")
         if self.settings.keyword_index:
-            self.keywords = _indexed(g["keywords"].select("doc_id", F.array_join("keywords", ", ").alias("t")), "doc_id", "t", self.embedder, "keyword-vectors")
+            self.keywords = _indexed(keyword_texts(g["keywords"]), "doc_id", "t", self.embedder, "keyword-vectors")
+        if "stats" in g:
+            row = g["stats"].first()
+            self.alert = cap_alert(row["entities_dropped"], row["n_entities"])
+            if self.alert:
+                logs.event("kg_entity_cap", level=self.alert, dropped=row["entities_dropped"], kept=row["n_entities"], cap=self.settings.max_entities)
+        self.graph = g
 
     def _graph(self, corpus: DataFrame) -> dict[str, DataFrame]:
         s = self.settings
@@ -182,7 +262,7 @@ class GraphRetriever(VectorRetriever):
     def _hits(self, words: DataFrame, level: str, index: DataFrame, key: str, channel: str) -> DataFrame:
         """Deduplicated, ranked hits of one channel."""
         each = words.select("query_id", F.posexplode(level).alias("kw_idx", "text"))
-        vectors = stored(embed_column(each.select("text").distinct(), "text", self.embedder), "keyword-texts")
+        vectors = _asked(each.select("text"), self.embedder, "keyword-texts")
         found = each.join(_search(vectors, index, key, ranking.TOP[channel], "cosine"), "text")
         return stored(ranking.channel_hits(found.select("query_id", "kw_idx", "pos", "key", "distance"), channel), f"{channel}-hits")
 
@@ -192,31 +272,25 @@ class GraphRetriever(VectorRetriever):
         if self.graph is None:
             return super().retrieve(queries, k), None, None
         words = stored(extraction.query_keywords(queries, self.model), "words")
+        self.events = words.where("NOT parsed").select(F.lit("keywords_parse_failure").alias("event"))
         docs = self.graph["node_docs"].select(F.col("name").alias("key"), "doc_id")
-        gain = ranking.similarity(F.col("distance")) / (1 + F.col("rank"))
-        parts, entity_lines, relation_lines = [], None, None
-        if s.mode in ("hybrid", "local"):
+        names, themes = mode_levels(s.mode)
+        parts, entity_lines, shown_relations = [], None, None
+        if names:
             hits = self._hits(words, "low", self.entities, "name", "entity")
-            parts.append(hits.join(docs, "key").select("query_id", "doc_id", gain.alias("score")))
+            parts.append(ranking.entity_scores(hits, docs))
             entity_lines = self._entity_lines(hits)
-        if s.mode in ("hybrid", "global"):
+        if themes:
             hits = self._hits(words, "high", self.relations, "key", "relation").join(self.first, "key")
-            both = hits.select("query_id", "rank", "distance", "weight", F.explode(F.array("lo", "hi")).alias("key")).join(docs, "key").drop("key").distinct()
-            parts.append(both.select("query_id", "doc_id", (gain * F.col("weight")).alias("score")))
-            relation_lines = self._relation_lines(hits)
+            parts.append(ranking.relation_scores(hits, docs))
+            shown_relations = relation_lines(hits, self.graph["nodes"])
             if self.keywords is not None:
-                hits = self._hits(words, "high", self.keywords, "doc_id", "keyword")
-                parts.append(hits.select("query_id", F.col("key").alias("doc_id"), gain.alias("score")))
+                parts.append(ranking.keyword_scores(self._hits(words, "high", self.keywords, "doc_id", "keyword")))
         fused = stored(ranking.fuse(parts, k), "fused")
-        ranked = fused.join(self.chunks, "doc_id").where("content <> ''").select("query_id", "rank", "doc_id", "score", "content")
-        levels = {"hybrid": F.size("low") + F.size("high"), "local": F.size("low"), "global": F.size("high")}[s.mode]
-        has = lambda t: t.select("query_id").distinct().withColumn("_has", F.lit(True))
-        why = words.select("query_id", (levels > 0).alias("_words")).join(has(fused), "query_id", "left")
-        why = why.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
-        reason = F.when(~F.col("_words"), "no_keywords").when(F.col("_has").isNull(), "no_doc_ids").otherwise("docs_not_in_store")
-        why = stored(why.select("query_id", reason.alias("fallback")), "fallbacks")
+        ranked = contents(fused, self.chunks).select("query_id", "rank", "doc_id", "score", "content")
+        why = stored(fallback_reasons(words, fused, ranked, s.mode), "fallbacks")
         vector = super().retrieve(queries.join(why, "query_id", "left_semi"), k).drop("fallback").join(why, "query_id")
-        return ranked.withColumn("fallback", F.lit(None).cast("string")).select(*RANKED).unionByName(vector.select(*RANKED)), entity_lines, relation_lines
+        return ranked.withColumn("fallback", F.lit(None).cast("string")).select(*RANKED).unionByName(vector.select(*RANKED)), entity_lines, shown_relations
 
     def retrieve(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         return self.search(queries, top_k)[0]
@@ -229,18 +303,20 @@ class GraphRetriever(VectorRetriever):
         line = F.when(F.col("near").isNull(), plain).otherwise(F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit(', "neighbors": ['), "near", F.lit("]}")))
         return shown.select("query_id", "rank", line.alias("line"))
 
-    def _relation_lines(self, hits: DataFrame) -> DataFrame:
-        of = lambda end: self.graph["nodes"].select(F.col("name").alias(end), F.col("description").alias(f"{end}_description"), F.col("type").alias(f"{end}_type"))
-        told = hits.join(of("source"), "source", "left").join(of("target"), "target", "left")
-        c: dict[str, Column] = {n: F.col(n) for n in ("source", "target", "relation", "description", "vdb_distance", "weight", "source_description", "source_type", "target_description", "target_type")}
-        return told.withColumnRenamed("distance", "vdb_distance").select("query_id", "rank", ranking.json_line(**c).alias("line"))
+
+def relation_lines(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, rank, line of relation hits, with what is known of both ends; an end that is no node has none."""
+    of = lambda end: nodes.select(F.col("name").alias(end), F.col("description").alias(f"{end}_description"), F.col("type").alias(f"{end}_type"))
+    told = hits.join(of("source"), "source", "left").join(of("target"), "target", "left")
+    c: dict[str, Column] = {n: F.col(n) for n in ("source", "target", "relation", "description", "vdb_distance", "weight", "source_description", "source_type", "target_description", "target_type")}
+    return told.withColumnRenamed("distance", "vdb_distance").select("query_id", "rank", ranking.json_line(**c).alias("line"))
 
 
-def neighbour_coverage(graph_tables: dict[str, DataFrame], hits: DataFrame) -> DataFrame:
-    """query_id, with_neighbours, mean_neighbours (over all entities of the query, 3 places) of (query_id, name) rows."""
-    n = graph_tables["neighbours"].groupBy(F.col("node").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+def neighbour_coverage(neighbours: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, with_neighbours, mean_neighbours (over all entities of the query, 3 places) of (query_id, name) rows and a table of neighbours (node)."""
+    n = neighbours.groupBy(F.col("node").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     counted = hits.join(n, "name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return counted.groupBy("query_id").agg(F.count_if("n > 0").alias("with_neighbours"), F.bround(F.avg("n"), 3).alias("mean_neighbours"))
+    return counted.groupBy("query_id").agg(F.count_if(F.col("n") > 0).alias("with_neighbours"), F.bround(F.avg("n"), 3).alias("mean_neighbours"))
 
 
 def retriever(strategy: str, embedder: Embedder, model: Model | None = None, settings: GraphSettings | None = None, retrieval_k: int = 20) -> VectorRetriever:
@@ -257,7 +333,7 @@ def structured_context(queries: DataFrame, ranked: DataFrame, entities: DataFram
     e, r, base = ranking.section_budgets(max_chars, mode)
     out = queries.select("query_id").distinct()
     heads, spare = [], F.lit(base)
-    for name, rows, budget, label in (("e", entities, e, "Knowledge Graph Data (Entity)"), ("r", relations, r, "Knowledge Graph Data (Relationship)")):
+    for name, rows, budget, label in (("e", entities, e, ENTITY_HEAD), ("r", relations, r, RELATION_HEAD)):
         if rows is None or budget <= 0:
             spare = spare + budget
             continue
@@ -271,6 +347,6 @@ def structured_context(queries: DataFrame, ranked: DataFrame, entities: DataFram
     lines = numbered.withColumn("_l", ranking.json_line(reference_id=F.col("_i"), content=F.col("content")))
     used = lines.withColumn("_u", F.sum(F.length("_l") + 1).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_u <= _spare")
     packed = used.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("_i", "_l"))).alias("_a"))
-    chunks = packed.select("query_id", F.size("_a").alias("n_chunks"), F.concat(F.lit("Document Chunks:\n\n```json\n"), F.array_join(F.transform("_a", lambda x: x["_l"]), "\n"), F.lit("\n```")).alias("_c"))
+    chunks = packed.select("query_id", F.size("_a").alias("n_chunks"), F.concat(F.lit(f"{CHUNK_HEAD}:\n\n```json\n"), F.array_join(F.transform("_a", lambda x: x["_l"]), "\n"), F.lit("\n```")).alias("_c"))
     whole = F.concat_ws("\n\n", *heads, F.col("_c"))
     return sized.join(chunks, "query_id", "left").select("query_id", F.when(whole == "", ranking.NOTHING).otherwise(whole).alias("context"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))

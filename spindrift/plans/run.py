@@ -8,16 +8,14 @@ import os
 import sys
 from datetime import datetime
 
-from ..sources.datasets import load_dataset, write_report
+from ..sources.datasets import dataset_config, load_dataset, query_reports, write_report
+from . import logs
 from .evaluation import JudgeGuard, RunConfig, context_chars, evaluate
 from .providers import HttpEmbedder, HttpModel, HttpReranker
 from .retrieval import MODES, GraphSettings
 
 log = logging.getLogger("spindrift")
 
-#: Kinds of the known datasets; any other holds relevance alone.
-DATASET_TYPES = {"hotpotqa": "HYBRID"}
-
 
 def read_env(path: str) -> dict[str, str]:
     """The process environment, overridden by the NAME=value lines of a file; comments and quotes are taken off."""
@@ -44,10 +42,6 @@ def flag(env: dict, name: str, default: bool) -> bool:
     return env.get(name, "").strip().lower() in ("true", "1", "yes") if env.get(name, "").strip() else default
 
 
-def dataset_name(name: str) -> str:
-    return name.lower().replace("-", "").replace("_", "")
-
-
 def config_from(env: dict[str, str]) -> RunConfig:
     mode = env.get("LIGHTRAG_MODE", "hybrid").strip().lower()
     name = env.get("MTEB_DATASET_NAME", "hotpotqa").strip()
@@ -66,7 +60,7 @@ def config_from(env: dict[str, str]) -> RunConfig:
     reranks = flag(env, "RERANKER_ENABLED", False)
     return RunConfig(
         dataset=name,
-        dataset_type=DATASET_TYPES.get(dataset_name(name), "RETRIEVAL_ONLY"),
+        dataset_type=dataset_config(name)["type"],
         strategy=env.get("RETRIEVAL_STRATEGY", "SIMPLE_VECTOR").strip(),
         graph=kg,
         retrieval_k=number(env, "RETRIEVAL_K", 20),
@@ -104,8 +98,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--dry-run", action="store_true", help="check the settings and show them")
     parser.add_argument("--verbose", "-v", action="store_true")
     args = parser.parse_args(argv)
-    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     env = read_env(args.env)
+    logs.configure(env.get("LOG_FORMAT"), logging.DEBUG if args.verbose else logging.INFO)
     config = config_from(env)
     wrong = faults(env, config)
     for w in wrong:
@@ -116,14 +110,23 @@ def main(argv: list[str] | None = None) -> int:
         log.info("%s", config)
         return 0
 
+    run = f"run_{datetime.now():%Y%m%d_%H%M%S}"
+    results = env.get("EVALUATION_RESULTS_DIR", "results")
+    if "://" in results:  # only the driver's own folders can hold what its console shows
+        return _run(env, config, run, results)
+    with logs.console_copied(f"{results}/console_log_{config.strategy.lower()}_{run.removeprefix('run_')}.txt"):
+        logs.configure(env.get("LOG_FORMAT"), logging.DEBUG if args.verbose else logging.INFO)
+        return _run(env, config, run, results)
+
+
+def _run(env: dict[str, str], config: RunConfig, run: str, results: str) -> int:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.getOrCreate()
     model = HttpModel(env["LLM_BASE_URL"], env["LLM_MODEL_NAME"]) if env.get("LLM_BASE_URL") else None
     reranker = HttpReranker(env["RERANKER_BASE_URL"], env["RERANKER_MODEL_NAME"]) if config.rerank_top_n else None
     embedder = HttpEmbedder(env["EMBEDDING_BASE_URL"], env["EMBEDDING_MODEL_NAME"], number(env, "EMBEDDING_BATCH_SIZE", 50))
-    run = f"run_{datetime.now():%Y%m%d_%H%M%S}"
-    out = f"{env.get('EVALUATION_RESULTS_DIR', 'results')}/{run}"
+    out = f"{results}/{run}"
     data = load_dataset(spark, env["DATASETS_ROOT"], config.dataset, env.get("DATASETS_CACHE") or None)
     try:
         result, report = evaluate(data, config, embedder, model, reranker)
@@ -132,6 +135,7 @@ def main(argv: list[str] | None = None) -> int:
         write_report(spark, f"{out}/report.json", (e.report or {}) | {"run_id": run, "status": "failed"})
         return 2
     result.write.parquet(f"{out}/queries.parquet")
+    query_reports(result).select("report").write.text(f"{out}/queries.jsonl")
     write_report(spark, f"{out}/report.json", report | {"run_id": run, "timestamp": datetime.now().isoformat(), "status": "completed"})
     log.info("%s: hit@5 %s, mrr %s", run, report["avg_hit_at_5"], report["avg_mrr"])
     return 0

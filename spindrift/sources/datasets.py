@@ -9,7 +9,7 @@ import tarfile
 import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, coerce_int, safe_str
@@ -20,6 +20,20 @@ GRAPH_VERSION = 3
 SECRET_WORDS = ("key", "secret", "token", "password", "credential")
 
 
+#: What is known of the datasets, by name; of any other, relevance alone is measured.
+DATASETS = {"hotpotqa": {"type": "HYBRID", "primary": "f1_score", "secondary": ["exact_match", "faithfulness"]}}
+OTHER_DATASET = {"type": "RETRIEVAL_ONLY", "primary": "faithfulness", "secondary": ["answer_relevance"]}
+
+
+def dataset_name(name: str) -> str:
+    return name.lower().replace("-", "").replace("_", "")
+
+
+def dataset_config(name: str) -> dict:
+    """Kind, primary metric and secondary metrics of a dataset, whatever the spelling of its name."""
+    return DATASETS.get(dataset_name(name), OTHER_DATASET)
+
+
 @dataclass
 class Dataset:
     queries: DataFrame | None = None
@@ -71,6 +85,15 @@ def normalized_queries(raw: DataFrame) -> DataFrame:
     return raw.select(col("query_id").alias("query_id"), col("text").alias("query_text"), answer.alias("expected_answer"), kind.alias("answer_type"), question.alias("question_type"), col("level").alias("level"))
 
 
+def relevant_lists(queries: DataFrame, qrels: DataFrame | None) -> DataFrame:
+    """``queries`` with relevant_doc_ids: the distinct documents that the judgements (query_id, doc_id) name, in order; empty where none does."""
+    none = F.array().cast("array<string>")
+    if qrels is None:
+        return queries.withColumn("relevant_doc_ids", none)
+    listed = qrels.groupBy("query_id").agg(F.array_sort(F.collect_set("doc_id")).alias("_r"))
+    return queries.join(listed, "query_id", "left").withColumn("relevant_doc_ids", F.coalesce("_r", none)).drop("_r")
+
+
 def load_dataset(spark: SparkSession, root: str, name: str, cache: str | None = None) -> Dataset:
     """queries, corpus and (optional) qrels below root/name; any error becomes a status and never raises."""
     base = f"{cache}/{name}" if cache and exists(spark, f"{cache}/{name}/queries.parquet") else f"{root}/{name}"
@@ -114,16 +137,21 @@ def check_manifest(manifest: dict | None, collection_id: str) -> dict:
 
 
 def chunk_faults(chunks: DataFrame, collection_id: str, cap: int) -> dict[str, int]:
-    """How many rows break each rule, in one aggregation; repeated ids by another."""
+    """How many rows break each rule, where any does."""
+    return {k: v for k, v in fault_counts(chunks, collection_id, cap).first().asDict().items() if v}
+
+
+def fault_counts(chunks: DataFrame, collection_id: str, cap: int) -> DataFrame:
+    """One row: how many rows break each rule, in one aggregation; repeated ids by another."""
     text = F.coalesce("text", F.lit(""))
     bad = chunks.agg(
         F.count_if(F.coalesce("chunk_id", F.lit("")) == "").alias("empty_id"),
         F.count_if(~F.col("collection_id").eqNullSafe(F.lit(collection_id))).alias("foreign"),
         F.count_if(text == "").alias("empty_text"),
         F.count_if(F.length(text) > cap).alias("too_long"),
-    ).first()
-    repeated = chunks.groupBy("chunk_id").count().where("count > 1").count()
-    return {k: v for k, v in (bad.asDict() | {"repeated_id": repeated}).items() if v}
+    )
+    repeated = chunks.groupBy("chunk_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("repeated_id"))
+    return bad.withColumn("_g", F.lit(0)).join(repeated.withColumn("_g", F.lit(0)), "_g").drop("_g")  # one row each
 
 
 def load_collection(spark: SparkSession, root: str, collection_id: str) -> DataFrame:
@@ -185,6 +213,38 @@ def redacted(config: dict) -> dict:
     return {k: redacted(v) if isinstance(v, dict) else "***" if any(w in k.lower() for w in SECRET_WORDS) and isinstance(v, str) else v for k, v in config.items()}
 
 
+#: What of a query's retrieval is told in a report, and the lists that are told by their sizes.
+TOLD = (
+    "kg_fallback kg_chunk_keyword_matches kg_synthesis_used kg_synthesis_error lightrag_mode graph_active kg_entities_with_neighbors kg_mean_neighbors_per_entity kg_budget_cap_triggered".split()
+    + [f"citation_refs_{at}_{what}" for at in ("synth", "gen") for what in "total valid malformed in_range out_of_range distinct coverage_ratio".split()]
+)
+COUNTED = ["kg_entities", "kg_relations"]
+
+
+def retrieval_metadata(columns: list[str]) -> Column:
+    """A struct of what may be told, of the columns that there are; null if there are none of them. A null stays out of the JSON."""
+    parts = [F.col(c) for c in TOLD if c in columns] + [F.coalesce(F.size(c), F.lit(0)).alias(f"{c}_count") for c in COUNTED if c in columns]
+    return F.struct(*parts) if parts else F.lit(None).cast("struct<none:int>")
+
+
+def query_reports(results: DataFrame) -> DataFrame:
+    """query_id, report: one JSON object a query, its figures to 4 places; blocks that do not apply are left out."""
+    have = results.columns
+    r4 = lambda c: F.bround(F.col(c).cast("double"), 4).alias(c)
+    plain = [F.col(c) for c in ("query_id", "query_text", "retrieved_doc_ids", "generated_response", "expected_response", "primary_metric_type", "status") if c in have]
+    curves = [F.struct(*(F.col(f"{m}_at_{k}").alias(str(k)) for k in (1, 3, 5, 10, 20) if f"{m}_at_{k}" in have)).alias(f"{m}_at_k") for m in ("hit", "recall", "ndcg") if f"{m}_at_1" in have]
+    own = F.size("generation_doc_ids") > 0 if "generation_doc_ids" in have else F.lit(False)
+    listed = [F.when(own, F.col(c) if c.endswith("ids") else F.bround(c, 4)).alias(c) for c in ("generation_doc_ids", "generation_recall", "generation_hit") if c in have]
+    before = [F.when(F.size("pre_rerank_candidate_ids") > 0, F.col("pre_rerank_candidate_ids")).alias("pre_rerank_candidate_ids")] if "pre_rerank_candidate_ids" in have else []
+    extra = [F.when(F.col("reranked").isNotNull(), F.struct("reranked")).alias("metadata")] if "reranked" in have else []
+    second = [F.transform_values("secondary_metrics", lambda k, v: F.bround(v, 4)).alias("secondary_metrics")] if "secondary_metrics" in have else []
+    told = retrieval_metadata(have)
+    some = F.to_json(told) != "{}"
+    figures = [r4(c) for c in ("mrr", "primary_metric_value") if c in have]
+    whole = F.struct(*plain, *figures, *curves, *second, *listed, *before, *extra, F.when(some, told).alias("retrieval_metadata"))
+    return results.select("query_id", F.to_json(whole).alias("report"))
+
+
 def write_report(spark: SparkSession, path: str, report: dict) -> None:
     write_text(spark, path, json.dumps(report | {"config": redacted(report.get("config", {}))}, default=str))
 
