@@ -12,7 +12,7 @@ def values(df):
 
 
 def test_judge_quirks(spark):
-    cases = {"score: 8": 0.8, "1/2": 0.5, "0/0": 0.0, "I give it 8": 0.5, "": 0.5, "0.8/1.0": 1.0, "0.75 / 1": 1.0, "score=7": 0.5, "about 0.25 I think": 0.25, '{"score": 8}': 1.0, None: 0.5}
+    cases = {"score: 8": 0.8, "1/2": 0.5, "0/0": 0.0, "I give it 8": 0.5, "": 0.5, "0.8/1.0": 1.0, "0.75 / 1": 1.0, "score=7": 0.5, "score: 50": 0.5, "Score 8": 0.8, "score: 100 of 7": 0.5, "1/0": 1.0, '{"score": null}': 0.0, "[1]": 0.0, "{}": 0.5, '{"justification": "x"}': 0.0, "about 0.25 I think": 0.25, "0.8 because of this": 0.8, '{"a": 1} and {"score": 0.3}': 0.3, "0": 0.0, "true": 0.0, '{"score": 0.7} so': 0.7, '{"score": 8}': 1.0, None: 0.5}
     df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", parse.judge_result(F.col("s")).alias("r")).select("s", "r.score")
     assert dict(values(df)) == cases
 
@@ -49,7 +49,9 @@ def test_metric_cases(spark):
 def test_answer_metrics(spark):
     df = spark.createDataFrame([("The cat sat", "a cat sat", 1), ("x x y", "x y y", 1), ("", "x", 1)], "a string, b string, k int")
     assert [r[0] for r in df.select(metrics.exact_match(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
-    assert [round(r[0], 4) for r in df.select(metrics.token_f1(F.col("a"), F.col("b"))).collect()] == [0.6667, 0.6667, 0.0]
+    assert {r["a"]: round(r["f1"], 4) for r in metrics.token_f1_rows(df, "a", "a", "b").collect()} == {"The cat sat": 0.6667, "x x y": 0.6667, "": 0.0}
+    labels = spark.createDataFrame([("Yes", "yes!"), ("no", "yes"), ("", "")], "a string, b string")
+    assert [tuple(r) for r in labels.select(metrics.accuracy(F.col("a"), F.col("b")), metrics.valid_label(F.col("a"), ["YES"])).collect()] == [(1.0, True), (0.0, False), (0.0, False)]
 
 
 def test_similarity(spark):
@@ -127,7 +129,7 @@ def test_cooccurrence_equals_brute_force(spark, window):
 
 
 def test_stats_of_empty_tables(spark):
-    none = spark.createDataFrame([], "lo string, hi string, doc_id long")
+    none = spark.createDataFrame([], "lo string, hi string, relation string, doc_id long")
     assert values(graph.stats(none, spark.createDataFrame([], "doc_id long, name string")).select("n_entities", "n_docs", "n_edges")) == [(0, 0, 0)]
 
 
@@ -145,3 +147,39 @@ def test_embedded_json(spark):
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "x string")
     got = {r[0]: r[1] for r in rows.select("x", parse.embedded_json(F.col("x"))).collect()}
     assert got == cases | {None: None}
+
+
+def test_statistics_of_empty_tables(spark):
+    from spindrift.operators import statistics as st
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    assert values(st.service_totals(none("error string, latency_ms double, retries int"))) == [(0, 0, 0, 0.0, 0.0, 0)]
+    assert st.synthesis_stats(none("synthesis_error string, truncated boolean, total_ms double, queue_ms double, llm_ms double")).first().asDict() | {"invocations": 0, "fallback_rate": 0.0, "p95_llm_ms": 0.0} == st.synthesis_stats(none("synthesis_error string, truncated boolean, total_ms double, queue_ms double, llm_ms double")).first().asDict()
+    assert values(st.worst_judge(none("metric string, default_return_rate double"))) == [(None, 0.0)] and st.phase_times(none("phase string, queue_ms double, llm_ms double")).count() == 0
+    assert {r["n"] for r in st.operational_counters(none("event string")).collect()} == {0}
+
+
+def test_containing_equals_search(spark):
+    import random
+
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("ab cd ef gh\nij kl".split(" ")) for _ in range(60))) for i in range(60)] + [(99, None), (98, "")]
+    items = [(j, docs[r.randrange(60)][1][a : a + n]) for j, (a, n) in enumerate((r.randrange(100), r.randrange(1, 60)) for _ in range(80))] + [(500, None), (501, "absent words of an item that nobody has")]
+    got = {tuple(x) for x in ranking.containing(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "query_id int, text string")).collect()}
+    assert got == {(j, i) for j, q in items for i, t in docs if q is not None and t is not None and q in t}
+
+
+def test_nearest_of_names_in_tiles(spark, monkeypatch):
+    import numpy as np
+
+    from spindrift.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELLS", 7)
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    rng = np.random.default_rng(0)
+    v = [(f"n{i}", [float(x) for x in rng.integers(0, 3, 4)]) for i in range(30)]
+    df = spark.createDataFrame([*v, ("none", None), (None, [1.0, 0.0, 0.0, 0.0])], "id string, vector array<double>")
+    got = {(r[0], r[1]): r[2] for r in vectors.nearest(df, df, 4, "l2").collect()}
+    for name, q in v:
+        want = sorted((round(sum((a - b) ** 2 for a, b in zip(q, x, strict=True)), 6), n) for n, x in v)[:4]
+        assert [got[name, k + 1] for k in range(4)] == [n for _, n in want]

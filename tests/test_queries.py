@@ -1,7 +1,7 @@
 import pytest
 from conftest import DATA
 
-from spindrift.plans import queries, registry  # noqa: F401
+from spindrift.plans import queries, registry, run_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))

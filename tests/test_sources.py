@@ -103,11 +103,11 @@ def test_graph_run(spark, tmp_path):
     config = RunConfig(strategy="LIGHT_RAG", graph=GraphSettings(mode="hybrid"), retrieval_k=3, generation_top_n=1, max_context_chars=120_000)
     result, report = evaluate(ds.Dataset(queries, corpus, qrels), config, HashEmbedder(512), Teller())
     rows = {r["query_id"]: r for r in result.collect()}
-    assert rows["q1"]["mrr"] == 1.0 and rows["q1"]["synthesis_used"] and rows["q1"]["synthesis_error"] is None
-    assert (rows["q1"]["citation_refs_synth"]["in_range"], rows["q1"]["citation_refs_synth"]["out_of_range"]) == (1, 1)
-    assert rows["q2"]["synthesis_error"] == "empty" and rows["q2"]["generation_hit"] == 1.0
+    assert rows["q1"]["mrr"] == 1.0 and rows["q1"]["kg_synthesis_used"] and rows["q1"]["kg_synthesis_error"] is None
+    assert (rows["q1"]["citation_refs_synth_in_range"], rows["q1"]["citation_refs_synth_out_of_range"]) == (1, 1)
+    assert rows["q2"]["kg_synthesis_error"] == "empty" and rows["q2"]["generation_hit"] == 1.0
     assert report["retrieval_strategy"] == "LIGHT_RAG" and report["kg_synthesis"]["invocations"] == 2 and report["kg_synthesis"]["fallback_rate"] == 0.5
-    assert report["avg_generation_recall"] == 1.0 and report["calls"]["generation"]["n"] == 2
+    assert report["avg_generation_recall"] == 1.0 and report["calls"]["generation"]["invocations"] == 2
 
 
 def test_archive_round_trip(spark, tmp_path):
