@@ -61,9 +61,8 @@ def entity_scores(hits: DataFrame, node_docs: DataFrame) -> DataFrame:
 
 def relation_scores(hits: DataFrame, node_docs: DataFrame) -> DataFrame:
     """The same of relation hits (query_id, rank, distance, weight, lo, hi): each gives once to every document of either end."""
-    ends = hits.select("query_id", "rank", "distance", "weight", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("key"))
-    reached = ends.join(node_docs, "key").select("query_id", "rank", "distance", "weight", "doc_id").distinct()
-    return reached.select("query_id", "doc_id", (_gain() * F.col("weight")).alias("score"))
+    ends = hits.select("query_id", "rank", (_gain() * F.col("weight")).alias("score"), F.explode(F.array("lo", "hi")).alias("key"))
+    return ends.join(node_docs, "key").select("query_id", "rank", "score", "doc_id").distinct().select("query_id", "doc_id", "score")
 
 
 def keyword_scores(hits: DataFrame) -> DataFrame:

@@ -520,8 +520,8 @@ def kg_hybrid_retrieval(spark, d):
         F.col("o_custkey").alias("query_id"), F.col("l_linenumber").alias("kw_idx"), F.concat(F.lit("part-"), "l_partkey").alias("part"), F.concat(F.lit("supplier-"), "l_suppkey", F.date_format("l_shipdate", "-yyyyMM")).alias("supp"), F.col("l_orderkey").alias("doc"), (F.col("l_discount") * 10).alias("distance"), F.col("l_extendedprice").alias("price")
     )
     relations = graph.edge_relations(triplets(spark, d, monthly=True))
-    relations = stored(relations, "relations")
-    docs = stored(relations.select(F.explode(F.array("lo", "hi")).alias("key"), "doc_id").distinct(), "node-docs")
+    relations = stored(relations.select("lo", "hi", "doc_id").distinct(), "relations")
+    docs = relations.select(F.explode(F.array("lo", "hi")).alias("key"), "doc_id").distinct()
     edge = graph.edges(relations)
     by = lambda *c: F.row_number().over(Window.partitionBy("query_id", "kw_idx").orderBy("distance", *c, "price")) - 1
 
