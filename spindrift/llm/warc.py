@@ -14,7 +14,8 @@ by partial aggregation, and narrow rows of a payload that is very frequent are s
 task left behind are never read; a page sits in exactly one listed file.
 
 Cases: null html is an empty payload and null url an empty URI; very long payloads are decided and written whole;
-``min_bytes`` exempts smaller ones from revisits. A null page_id is larger than any other. Rows that repeat page_id and
+``min_bytes`` exempts smaller ones from revisits. A null page_id is larger than any other, and pages without one are
+told apart by their place. Rows that repeat page_id and
 payload: the first is the response, the others revisit it. Empty input: an empty manifest and no captures.
 Line feeds in a URL are percent-encoded. Extra columns are ignored.
 """
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -108,25 +110,29 @@ def _writer(folder: str, archive_bytes: int, min_bytes: int):
         out = path = None
         n = size = 0
         last, occurrence, written, earlier = object(), -1, {}, {}
+        nameless = (TaskContext.get().partitionId() << 32) - 1  # pages without an id are numbered by partition
 
         def closed() -> pa.RecordBatch:
             out.close()
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{path}"], "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([size], pa.int64())})
 
         for b in batches:
-            for page_id, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                if page_id != last:
-                    last, occurrence, written, earlier = page_id, -1, {}, {}
+            for page_id, spread, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "spread", "url", "html", "refers_to")), strict=True):
+                if (page_id, spread) != last:
+                    last, occurrence, written, earlier = (page_id, spread), -1, {}, {}
                 if refers is not None:  # such rows come first: digests of this page that another one has
                     earlier[html.decode()] = record_id(refers["page_id"], 0, "response")
                     continue
                 payload = unpacked(html)
-                occurrence += 1
+                if page_id is None:
+                    occurrence = nameless = nameless + 1
+                else:
+                    occurrence += 1
                 digest = hashlib.sha256(payload).hexdigest()
                 seen = written.setdefault(digest, occurrence)  # rows that repeat the page id
                 target = earlier.get(digest)
                 if target is None and seen != occurrence and len(payload) >= min_bytes:
-                    target = record_id(page_id, seen, "response")
+                    target = record_id(page_id, seen, "response")  # of rows that repeat page and payload
                 if out is None:
                     store.create_dir(base, recursive=True)
                     path = f"{uuid.uuid4().hex}.warc.gz"
@@ -148,14 +154,16 @@ def _writer(folder: str, archive_bytes: int, min_bytes: int):
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all captures below ``folder``; the stored manifest: path, n_records, n_bytes."""
     rows = pages.select(F.col("page_id").cast("long"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
+    nameless = F.col("page_id").isNull()  # any number of rows: dealt by payload
     narrow = stored(rows.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")), "payload-digests").where(F.col("n") >= min_bytes)
     order = F.struct(F.coalesce("page_id", F.lit(NULL_ID)).alias("k"), F.col("page_id"))
     first = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_id"))
     again = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
-    refers = again.select("page_id", F.lit("").alias("url"), F.encode("digest", "utf-8").alias("html"), F.struct(F.col("first_id").alias("page_id")).alias("refers_to")).distinct()
+    refers = again.select("page_id", F.lit("").alias("url"), F.encode("digest", "utf-8").alias("html"), F.struct(F.col("first_id").alias("page_id")).alias("refers_to"), F.when(nameless, F.col("digest")).alias("spread")).distinct()
     # pages and what is known of their digests travel in one shuffle, so the payloads move once
-    both = rows.withColumn("html", pack_text("html")).withColumn("refers_to", F.lit(None).cast("struct<page_id:bigint>")).unionByName(refers)
-    ready = both.repartition("page_id").sortWithinPartitions("page_id", F.col("refers_to").isNull(), "url", "html")
+    dealt = rows.withColumn("spread", F.when(nameless, F.sha2("html", 256)))
+    both = dealt.withColumn("html", pack_text("html")).withColumn("refers_to", F.lit(None).cast("struct<page_id:bigint>")).unionByName(refers)
+    ready = both.repartition("page_id", "spread").sortWithinPartitions("page_id", "spread", F.col("refers_to").isNull(), "url", "html")
     write = _writer(folder, archive_bytes, min_bytes)
     return stored(ready.mapInArrow(write, "path string, n_records long, n_bytes long"), "warc-manifest")
 

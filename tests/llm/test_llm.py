@@ -115,6 +115,14 @@ def test_warc(spark, tmp_path):
     assert short.where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_pages_without_ids(spark, tmp_path):
+    rows = [(None, "u", f"text {i % 40}") for i in range(200)] + [(1, "v", "text 3")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    out = warc.captures_of(warc.read_records(warc.write_archives(pages, f"file://{tmp_path}/n"))).collect()
+    assert len(out) == 201 and all(r["payload_bytes"] in (6, 7) for r in out)
+    assert collections.Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in out) == {(None, "response", None): 39, (None, "revisit", None): 156, (None, "revisit", 1): 5, (1, "response", None): 1}
+
+
 def test_warc_query(spark):
     got = {r["page_id"]: r for r in warc.op7(spark, DATA).collect()}
     seen = {}
