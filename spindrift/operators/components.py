@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import forget, stored
 
+#: Pointers that are broadcast at most, by a count of them; more are joined by a shuffle, whose skew AQE splits.
+SENT_ROWS = 250_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node of an edge; the component is its smallest node.
@@ -22,19 +25,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     first = left = stored(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     left, pointers = left.where("a <> b"), []
     while left.limit(1).count():
-        hooked = ends(left).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-        further = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        hooked = stored(ends(left).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "hooks")
+        small = hooked.count() <= SENT_ROWS
+        sent = F.broadcast if small else (lambda x: x)  # a hub's edges then stay where they are
+        further = sent(hooked.select(F.col("node").alias("label"), F.col("label").alias("next")))
         pointer = stored(hooked.join(further, "label").select(F.col("node").alias("component"), F.col("next").alias("label")), "pointers")
-        pointers.append(pointer)
-        to = lambda c: pointer.select(F.col("component").alias(c), F.col("label").alias(f"to_{c}"))
+        forget(hooked)
+        pointers.append((pointer, sent))
+        to = lambda c: sent(pointer.select(F.col("component").alias(c), F.col("label").alias(f"to_{c}")))
         moved = left.join(to("a"), "a").join(to("b"), "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
         before, left = left, stored(moved.where("a <> b").distinct(), "edges")
         if len(pointers) > 1:
             forget(before)
     mapping = ends(first).select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    for pointer in pointers:
-        mapping = mapping.join(pointer, "component", "left").select("node", F.coalesce("label", "component").alias("component"))
+    for pointer, sent in pointers:
+        mapping = mapping.join(sent(pointer), "component", "left").select("node", F.coalesce("label", "component").alias("component"))
     out = stored(mapping, "components")
-    for df in (first, left, *pointers):
+    for df in (first, left, *(p for p, _ in pointers)):
         forget(df)
     return out

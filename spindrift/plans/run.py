@@ -42,6 +42,9 @@ def flag(env: dict, name: str, default: bool) -> bool:
     return env.get(name, "").strip().lower() in ("true", "1", "yes") if env.get(name, "").strip() else default
 
 
+# The names of the settings in the environment, and what they are where they are not set.
+
+
 def config_from(env: dict[str, str]) -> RunConfig:
     mode = env.get("LIGHTRAG_MODE", "hybrid").strip().lower()
     name = env.get("MTEB_DATASET_NAME", "hotpotqa").strip()

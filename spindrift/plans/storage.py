@@ -28,9 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return str(held.get()).rstrip("/")
 
 
+_announced: set[str] = set()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the application's part of the shared folder, which goes when the application ends."""
+    base = f"{shared_dir(spark)}/spindrift-{spark.sparkContext.applicationId}"
+    if base not in _announced:
+        fs, p = _fs(spark, base)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _announced.add(base)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -47,9 +61,8 @@ def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that no later plan reads."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _fs(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
