@@ -7,6 +7,7 @@ What fails for some queries leaves them without rows and is told in ``errors``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -217,6 +218,7 @@ class GraphRetriever(VectorRetriever):
     def clear_index(self) -> None:
         super().clear_index()
         self.graph = self.entities = self.relations = self.keywords = self.degraded = self.alert = self.events = None
+        self._told = []
 
     @property
     def strategy_used(self) -> str:
@@ -263,6 +265,8 @@ class GraphRetriever(VectorRetriever):
         """Deduplicated, ranked hits of one channel."""
         each = words.select("query_id", F.posexplode(level).alias("kw_idx", "text"))
         vectors = _asked(each.select("text"), self.embedder, "keyword-texts")
+        event = "chunk_keywords_vdb_error" if channel == "keyword" else "retrieval_error"
+        self._told.append(vectors.where("error IS NOT NULL").select(F.lit(event).alias("event")))
         found = each.join(_search(vectors, index, key, ranking.TOP[channel], "cosine"), "text")
         return stored(ranking.channel_hits(found.select("query_id", "kw_idx", "pos", "key", "distance"), channel), f"{channel}-hits")
 
@@ -272,7 +276,7 @@ class GraphRetriever(VectorRetriever):
         if self.graph is None:
             return super().retrieve(queries, k), None, None
         words = stored(extraction.query_keywords(queries, self.model), "words")
-        self.events = words.where("NOT parsed").select(F.lit("keywords_parse_failure").alias("event"))
+        self._told = [words.where("NOT parsed").select(F.lit("keywords_parse_failure").alias("event"))]
         docs = self.graph["node_docs"].select(F.col("name").alias("key"), "doc_id")
         names, themes = mode_levels(s.mode)
         parts, entity_lines, shown_relations = [], None, None
@@ -286,6 +290,7 @@ class GraphRetriever(VectorRetriever):
             shown_relations = relation_lines(hits, self.graph["nodes"])
             if self.keywords is not None:
                 parts.append(ranking.keyword_scores(self._hits(words, "high", self.keywords, "doc_id", "keyword")))
+        self.events = reduce(DataFrame.unionAll, self._told)  # what went wrong, a row each
         fused = stored(ranking.fuse(parts, k), "fused")
         ranked = contents(fused, self.chunks).select("query_id", "rank", "doc_id", "score", "content")
         why = stored(fallback_reasons(words, fused, ranked, s.mode), "fallbacks")

@@ -190,3 +190,23 @@ def test_hybrid_scores_equal_brute_force(hybrid, queries):
         got.setdefault(r["query_id"], {})[r["doc_id"]] = round(r["score"], 6)
     want = {q: pytest.approx(s, abs=2e-6) for q, s in want.items() if s}  # distances are rounded to 6 places on both sides
     assert got == want and "q1" in got
+
+
+def test_cap_takes_orders_of_any_type(spark):
+    rows = spark.createDataFrame([(d, f"{i:03}", f"a{d}{i}", f"b{d}{i}", "r", "") for d in range(4) for i in range(3)], "doc_id int, seq string, source string, target string, relation string, description string")
+    told = spark.createDataFrame([(0, "zzz", "a00", "X", "y" * 900), (0, "yyy", "b00", "X", "y" * 900)], "doc_id int, seq string, name string, type string, description string")
+    held = graph.admitted(rows, 6, told)
+    assert {r["name"] for r in held.collect() if r["name"]} == {"a00", "b00", "a31", "b31", "a32", "b32"}  # long descriptions keep their names
+    assert graph.cap_counts(held).first().asDict() == {"entities_dropped": 0, "entities_evicted": 18, "triplets_dropped_by_cap": 0}
+
+
+def test_failing_embedder_is_told(hybrid, queries):
+    from spindrift.plans.providers import BrokenEmbedder
+
+    held, hybrid.embedder = hybrid.embedder, BrokenEmbedder()
+    try:
+        assert hybrid.retrieve(queries).count() == 0
+        assert {r["query_id"]: r["error"] for r in hybrid.errors.collect()} == {f"q{i}": "ValueError: out of order" for i in range(1, 5)}
+        assert {r["event"] for r in hybrid.events.distinct().collect()} == {"retrieval_error", "chunk_keywords_vdb_error"}
+    finally:
+        hybrid.embedder = held

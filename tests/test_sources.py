@@ -153,3 +153,78 @@ def test_calls_time_out_and_nulls_are_not_sent(spark):
     rows = spark.createDataFrame([(1, "slow"), (2, "fast"), (3, None)], "i int, p string").coalesce(1)
     got = {r["i"]: (r["answer"], r["error"]) for r in complete_column(rows, "p", Slow(), "x", timeout=1.0).collect()}
     assert got == {1: (None, "timeout"), 2: ("fast", None), 3: (None, None)}
+
+
+def test_late_queries_fail_and_failing_rerankers_keep_the_order(spark, dataset):
+    import time
+
+    class Slow(EchoModel):
+        def complete(self, prompt, phase):
+            if phase == "generation" and "alpha1 beta1" in prompt.split("QUESTION: ")[1]:
+                time.sleep(9)
+            return '{"score": 0.5, "justification": "x"}'
+
+    class Broken:
+        def scores(self, query, texts):
+            if "alpha2" in query:
+                raise RuntimeError("no places")
+            return [float(i) for i in range(len(texts))]
+
+    d = ds.load_dataset(spark, dataset, "set")
+    result, report = evaluate(d, RunConfig(dataset="hotpotqa", retrieval_k=5, rerank_top_n=2, query_timeout=4.0), HashEmbedder(), Slow(), Broken())
+    rows = {r["query_id"]: r for r in result.collect()}
+    assert (rows["q1"]["status"], rows["q1"]["error_message"], rows["q1"]["generation_score"]) == ("failed", "TimeoutError: TimeoutError()", None)
+    assert {rows[q]["status"] for q in ("q0", "q2")} == {"completed"} and (report["n_completed"], report["n_failed"], report["rerank_failures"]) == (2, 1, 1)
+    assert rows["q2"]["reranked"] is False and rows["q2"]["generation_doc_ids"] == rows["q2"]["retrieved_doc_ids"][:2]
+    assert rows["q0"]["reranked"] and rows["q0"]["generation_doc_ids"] == rows["q0"]["pre_rerank_candidate_ids"][::-1][:2]
+    assert report["operational_stats"]["generation_error"] == 1 and report["judge_fallback_stats"]["faithfulness"]["invocations"] == 3
+    told = {r["query_id"]: json.loads(r["report"]) for r in ds.query_reports(result).collect()}
+    assert told["q2"]["metadata"] == {"reranked": False} and "retrieval_metadata" not in told["q2"] and told["q0"]["secondary_metrics"]["faithfulness"] == 0.5
+    assert "generation_doc_ids" in told["q0"] and told["q1"]["status"] == "failed" and "primary_metric_value" not in told["q1"]
+
+
+def test_http_providers():
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from spindrift.plans.providers import HttpEmbedder, HttpModel, HttpReranker
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append((self.path, body))
+            answer = {}
+            if self.path == "/embeddings":
+                if len(calls) == 1:
+                    self.send_error(500)
+                    return
+                answer = {"data": [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(body["input"])))]}
+            elif self.path == "/chat/completions":
+                text = "<think>so</think> fine" if body["max_tokens"] >= 400 else "<think>not done"
+                answer = {"choices": [{"message": {"content": text}}]}
+            elif self.path == "/ranking":
+                answer = {"rankings": [{"index": 1, "logit": 2.5}]}
+            data = json.dumps(answer).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        assert HttpEmbedder(url, "m", batch=2).embed(["a", "bb", "ccc"]) == [[1.0], [2.0], [3.0]]
+        assert HttpModel(url, "m", tokens=100).complete("p", "generation") == "fine"
+        assert [b["max_tokens"] for p, b in calls if p == "/chat/completions"] == [100, 200, 400]
+        assert HttpModel(url, "m", tokens=100).scaled(7).tokens == 300
+        assert HttpReranker(url, "m").scores("q", ["a", "b"]) == [0.0, 2.5]
+        with pytest.raises(ValueError):
+            HttpModel(url, "m", tokens=100, most_tokens=200).complete("p", "generation")
+    finally:
+        server.shutdown()
