@@ -13,7 +13,7 @@ from ..plans.storage import partitions, scratch, shared_dir, stored
 __all__ = ["free_name", "partitions", "scratch", "sent", "shared_dir", "stored", "table", "text_or_empty", "without"]
 
 #: Narrow rows that are broadcast at most; more are joined by a shuffle.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 250_000
 
 # Functions of this package travel to the workers by value, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules["spindrift"])

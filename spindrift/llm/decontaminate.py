@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, stored, table
-from .words import SHINGLE, blocks, mixed, ngrams, normalised, word_hashes
+from .words import SHINGLE, blocks, ngrams, normalised, word_hashes
 
 THRESHOLD = 0.8
 RECALL = 0.999999

@@ -407,12 +407,12 @@ def op3(spark, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-#: On pages with one plain ``article`` of headings and paragraphs, as in the tables.
+#: On pages with one plain ``article`` of headings and paragraphs, as in the tables; references may lack their semicolon.
 ORACLE_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS m FROM pages),
 b AS (
   SELECT page_id, url, list_filter([
-    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
     FOR x IN string_split_regex(m, '</?(?:p|h1)>')
   ], lambda x: x <> '') AS parts FROM a
 )

@@ -282,7 +282,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column("text").to_pylist()
         for x, y in blocks(texts):
             data = [s.tobytes() for s in shingle_sets(texts[x:y])]
-            yield pa.RecordBatch.from_pydict({**{c: b.column(c).slice(x, y - x) for c in ("digest", "component", "copies")}, "shingles": pa.array(data, pa.binary())})
+            yield pa.RecordBatch.from_pydict({**{c: b.column(c).slice(x, y - x) for c in ("digest", "component", "parts", "copies")}, "shingles": pa.array(data, pa.binary())})
 
 
 def text_key(column: str) -> Column:
@@ -318,13 +318,12 @@ def _classes(docs: DataFrame, threshold: float, recall: float, depth: int, text_
     component = connected_components(near)
 
     # exact comparison within components: members numbered, dealt into blocks, every pair of blocks once
-    members = stored(component.withColumnRenamed("node", "digest").join(sets.select("digest", "rep", "key", "n", "copies"), "digest"), "members")
-    size = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingled"))
-    wanted = sent(members.drop("n").withColumnRenamed("key", "text_key"))
-    picked = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("text_key"))).select("digest", "component", "copies", "text")
-    shingled = stored(picked.mapInArrow(_shingles, "digest binary, component binary, copies long, shingles binary").dropDuplicates(["digest"]), "shingles")
-    parts = F.greatest(F.ceil(F.col("size") / F.lit(SIDE)), F.ceil(F.col("shingled") / F.lit(SIDE_SHINGLES))).cast("int")
-    dealt = shingled.join(size, "component").withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    members = stored(component.withColumnRenamed("node", "digest").join(sets.select("digest", "rep", F.col("key").alias("text_key"), "n", "copies"), "digest"), "members")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(SIDE)), F.ceil(F.sum("n") / F.lit(SIDE_SHINGLES))).cast("int").alias("parts")
+    wanted = sent(stored(members.drop("n").join(members.groupBy("component").agg(parts), "component"), "sized-members"))
+    picked = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("key") == F.col("text_key"))).select("digest", "component", "parts", "copies", "text")
+    shingled = stored(picked.mapInArrow(_shingles, "digest binary, component binary, parts int, copies long, shingles binary").dropDuplicates(["digest"]), "shingles")
+    dealt = shingled.withColumn("side", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = dealt.withColumn("with", other).select("component", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "digest", "copies", "shingles")
     verified = stored(pairs.groupBy("component", "i", "j").applyInArrow(_verify(threshold), "digest binary, other binary, links long"), "links")
