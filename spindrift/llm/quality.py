@@ -86,8 +86,8 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
     return slot, values / norm[row], offsets
 
 
-def ftrl(slots: np.ndarray, values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of the slots, then the bias, by FTRL-proximal, one update per row."""
+def ftrl(slots: np.ndarray, values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the slots, then the bias, by FTRL-proximal, one update per row; ``rows`` names the rows in the order that the seed shuffles."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
 
@@ -100,7 +100,8 @@ def ftrl(slots: np.ndarray, values: np.ndarray, offsets: np.ndarray, labels: np.
     if len(labels) and 0 < share < 1:
         order = np.random.default_rng(7)
         for _ in range(epochs):
-            for i in order.permutation(len(labels)):
+            for k in order.permutation(len(labels)):
+                i = k if rows is None else rows[k]
                 at = np.append(slots[offsets[i] : offsets[i + 1]], size)
                 x = np.append(values[offsets[i] : offsets[i + 1]], 1.0)
                 w = weights(at)
@@ -134,27 +135,37 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     """The model from at most ``max_rows`` labelled rows of ``docs``."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     taken = F.broadcast(sample_of(marked, max_rows))  # max_rows narrow rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(taken, "id").select("id", "text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(taken, "id").select("id", "text", "label", F.xxhash64("text").alias("key"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            slots, values = [], []
             for x, y in blocks(texts):
                 slot, value, at = features(texts[x:y], bits)
-                slots += [slot[at[i] : at[i + 1]].astype("<i4").tobytes() for i in range(y - x)]
-                values += [value[at[i] : at[i + 1]].astype("<f4").tobytes() for i in range(y - x)]
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "label": b.column("label"), "slots": pa.array(slots, pa.binary()), "vals": pa.array(values, pa.binary())})
+                slots = [slot[at[i] : at[i + 1]].astype("<i4").tobytes() for i in range(y - x)]
+                values = [value[at[i] : at[i + 1]].astype("<f4").tobytes() for i in range(y - x)]
+                yield pa.RecordBatch.from_pydict({**{c: b.column(c).slice(x, y - x) for c in ("id", "label", "key")}, "slots": pa.array(slots, pa.binary()), "vals": pa.array(values, pa.binary())})
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "label", "slots", "vals")), strict=True))
-        slots = [np.frombuffer(r[2], "<i4") for r in rows]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in slots])]).astype(np.int64)
-        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        model = ftrl(flat(slots, np.int64), flat([np.frombuffer(r[3], "<f4") for r in rows], np.float64), offsets, np.array([r[1] for r in rows], float), bits)
+        # vectors stay as narrow as they came, in the order in which they came; only their places are sorted
+        keys, parts, sizes = [], ([], []), []
+        for b in batches:
+            keys += zip(*(b.column(c).to_pylist() for c in ("id", "label", "key")), strict=True)
+            for held, name, kind in zip(parts, ("slots", "vals"), ("<i4", "<f4"), strict=True):
+                column = b.column(name).cast(pa.binary())
+                ends = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, "<i4")
+                held.append(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).copy() if ends[-1] > ends[0] else np.zeros(0, kind))
+            sizes.append(np.diff(ends) // 4)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
+        flat = []
+        for held, kind in zip(parts, ("<i4", "<f4"), strict=True):
+            flat.append(np.concatenate([*held, np.zeros(0, kind)]))
+            held.clear()
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+        model = ftrl(*flat, offsets, np.array([k[1] for k in keys], float), bits, rows=order)
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.astype("<f4").tobytes()], pa.binary())})
 
-    vectors = rows.mapInArrow(sparse, f"id {dict(rows.dtypes)['id']}, label int, slots binary, vals binary")
+    vectors = rows.mapInArrow(sparse, f"id {dict(rows.dtypes)['id']}, label int, key long, slots binary, vals binary")
     model = vectors.repartition(1).mapInArrow(fit, "model binary").collect()  # one row of 2**bits weights
     return np.frombuffer(model[0]["model"], "<f4").astype(float) if model else ftrl(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0), bits)
 
