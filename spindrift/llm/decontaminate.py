@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, stored, table
-from .words import SHINGLE, blocks, ngrams, normalised, word_hashes
+from .words import SHINGLE, blocks, ngrams, normalised, trim, word_hashes
 
 THRESHOLD = 0.8
 RECALL = 0.999999
@@ -147,6 +147,8 @@ def _search(held, threshold: float, recall: float):
                             out.append((ids[x + d], items.ids[i], n, int(items.sizes[i]), n / int(items.sizes[i])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), HITS.types, strict=True)], schema=HITS)
+        b = texts = words = None
+        trim()
 
     return run
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import partitions, sent, stored, table, without
 from .decontaminate import words_sql
-from .words import blocks, mixed, shingle_sets
+from .words import blocks, mixed, shingle_sets, trim
 
 THRESHOLD = 0.8
 COORDINATES = 128
@@ -149,6 +149,8 @@ def _embed(threshold: float, depth: int, repeats: int):
                         "leaves": pa.array(leaves, pa.list_(pa.int64())),
                     }
                 )
+        b = texts = sets = leaves = None
+        trim()
 
     return run
 
@@ -216,6 +218,8 @@ def _buckets(threshold: float):
             open_ = bucket[-1]
         if held:
             yield found(held)
+        b, held = None, []
+        trim()
 
     return run
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, table
-from .words import blocks, mixed, powers
+from .words import blocks, mixed, powers, trim
 
 BITS = 18
 #: Labelled rows that training uses at most; 20,000 rows hold some tens of MB of sparse vectors.
@@ -145,6 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
                 slots = [slot[at[i] : at[i + 1]].astype("<i4").tobytes() for i in range(y - x)]
                 values = [value[at[i] : at[i + 1]].astype("<f4").tobytes() for i in range(y - x)]
                 yield pa.RecordBatch.from_pydict({**{c: b.column(c).slice(x, y - x) for c in ("id", "label", "key")}, "slots": pa.array(slots, pa.binary()), "vals": pa.array(values, pa.binary())})
+        b = texts = slot = value = slots = values = None
+        trim()
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # vectors stay as narrow as they came, in the order in which they came; only their places are sorted
@@ -156,6 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
                 ends = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset) if len(column) else np.zeros(1, "<i4")
                 held.append(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).copy() if ends[-1] > ends[0] else np.zeros(0, kind))
             sizes.append(np.diff(ends) // 4)
+        b = column = ends = None
+        trim()
         offsets = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))]).astype(np.int64)
         flat = []
         for held, kind in zip(parts, ("<i4", "<f4"), strict=True):
@@ -163,6 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
             held.clear()
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
         model = ftrl(*flat, offsets, np.array([k[1] for k in keys], float), bits, rows=order)
+        flat.clear()
+        trim()
         yield pa.RecordBatch.from_pydict({"model": pa.array([model.astype("<f4").tobytes()], pa.binary())})
 
     vectors = rows.mapInArrow(sparse, f"id {dict(rows.dtypes)['id']}, label int, key long, slots binary, vals binary")
@@ -178,6 +184,8 @@ def scorer(spark: SparkSession, model: np.ndarray) -> Callable[[Column], Column]
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(score(texts.tolist(), held.value))
+        texts = None
+        trim()
 
     return scored
 

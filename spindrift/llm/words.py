@@ -7,14 +7,16 @@ short texts can still equal each other; one without words has none.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 SHINGLE = 5
 #: Characters per block that is hashed at once; a longer text is a block of its own.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 500_000
 
 _ODD = re.compile(r"[^\w\x00-\x7f]+")
 _WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
@@ -100,3 +102,12 @@ def blocks(texts: list[str | None], chars: int = BLOCK_CHARS) -> Iterator[tuple[
         size += len(t or "") + 1
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def trim() -> None:
+    """Give memory that this process no longer uses back to the system: workers wait for their next task beside the others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
