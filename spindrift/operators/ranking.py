@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
+
+from ..plans.storage import partitions, stored
 
 THRESHOLD = 0.8
 TOP = {"entity": 10, "relation": 20, "keyword": 20}
 RELATION_CAP = 30
+#: Rows that one task sums up, so that its tables stay in memory.
+SUMMED = 1 << 20
 #: Fixed value: what stands for a context without documents.
 NOTHING = "[No se encontraron documentos]"
 
@@ -54,15 +59,65 @@ def fuse(contributions: list[DataFrame], k: int) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def entity_scores(hits: DataFrame, node_docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of ranked entity hits (query_id, key, rank, distance): each entity gives to all its documents (key, doc_id)."""
-    return hits.join(node_docs, "key").select("query_id", "doc_id", _gain().alias("score"))
+def doc_lists(node_docs: DataFrame) -> DataFrame:
+    """key, base, docs: the distinct documents of each key (key, doc_id; repeated rows may be among them), stored.
+
+    Whole numbers are held as 16 bits within blocks of 65,536 ids (``base``). So a list that travels to many queries takes two bytes a
+    document instead of a row. A null id has an empty list of its own without base.
+    """
+    doc = F.col("doc_id")
+    if _whole(node_docs.schema["doc_id"].dataType):
+        base, place = F.shiftright(doc.cast("long"), 16), (doc.bitwiseAND(F.lit(65535)) - 32768).cast("short")
+    else:
+        base, place = F.when(doc.isNotNull(), F.lit(0).cast("long")), doc
+    lists = stored(node_docs.select("key", base.alias("base"), place.alias("_p")).groupBy("key", "base").agg(F.collect_set("_p").alias("docs")), "doc-lists")
+    lists._doc_kind = node_docs.schema["doc_id"].dataType
+    return lists
+
+
+def _whole(kind) -> bool:
+    return isinstance(kind, IntegerType | LongType)
+
+
+def summing_tasks(keys: list[DataFrame], lists: DataFrame) -> int:
+    """How many tasks to deal queries to, that hits (key, a row for each) and their ``doc_lists`` make no more than SUMMED rows a task."""
+    from functools import reduce
+
+    asked = reduce(DataFrame.unionAll, [k.select("key") for k in keys]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total = asked.join(lists.select("key", F.size("docs").alias("m")), "key").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    return max(partitions(lists.sparkSession), -(-total // SUMMED))
+
+
+def _listed(lists: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of rows (query_id, score, base, docs)."""
+    doc = F.col("_p") if not _whole(lists._doc_kind) else (F.shiftleft("base", 16) + F.col("_p") + 32768).cast(lists._doc_kind)
+    return rows.select("query_id", "score", "base", F.explode_outer("docs").alias("_p")).select("query_id", doc.alias("doc_id"), "score")
 
 
-def relation_scores(hits: DataFrame, node_docs: DataFrame) -> DataFrame:
+def entity_scores(hits: DataFrame, node_docs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """query_id, doc_id, score of ranked entity hits (query_id, key, rank, distance): each entity gives to all its documents (key, doc_id).
+
+    With ``doc_lists`` for ``node_docs`` lists travel instead of rows, to as many ``tasks`` by query; sums by query and document then need no shuffle.
+    """
+    if "docs" not in node_docs.columns:
+        return hits.join(node_docs, "key").select("query_id", "doc_id", _gain().alias("score"))
+    found = hits.select("query_id", "key", _gain().alias("score")).join(node_docs, "key").select("query_id", "score", "base", "docs")
+    return _listed(node_docs, found.repartition(tasks or partitions(hits.sparkSession), "query_id"))
+
+
+def relation_scores(hits: DataFrame, node_docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """The same of relation hits (query_id, rank, distance, weight, lo, hi): each gives once to every document of either end."""
-    ends = hits.select("query_id", "rank", (_gain() * F.col("weight")).alias("score"), F.explode(F.array("lo", "hi")).alias("key"))
-    return ends.join(node_docs, "key").select("query_id", "rank", "score", "doc_id").distinct().select("query_id", "doc_id", "score")
+    ends = relation_ends(hits)
+    if "docs" not in node_docs.columns:
+        return ends.join(node_docs, "key").select("query_id", "rank", "score", "doc_id").distinct().select("query_id", "doc_id", "score")
+    found = ends.join(node_docs, "key").select("query_id", "rank", "score", "base", "docs").repartition(tasks or partitions(hits.sparkSession), "query_id")
+    once = found.groupBy("query_id", "rank", "score", "base").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))
+    return _listed(node_docs, once)
+
+
+def relation_ends(hits: DataFrame) -> DataFrame:
+    """query_id, rank, score, key of both ends of relation hits."""
+    return hits.select("query_id", "rank", (_gain() * F.col("weight")).alias("score"), F.explode(F.array("lo", "hi")).alias("key"))
 
 
 def keyword_scores(hits: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from . import evaluation, extraction, logs, prompts, providers, retrieval, run
 from .queries import _MENTIONS, _NORM, _TRIPLETS, mentions, triplets
 from .registry import query
 from .registry import table as t
-from .storage import scratch, stored
+from .storage import forget, scratch, stored
 
 # --- datasets ------------------------------------------------------------------------------------------------------
 
@@ -541,10 +541,14 @@ SELECT query_id, doc_id, round(sum(0.8 / (1 + rank) * weight), 6) AS score FROM
 """)
 def relation_documents(spark, d):
     """Each relation gives once to every document of either end."""
-    relations = stored(graph.edge_relations(triplets(spark, d)), "relations")
+    relations = stored(graph.statements(triplets(spark, d)), "relations")
     lines = t(spark, d, "orders").where("o_totalprice > 450000").join(t(spark, d, "lineitem").where("l_returnflag = 'A'"), F.col("o_orderkey") == F.col("l_orderkey"))
-    hits = lines.select(F.col("o_custkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.lit(0.4).alias("distance"), F.concat(F.lit("part-"), "l_partkey").alias("lo"), F.concat(F.lit("supplier-"), "l_suppkey").alias("hi")).distinct()
-    found = ranking.relation_scores(hits.join(graph.edges(relations), ["lo", "hi"]), _node_docs(relations))
+    hits = stored(lines.select(F.col("o_custkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.lit(0.4).alias("distance"), F.concat(F.lit("part-"), "l_partkey").alias("lo"), F.concat(F.lit("supplier-"), "l_suppkey").alias("hi")).distinct(), "hits")
+    weighted = stored(hits.join(graph.edges(relations.join(hits, ["lo", "hi"], "left_semi")), ["lo", "hi"]), "weighted-hits")
+    lists = ranking.doc_lists(relations.select(F.explode(F.array("lo", "hi")).alias("key"), "doc_id"))
+    forget(relations)
+    forget(hits)
+    found = ranking.relation_scores(weighted, lists, ranking.summing_tasks([ranking.relation_ends(weighted)], lists))
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 

@@ -183,3 +183,27 @@ def test_nearest_of_names_in_tiles(spark, monkeypatch):
     for name, q in v:
         want = sorted((round(sum((a - b) ** 2 for a, b in zip(q, x, strict=True)), 6), n) for n, x in v)[:4]
         assert [got[name, k + 1] for k in range(4)] == [n for _, n in want]
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_lists_of_documents_score_as_rows(spark, kind):
+    ids = ["a", "b", "c", "", None, "d"] if kind == "string" else [1, 65_535, 65_536, -1, None, -(2**31)]
+    docs = spark.createDataFrame([(k, x) for i, x in enumerate(ids) for k in ("p", "s", "u")[: 1 + i % 3]] + [("p", ids[0])], f"key string, doc_id {kind}").distinct()
+    hits = spark.createDataFrame([(1, "p", "s", 0, 0.4, 2), (1, "u", "s", 0, 0.4, 2), (1, "p", "p", 1, 0.0, 1), (2, "s", "u", 3, 0.2, 1), (3, "x", "y", 0, 0.1, 1)], "query_id int, lo string, hi string, rank int, distance double, weight int")
+    lists = ranking.doc_lists(docs.unionAll(docs))
+    sums = lambda found: sorted(map(repr, values(found.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 9)))))
+    got = ranking.relation_scores(hits, lists, ranking.summing_tasks([ranking.relation_ends(hits)], lists))
+    assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sums(got) == sums(ranking.relation_scores(hits, docs))
+    keyed = hits.withColumnRenamed("lo", "key")
+    assert sums(ranking.entity_scores(keyed, lists, 3)) == sums(ranking.entity_scores(keyed, docs))
+
+
+def test_rows_of_relations_and_documents_are_not_shuffled(spark):
+    from conftest import DATA
+
+    from spindrift.plans import run_queries
+
+    plan = run_queries.relation_documents(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "hashpartitioning(query_id" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "doc_id" in x]
