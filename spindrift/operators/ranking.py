@@ -13,6 +13,8 @@ TOP = {"entity": 10, "relation": 20, "keyword": 20}
 RELATION_CAP = 30
 #: Rows that one task sums up, so that its tables stay in memory.
 SUMMED = 1 << 20
+#: Rows that ``fuse_hits`` sums up at once: their lists and spills are on disk together.
+BLOCK_ROWS = 1 << 28
 #: Fixed value: what stands for a context without documents.
 NOTHING = "[No se encontraron documentos]"
 
@@ -59,41 +61,62 @@ def fuse(contributions: list[DataFrame], k: int) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def doc_lists(node_docs: DataFrame) -> DataFrame:
+def doc_lists(node_docs: DataFrame, bits: int = 16) -> DataFrame:
     """key, base, docs: the distinct documents of each key (key, doc_id; repeated rows may be among them), stored.
 
-    Whole numbers are held as 16 bits within blocks of 65,536 ids (``base``). So a list that travels to many queries takes two bytes a
-    document instead of a row. A null id has an empty list of its own without base.
+    Whole numbers are held as their last ``bits`` (16, or 32 for short lists of ids far apart), the rest is ``base``. So a list that
+    travels to many queries takes two bytes a document, or four, instead of a row. A null id has an empty list of its own without base.
     """
-    doc = F.col("doc_id")
-    if _whole(node_docs.schema["doc_id"].dataType):
-        base, place = F.shiftright(doc.cast("long"), 16), (doc.bitwiseAND(F.lit(65535)) - 32768).cast("short")
+    doc, kind = F.col("doc_id"), node_docs.schema["doc_id"].dataType
+    if _whole(kind):
+        wide = doc.cast("long")
+        base, place = F.shiftright(wide, bits), (wide.bitwiseAND(F.lit((1 << bits) - 1)) - (1 << bits - 1)).cast({16: "short", 32: "int"}[bits])
     else:
         base, place = F.when(doc.isNotNull(), F.lit(0).cast("long")), doc
     lists = stored(node_docs.select("key", base.alias("base"), place.alias("_p")).groupBy("key", "base").agg(F.collect_set("_p").alias("docs")), "doc-lists")
-    lists._doc_kind = node_docs.schema["doc_id"].dataType
+    lists._doc_kind, lists._bits = kind, bits
     return lists
 
 
-def _whole(kind) -> bool:
-    return isinstance(kind, IntegerType | LongType)
+def summed_rows(keys: list[DataFrame], lists: DataFrame) -> int:
+    """The rows of documents that hits (key, a row for each) make of their ``doc_lists``."""
+    from functools import reduce
+
+    asked = reduce(DataFrame.unionAll, [k.select("key") for k in keys]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(lists.select("key", F.size("docs").alias("m")), "key").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
 
+def summing_tasks(rows: int, lists: DataFrame) -> int:
+    """How many tasks to deal queries to, so that so many rows are no more than SUMMED a task."""
+    return max(partitions(lists.sparkSession), -(-rows // SUMMED))
 
-def summing_tasks(keys: list[DataFrame], lists: DataFrame) -> int:
-    """How many tasks to deal queries to, that hits (key, a row for each) and their ``doc_lists`` make no more than SUMMED rows a task."""
+
+def fuse_hits(entity: DataFrame, relation: DataFrame, keyword: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """``fuse`` of the hits of three channels (stored) and ``doc_lists``: queries are dealt to blocks, whose results alone are kept."""
     from functools import reduce
 
-    asked = reduce(DataFrame.unionAll, [k.select("key") for k in keys]).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = asked.join(lists.select("key", F.size("docs").alias("m")), "key").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    return max(partitions(lists.sparkSession), -(-total // SUMMED))
+    rows = summed_rows([entity, relation_ends(relation)], lists)
+    blocks = max(1, -(-rows // BLOCK_ROWS))
+    tasks = summing_tasks(-(-rows // blocks), lists)
+    found = []
+    for b in range(blocks):
+        e, r, w = (x.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for x in (entity, relation, keyword))
+        found.append(stored(fuse([entity_scores(e, lists, tasks), relation_scores(r, lists, tasks), keyword_scores(w).repartition(tasks, "query_id")], k), "fused"))
+    return reduce(DataFrame.unionAll, found)
 
 
 def _listed(lists: DataFrame, rows: DataFrame) -> DataFrame:
     """query_id, doc_id, score of rows (query_id, score, base, docs)."""
-    doc = F.col("_p") if not _whole(lists._doc_kind) else (F.shiftleft("base", 16) + F.col("_p") + 32768).cast(lists._doc_kind)
+    doc = F.col("_p")
+    if _whole(lists._doc_kind):
+        doc = (F.shiftleft("base", lists._bits) + (doc.cast("long") + (1 << lists._bits - 1))).cast(lists._doc_kind)
     return rows.select("query_id", "score", "base", F.explode_outer("docs").alias("_p")).select("query_id", doc.alias("doc_id"), "score")
 
 
+def _whole(kind) -> bool:
+    return isinstance(kind, IntegerType | LongType)
+
+
 def entity_scores(hits: DataFrame, node_docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """query_id, doc_id, score of ranked entity hits (query_id, key, rank, distance): each entity gives to all its documents (key, doc_id).
 

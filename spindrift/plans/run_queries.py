@@ -548,7 +548,7 @@ def relation_documents(spark, d):
     lists = ranking.doc_lists(relations.select(F.explode(F.array("lo", "hi")).alias("key"), "doc_id"))
     forget(relations)
     forget(hits)
-    found = ranking.relation_scores(weighted, lists, ranking.summing_tasks([ranking.relation_ends(weighted)], lists))
+    found = ranking.relation_scores(weighted, lists, ranking.summing_tasks(ranking.summed_rows([ranking.relation_ends(weighted)], lists), lists))
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 

@@ -185,14 +185,14 @@ def test_nearest_of_names_in_tiles(spark, monkeypatch):
         assert [got[name, k + 1] for k in range(4)] == [n for _, n in want]
 
 
-@pytest.mark.parametrize("kind", ["long", "int", "string"])
-def test_lists_of_documents_score_as_rows(spark, kind):
+@pytest.mark.parametrize(("kind", "bits"), [("long", 16), ("long", 32), ("int", 16), ("string", 16)])
+def test_lists_of_documents_score_as_rows(spark, kind, bits):
     ids = ["a", "b", "c", "", None, "d"] if kind == "string" else [1, 65_535, 65_536, -1, None, -(2**31)]
     docs = spark.createDataFrame([(k, x) for i, x in enumerate(ids) for k in ("p", "s", "u")[: 1 + i % 3]] + [("p", ids[0])], f"key string, doc_id {kind}").distinct()
     hits = spark.createDataFrame([(1, "p", "s", 0, 0.4, 2), (1, "u", "s", 0, 0.4, 2), (1, "p", "p", 1, 0.0, 1), (2, "s", "u", 3, 0.2, 1), (3, "x", "y", 0, 0.1, 1)], "query_id int, lo string, hi string, rank int, distance double, weight int")
-    lists = ranking.doc_lists(docs.unionAll(docs))
+    lists = ranking.doc_lists(docs.unionAll(docs), bits)
     sums = lambda found: sorted(map(repr, values(found.groupBy("query_id", "doc_id").agg(F.round(F.sum("score"), 9)))))
-    got = ranking.relation_scores(hits, lists, ranking.summing_tasks([ranking.relation_ends(hits)], lists))
+    got = ranking.relation_scores(hits, lists, ranking.summing_tasks(ranking.summed_rows([ranking.relation_ends(hits)], lists), lists))
     assert got.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
     assert sums(got) == sums(ranking.relation_scores(hits, docs))
     keyed = hits.withColumnRenamed("lo", "key")
@@ -207,3 +207,34 @@ def test_rows_of_relations_and_documents_are_not_shuffled(spark):
     plan = run_queries.relation_documents(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan and "hashpartitioning(query_id" in plan
     assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "doc_id" in x]
+
+
+def test_hits_fused_in_blocks_equal_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"k{i % 7}", i * 3) for i in range(60)], "key string, doc_id long")
+    entity = spark.createDataFrame([(q, f"k{q % 7}", 0, 0.4) for q in range(9)], "query_id long, key string, rank int, distance double")
+    relation = spark.createDataFrame([(q, f"k{q % 5}", f"k{q % 3}", r, 0.2, 2) for q in range(9) for r in range(2)], "query_id long, lo string, hi string, rank int, distance double, weight int")
+    keyword = spark.createDataFrame([(q, 1000 + q, 0, 0.1) for q in range(9)], "query_id long, key long, rank int, distance double")
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(ranking, "SUMMED", 10)
+    got = ranking.fuse_hits(entity, relation, keyword, ranking.doc_lists(docs, 32), 4)
+    want = ranking.fuse([ranking.entity_scores(entity, docs), ranking.relation_scores(relation, docs), ranking.keyword_scores(keyword)], 4)
+    assert sorted(values(got)) == sorted(values(want))
+
+
+def test_shuffles_of_stored_tables_go_with_their_end(spark):
+    import time
+    from pathlib import Path
+
+    from spindrift.plans.storage import CLEANUP, stored
+
+    tops = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {p for top in tops for p in Path(top).glob("*/shuffle_*.data")}
+    before, conf = held(), spark.conf.get(CLEANUP, None)
+    df = spark.range(5000).groupBy((F.col("id") % 700).alias("g")).count()
+    assert stored(df, "groups").count() == 700 and spark.conf.get(CLEANUP, None) == conf
+    shuffled = {p for p in held() - before if p.stat().st_size > 4000}  # the count's own files are small
+    for _ in range(20):
+        if not any(p.exists() for p in shuffled):
+            break
+        time.sleep(0.2)
+    assert not any(p.exists() for p in shuffled)
