@@ -238,3 +238,9 @@ def test_shuffles_of_stored_tables_go_with_their_end(spark):
             break
         time.sleep(0.2)
     assert not any(p.exists() for p in shuffled)
+
+
+def test_names_are_made_once(spark):
+    rows = spark.createDataFrame([(1, 0, "The Ada", "Byron", "r", "")], "doc_id long, seq long, source string, target string, relation string, description string")
+    plan = graph.edge_relations(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 6  # three for each name
