@@ -185,6 +185,48 @@ def test_nearest_of_names_in_tiles(spark, monkeypatch):
         assert [got[name, k + 1] for k in range(4)] == [n for _, n in want]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e20])
+def test_nearest_leaves_far_vectors_in_their_task(monkeypatch, metric, scale):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spindrift.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELLS", 400)
+    monkeypatch.setattr(vectors, "COLUMNS", 16)
+    rng = np.random.default_rng(1)
+    q = rng.integers(-3, 4, (30, 5)).astype(float) * scale
+    near, far = np.concatenate([q, q, rng.integers(-3, 4, (60, 5)) * scale]), np.concatenate([-q[:7], np.zeros((1, 5))])
+    q[3] = 0
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([f"{t}{i}" for i in range(len(v))]), "vector": pa.array(list(v))}) for t, v in (("a", near), ("b", near[::-1]), ("c", far))]
+    held = SimpleNamespace(value=([*range(30)], q))
+    out = [b.to_pylist() for b in vectors._nearest(held, 4, metric, pa.int64())(iter(batches))]
+    rows = sorted((r["query_id"], r["micros"], r["id"]) for b in out for r in b)
+    whole = np.concatenate([near, near[::-1], far])
+    if scale == 1e20:  # too long for whole numbers of millionths
+        rows = [r for r in rows if metric == "cosine"]
+    names = [f"{t}{i}" for t, v in (("a", near), ("b", near), ("c", far)) for i in range(len(v))]
+    for a in range(30 if rows else 0):
+        d = np.round(vectors._distances(q[a : a + 1], whole, metric)[0] * vectors.SCALE).astype(int)
+        assert [r[1:] for r in rows if r[0] == a][:4] == sorted(zip(d, names, strict=True))[:4]
+    if scale == 1.0:
+        assert sum(r[2][0] == "c" for r in rows) < 30  # four of them a query before
+        assert sum(r[2][0] == "b" for r in rows) <= 120
+
+
+def test_labels_make_no_pairs(spark):
+    items = spark.createDataFrame([(i, ["x", "y", None][i % 3]) for i in range(12)], "id int, label string")
+    asked = items.where("id < 4").withColumnRenamed("id", "query_id")
+    got = spark.createDataFrame([(q, r + 1, (q * 5 + r * 2) % 12) for q in range(4) for r in range(5)], "query_id int, rank int, id int")
+    pairs = asked.join(items, "label").select("query_id", "id")
+    hits, sizes = metrics.labelled_hits(got, asked, items)
+    assert sorted(values(metrics.retrieval_metrics(got, hits, sizes=sizes))) == sorted(values(metrics.retrieval_metrics(got, pairs)))
+    assert hits.count() <= got.count() and dict(values(sizes)) == {0: 4, 1: 4, 3: 4}
+
+
 @pytest.mark.parametrize(("kind", "bits"), [("long", 16), ("long", 32), ("int", 16), ("string", 16)])
 def test_lists_of_documents_score_as_rows(spark, kind, bits):
     ids = ["a", "b", "c", "", None, "d"] if kind == "string" else [1, 65_535, 65_536, -1, None, -(2**31)]
