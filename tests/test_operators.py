@@ -128,6 +128,20 @@ def test_cooccurrence_equals_brute_force(spark, window):
     assert values(graph.cooccurrence(edges, names.limit(0), window=window)) == []
 
 
+def test_cooccurrence_in_blocks(spark, monkeypatch):
+    labels = []
+    real = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: labels.append((label, df.columns)) or real(df, label))
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 50)
+    names = spark.createDataFrame([(d, f"n{i}") for d in range(20) for i in range(d, d + 6)], "doc_id int, name string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "lo string, hi string")
+    got = sorted(values(graph.cooccurrence(edges, names, 4)))
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 1 << 26)
+    assert got == sorted(values(graph.cooccurrence(edges, names, 4))) and len(got) > 40
+    parts = [c for label, c in labels if label == "cooccurring"]
+    assert len(parts) == 4 and all(c == ["doc_id", "names", "found"] for c in parts)  # three blocks and one; pairs as numbers
+
+
 def test_stats_of_empty_tables(spark):
     none = spark.createDataFrame([], "lo string, hi string, relation string, doc_id long")
     assert values(graph.stats(none, spark.createDataFrame([], "doc_id long, name string")).select("n_entities", "n_docs", "n_edges")) == [(0, 0, 0)]
