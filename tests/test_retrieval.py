@@ -210,3 +210,15 @@ def test_failing_embedder_is_told(hybrid, queries):
         assert {r["event"] for r in hybrid.events.distinct().collect()} == {"retrieval_error", "chunk_keywords_vdb_error"}
     finally:
         hybrid.embedder = held
+
+
+def test_words_are_hashed_once(monkeypatch):
+    from spindrift.plans import providers
+
+    asked = []
+    real = providers.hashlib.blake2b
+    monkeypatch.setattr(providers.hashlib, "blake2b", lambda w, **k: asked.append(w) or real(w, **k))
+    one = HashEmbedder(8).embed(["a B a", "b c", ""])
+    assert sorted(asked) == [b"a", b"b", b"c"]
+    monkeypatch.setattr(providers, "WORDS_HELD", 1)
+    assert HashEmbedder(8).embed(["a B a", "b c", ""]) == one and one[2] == [0.0] * 8
